@@ -39,7 +39,10 @@ _SNAPSHOT_JSON = """concat('{"status": "', CASE WHEN k < 60 THEN 'healthy' WHEN
     THEN 'degraded' ELSE 'critical' END, '", "snapshot_at": ', CAST(at_s AS STRING),
     ', "started_at": ', CAST(at_s - 1000 AS STRING), ', "hb_ok": ',
     CASE WHEN k < 60 THEN 'true' ELSE 'false' END,
-    ', "threads": {"reader": ', CASE WHEN k % 10 = 3 THEN 'false' ELSE 'true' END,
+    ', "hb_last_at": ', CAST(at_s - 30 AS STRING), ', "last_pull_at": ',
+    CASE WHEN k % 4 = 0 THEN 'null' ELSE CAST(at_s - 200 AS STRING) END,
+    ', "last_flush_at": ', CAST(at_s - 5 AS STRING),
+    ', "threads": {"reader": ', CASE WHEN k % 10 = 4 AND user_id % 2 = 0 THEN 'false' ELSE 'true' END,
     ', "sender": true, "puller": true, "heartbeat": true}}')"""
 _FEED_STATS_JSON = """concat('{"tenant_active": ', CAST(user_id AS STRING),
     ', "global_active": ', CAST(k * 100 AS STRING), '}')"""
@@ -126,6 +129,7 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev(spark, sf_dir).selectExpr(
+        "hostname",
         "CAST(floor(event_id / 200) AS BIGINT) + 1 AS page_no",
         "event_id % 200 AS pos",
         "at_s",
@@ -281,7 +285,8 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "feed_items": (
         ("ev",),
-        f"""SELECT CAST(floor(event_id / 200) AS BIGINT) + 1 AS page_no, event_id % 200 AS pos,
+        f"""SELECT hostname, CAST(floor(event_id / 200) AS BIGINT) + 1 AS page_no,
+            event_id % 200 AS pos,
             at_s, {_FEED_IP} AS ip, {_OP} AS op, {_SOURCE} AS source,
             event_id % 41 <> 0 AS enforced FROM ev""",
     ),

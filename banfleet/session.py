@@ -17,6 +17,7 @@ def local_session(app: str, cpus: int | str = "*", memory: str = "8g") -> SparkS
         .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.streaming.metricsEnabled", "false")
@@ -50,3 +51,15 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run, never reused and never overwritten."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str):
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    For results that several later steps read: they then start from files that
+    survive lost executors, not from a plan that each of them would rerun.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
