@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 18
-_CHUNK = "_chunk"
+CHUNK_COLUMN = "_chunk"
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,15 @@ def _combine(kind: str, carried: Column, inside: Column) -> Column:
     return F.coalesce(carried, zero) + F.coalesce(inside, zero)
 
 
+def chunked(
+    df: DataFrame, order: str, *, width: int = CHUNK, chunk: Column | None = None
+) -> DataFrame:
+    """Add the chunk of each row: ``width`` values of the integer order column."""
+    if chunk is None:
+        chunk = F.floor(F.col(order) / F.lit(width)).cast("bigint")
+    return df.withColumn(CHUNK_COLUMN, chunk)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -62,42 +71,42 @@ def running(
     other orders pass ``chunk``, an expression that rises with the order (for
     text: file and block). Keys and order must not be NULL.
 
+    A ``_chunk`` column from :func:`chunked` is used as it is and kept, so that
+    several steps over the same chunks share one shuffle.
+
     Plan: chunk totals are aggregated map-side and give each chunk its carry (a
     window over one row per chunk), rows then need one shuffle by (key, chunk)
     that serves both the join with the carry and the window inside the chunk.
     """
     order = [order] if isinstance(order, str) else list(order)
     keys = list(keys)
-    if chunk is None:
-        chunk = F.floor(F.col(order[0]) / F.lit(width)).cast("bigint")
     inputs = {name: f"_in_{name}" for name in totals}
-    base = df.withColumns(
-        {_CHUNK: chunk, **{inputs[n]: t.value for n, t in totals.items()}}
-    )
+    base = df if CHUNK_COLUMN in df.columns else chunked(df, order[0], width=width, chunk=chunk)
+    base = base.withColumns({inputs[n]: t.value for n, t in totals.items()})
 
     aggregate = {"sum": F.sum, "max": F.max}
     earlier_chunks = (
         Window.partitionBy(*keys)
-        .orderBy(_CHUNK)
+        .orderBy(CHUNK_COLUMN)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = (
-        base.groupBy(*keys, _CHUNK)
+        base.groupBy(*keys, CHUNK_COLUMN)
         .agg(*[aggregate[t.kind](inputs[n]).alias(inputs[n]) for n, t in totals.items()])
         .select(
             *[F.col(k).alias(f"_key_{k}") for k in keys],
-            F.col(_CHUNK).alias("_carry_chunk"),
+            F.col(CHUNK_COLUMN).alias("_carry_chunk"),
             *[
                 aggregate[t.kind](inputs[n]).over(earlier_chunks).alias(f"_carry_{n}")
                 for n, t in totals.items()
             ],
         )
     )
-    matches = F.col(_CHUNK) == F.col("_carry_chunk")
+    matches = F.col(CHUNK_COLUMN) == F.col("_carry_chunk")
     for k in keys:
         matches = matches & (F.col(k) == F.col(f"_key_{k}"))
 
-    in_chunk = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    in_chunk = Window.partitionBy(*keys, CHUNK_COLUMN).orderBy(*order)
     until = {
         False: in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow),
         True: in_chunk.rowsBetween(Window.unboundedPreceding, -1),
