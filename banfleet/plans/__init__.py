@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("reports", "feeds", "deliveries", "status", "inventory")
+_MODULES = ("reports", "feeds", "deliveries", "status", "inventory", "streams")
 
 
 def _collect(attribute: str) -> dict:

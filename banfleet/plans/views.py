@@ -127,17 +127,20 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("hostname", "id", "jail", "ip", "banned_at", "enqueued_at")
 
 
+FEED_COLUMNS = (
+    "hostname",
+    "CAST(floor(event_id / 200) AS BIGINT) + 1 AS page_no",
+    "event_id % 200 AS pos",
+    "at_s",
+    f"{_FEED_IP} AS ip",
+    f"{_OP} AS op",
+    f"{_SOURCE} AS source",
+    "event_id % 41 <> 0 AS enforced",
+)
+
+
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev(spark, sf_dir).selectExpr(
-        "hostname",
-        "CAST(floor(event_id / 200) AS BIGINT) + 1 AS page_no",
-        "event_id % 200 AS pos",
-        "at_s",
-        f"{_FEED_IP} AS ip",
-        f"{_OP} AS op",
-        f"{_SOURCE} AS source",
-        "event_id % 41 <> 0 AS enforced",
-    )
+    return ev(spark, sf_dir).selectExpr(*FEED_COLUMNS)
 
 
 def feed_pages(spark: SparkSession, sf_dir: str, variant: str = "mixed") -> DataFrame:
