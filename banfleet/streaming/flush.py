@@ -18,22 +18,39 @@ _OUT = f"hostname string, lane bigint, flush_no bigint, _bans array<struct<{_BAN
 _FIELDS = ["id", "jail", "ip", "banned_at"]
 
 
+def now_ms(timer_values, time_mode: str) -> int:
+    """The stream's clock: the watermark in event time, else the wall clock."""
+    if time_mode == "EventTime":
+        return timer_values.getCurrentWatermarkInMs()
+    return timer_values.getCurrentProcessingTimeInMs()
+
+
 class FlushProcessor(StatefulProcessor):
     """Waiting rows of one host (and lane): sent in order, at most a batch at a time."""
 
-    def __init__(self, seconds: int, early_at: int, batch: int):
+    def __init__(self, seconds: int, early_at: int, batch: int, time_mode: str):
         self.milliseconds, self.early_at, self.batch = seconds * 1000, early_at, batch
+        self.time_mode = time_mode
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "id bigint, jail string, ip string, banned_at string")
-        self.meta = handle.getValueState("meta", "flush_no bigint, due bigint")
-
-    def _now(self, timer_values) -> int:
-        return max(
-            timer_values.getCurrentProcessingTimeInMs(), timer_values.getCurrentWatermarkInMs()
+        # fewer than early_at rows ever stay, so one value holds them
+        self.kept = handle.getValueState(
+            "kept",
+            "flush_no bigint, due bigint, id array<bigint>, jail array<string>, "
+            "ip array<string>, banned_at array<string>",
         )
 
+    def _load(self) -> tuple[int, int | None, list[tuple]]:
+        if not self.kept.exists():
+            return 0, None, []
+        flush_no, due, *columns = self.kept.get()
+        return flush_no, due, list(zip(*columns, strict=True))
+
+    def _store(self, flush_no: int, due: int | None, rows: list[tuple]) -> None:
+        columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
+        self.kept.update((flush_no, due, *columns))
+
     def _send(self, key, rows: list[tuple], least: int, flush_no: int):
         """Whole batches while at least ``least`` rows wait; what stays, and the next number."""
         sent = []
@@ -50,32 +67,23 @@ class FlushProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = [t for pdf in rows for t in pdf[_FIELDS].itertuples(index=False, name=None)]
         fresh = [(int(r[0]), *r[1:]) for r in fresh]
-        stored = [tuple(r) for r in self.waiting.get()]
-        flush_no, due = self.meta.get() if self.meta.exists() else (0, None)
-        sent, rest, flush_no = self._send(key, sorted(stored + fresh), self.early_at, flush_no)
+        flush_no, due, kept = self._load()
+        sent, rest, flush_no = self._send(key, sorted(kept + fresh), self.early_at, flush_no)
         if rest and due is None:
-            due = self._now(timerValues) + self.milliseconds
+            due = now_ms(timerValues, self.time_mode) + self.milliseconds
             self.handle.registerTimer(due)
         elif not rest and due is not None:
             self.handle.deleteTimer(due)
             due = None
-        self._store(rest, flush_no, due)
+        self._store(flush_no, due, rest)
         yield from self._frame(sent)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        flush_no, _ = self.meta.get()
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        sent, rest, flush_no = self._send(key, rows, 1, flush_no)
-        self._store(rest, flush_no, None)
+        flush_no, _, rows = self._load()
+        sent, rest, flush_no = self._send(key, sorted(rows), 1, flush_no)
+        self._store(flush_no, None, rest)
         yield from self._frame(sent)
 
-    def _store(self, rows, flush_no, due) -> None:
-        if rows:
-            self.waiting.put(rows)
-        else:
-            self.waiting.clear()
-        self.meta.update((flush_no, due))
-
 
 def flush_stream(
     queue: DataFrame,
@@ -99,7 +107,7 @@ def flush_stream(
         queue.withColumn("lane", lane)
         .groupBy("hostname", "lane")
         .transformWithStateInPandas(
-            statefulProcessor=FlushProcessor(seconds, early_at, batch),
+            statefulProcessor=FlushProcessor(seconds, early_at, batch, time_mode),
             outputStructType=_OUT,
             outputMode="Append",
             timeMode=time_mode,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
 from banfleet import constants as C
+from banfleet.streaming.flush import now_ms
 
 _OUT = "hostname string, status string, at_s bigint"
 
@@ -17,8 +18,8 @@ _OUT = "hostname string, status string, at_s bigint"
 class LivenessProcessor(StatefulProcessor):
     """Keeps the latest snapshot time of one host and reports changes of status."""
 
-    def __init__(self, max_age: int):
-        self.max_age = max_age
+    def __init__(self, max_age: int, time_mode: str):
+        self.max_age, self.time_mode = max_age, time_mode
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -35,10 +36,7 @@ class LivenessProcessor(StatefulProcessor):
             self.handle.deleteTimer(due)
         # stale means strictly older than the limit
         due = (newest + self.max_age + 1) * 1000
-        now = max(
-            timerValues.getCurrentProcessingTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        )
-        if due <= now:
+        if due <= now_ms(timerValues, self.time_mode):
             newest_status, due = "critical", None
         else:
             self.handle.registerTimer(due)
@@ -78,7 +76,7 @@ def liveness_stream(
     if time_mode == "EventTime":
         latest = latest.withWatermark("event_time", "0 seconds")
     return latest.groupBy("hostname").transformWithStateInPandas(
-        statefulProcessor=LivenessProcessor(2 * heartbeat_seconds),
+        statefulProcessor=LivenessProcessor(2 * heartbeat_seconds, time_mode),
         outputStructType=_OUT,
         outputMode="Append",
         timeMode=time_mode,
