@@ -84,9 +84,9 @@ def breaker_on_delivery(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def received_reports(spark: SparkSession, sf: str) -> DataFrame:
+def as_received(events: DataFrame) -> DataFrame:
     """Reports as the receiver sees them: the same key comes again and again."""
-    return v.ev(spark, sf).selectExpr(
+    return events.selectExpr(
         "hostname", "sha2(CAST(k AS STRING), 256) AS idempotency_key",
         "event_id AS seq", "at_s AS received_at"
     )
@@ -94,7 +94,7 @@ def received_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 def report_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Reports that are not repeats of one received less than 24 hours before."""
-    return b.first_within(received_reports(spark, sf), ["hostname", "idempotency_key"])
+    return b.first_within(as_received(v.ev(spark, sf)), ["hostname", "idempotency_key"])
 
 
 QUERIES = {

@@ -15,13 +15,14 @@ from banfleet.operators.drain import final_drain
 from banfleet.operators.outbox import assemble_reports
 from banfleet.plans import reports as r
 from banfleet.plans import views as v
-from banfleet.plans.deliveries import RULES, _recursive, breaker_sql
+from banfleet.plans.deliveries import ORACLES as DELIVERY_ORACLES
+from banfleet.plans.deliveries import RULES, as_received
 from banfleet.plans.feeds import state_sql
 from banfleet.plans.views import sql
 from banfleet.session import scratch_folder
 from banfleet.sources import segments
 from banfleet.streaming.breaker import breaker_stream, decisions
-from banfleet.streaming.dedup import drop_repeats
+from banfleet.streaming.dedup import dedup_stream, drop_repeats, kept_reports
 from banfleet.streaming.flush import flush_stream
 from banfleet.streaming.ingest import ingest, read_queue
 from banfleet.streaming.liveness import liveness_stream
@@ -131,11 +132,17 @@ def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys that pass the receiver's filter: in one pass over a stream, each once."""
-    reports = _stream(spark, sf).selectExpr(
-        "concat('srv-', lpad(CAST(user_id % 12 AS STRING), 2, '0')) AS hostname",
-        "sha2(props, 256) AS idempotency_key",
-        "CAST(ts AS TIMESTAMP) AS received_at",
+    """The receiver's stream without repeats within 24 hours."""
+    folder = scratch_folder(spark, "dedup")
+    reports = as_received(v.with_host(_stream(spark, sf)))
+    _finish(dedup_stream(reports, f"{folder}/out", f"{folder}/checkpoint"))
+    return kept_reports(spark, f"{folder}/out")
+
+
+def stream_drop_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """The filter of a running receiver: a backlog leaves one report per key."""
+    reports = as_received(v.with_host(_stream(spark, sf))).withColumn(
+        "received_at", F.timestamp_seconds("received_at")
     )
     folder = scratch_folder(spark, "dedup")
     out = _to_table(drop_repeats(reports), folder)
@@ -227,6 +234,7 @@ QUERIES = {
     "final_flushes": final_flushes,
     "stream_merge": stream_merge,
     "stream_dedup": stream_dedup,
+    "stream_drop_repeats": stream_drop_repeats,
     "stream_flush": stream_flush,
     "stream_liveness": stream_liveness,
     "stream_breaker": stream_breaker,
@@ -265,8 +273,9 @@ ORACLES = {
         "delivery_attempts",
     ),
     "stream_merge": state_sql("SELECT * FROM applied"),
-    "stream_dedup": sql(
-        "SELECT DISTINCT hostname, sha256(props) AS idempotency_key FROM ev", "ev"
+    "stream_dedup": DELIVERY_ORACLES["report_dedup"],
+    "stream_drop_repeats": sql(
+        "SELECT DISTINCT hostname, sha256(CAST(k AS VARCHAR)) AS idempotency_key FROM ev", "ev"
     ),
     "stream_flush": sql(
         f"""SELECT hostname, seq AS id, seq // {C.BATCH_SIZE} % 16 AS lane, true AS fits
@@ -288,7 +297,5 @@ ORACLES = {
               WHERE rn = 1"""
         },
     ),
-    "stream_breaker": _recursive(
-        sql("", "breaker_attempts").rstrip() + ",\n" + breaker_sql(RULES, "breaker_attempts")
-    ),
+    "stream_breaker": DELIVERY_ORACLES["breaker_replay"],
 }

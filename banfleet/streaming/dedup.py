@@ -2,13 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from banfleet.constants import IDEMPOTENCY_WINDOW_SECONDS
+from banfleet.operators.breaker import first_within
+
+KEYS = ("hostname", "idempotency_key")
+
+
+def dedup_stream(
+    reports: DataFrame,
+    out: str,
+    checkpoint: str,
+    *,
+    keys: Sequence[str] = KEYS,
+    order: str = "seq",
+    clock: str = "received_at",
+    seconds: int = IDEMPOTENCY_WINDOW_SECONDS,
+    poll: str | None = None,
+) -> StreamingQuery:
+    """Reports that are not repeats, exactly as :func:`first_within` finds them.
+
+    Each micro-batch is judged together with the last kept report per key of the
+    window before it. Only those are carried on, so the carried table is as large
+    as the keys of one window. ``clock`` is the receiver's, in whole seconds, and
+    ``order`` rises with it. Folders carry batch numbers and are replaced on a
+    rerun.
+    """
+    spark, keys = reports.sparkSession, list(keys)
+    columns = [*keys, order, clock]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select(*columns)
+        if batch_id:
+            carried = spark.read.schema(fresh.schema).parquet(f"{out}/window/batch_id={batch_id - 1}")
+            # both parts are read several times, but neither is rewritten here
+            kept = first_within(
+                fresh.unionByName(carried), keys, order=order, clock=clock, seconds=seconds
+            ).join(carried.select(*keys, order), [*keys, order], "left_anti")
+        else:
+            carried = None
+            kept = first_within(fresh, keys, order=order, clock=clock, seconds=seconds)
+        kept.write.mode("overwrite").parquet(f"{out}/kept/batch_id={batch_id}")
+        last = spark.read.schema(fresh.schema).parquet(f"{out}/kept/batch_id={batch_id}")
+        if carried is not None:
+            last = last.unionByName(carried)
+        newest = F.max(F.struct(clock, order)).alias("_last")
+        horizon = last.agg(F.max(clock)).scalar() - F.lit(seconds)
+        (
+            last.groupBy(*keys)
+            .agg(newest)
+            .select(*keys, f"_last.{order}", f"_last.{clock}")
+            .where(F.col(clock) > horizon)
+            .write.mode("overwrite")
+            .parquet(f"{out}/window/batch_id={batch_id}")
+        )
+
+    writer = reports.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def kept_reports(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/kept").drop("batch_id")
 
 
 def drop_repeats(
@@ -17,21 +79,34 @@ def drop_repeats(
     event_time: str = "received_at",
     window: str = f"{IDEMPOTENCY_WINDOW_SECONDS} seconds",
 ) -> DataFrame:
-    """First report per ``(hostname, idempotency_key)`` within the window.
+    """The same as a filter inside a stream, for receivers that run all the time.
+
+    Spark remembers a key at least as long as the window, until the watermark
+    has passed it; a backlog read in one go is therefore cut to one report per
+    key. Use :func:`dedup_stream` where the window must be exact.
 
-    A key that fills a third of the stream is thinned out before the shuffle:
-    repeats within one Arrow batch would be dropped by the stateful step anyway,
-    as all rows of a micro-batch are compared before the watermark moves.
+    A key that fills a third of the stream is thinned out before the shuffle: of
+    each Arrow batch only its earliest and latest row go on. Rows between them
+    would be dropped by the stateful step anyway, as all rows of a micro-batch
+    are compared before the watermark moves; the latest must stay, because the
+    earliest may be too late to count.
     """
-    keys = ["hostname", "idempotency_key"]
+    keys = list(KEYS)
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch]).append_column(
-                "_row", pa.array(range(batch.num_rows), pa.int64())
+            table = pa.Table.from_batches([batch]).sort_by(event_time)
+            row = pa.array(range(table.num_rows), pa.int64())
+            ends = (
+                table.select(keys)
+                .append_column("_row", row)
+                .group_by(keys)
+                .aggregate([("_row", "min"), ("_row", "max")])
+            )
+            kept = pa.chunked_array(
+                [*ends.column("_row_min").chunks, *ends.column("_row_max").chunks], pa.int64()
             )
-            first = table.group_by(keys).aggregate([("_row", "min")]).column("_row_min")
-            yield from table.drop(["_row"]).take(pc.take(first, pc.sort_indices(first))).to_batches()
+            yield from table.take(pc.unique(kept)).to_batches()
 
     # the watermark must sit above the Python step, which Spark cannot see through
     return (
