@@ -44,6 +44,26 @@ def marked(line: Column | str) -> Column:
     return F.regexp_replace(_text(line), F.lit(BAN_LINE), F.lit("$1\n$2\n$3"))
 
 
+_FIRST_DAY = "0001-01-01 00:00:00"
+
+
+def _with_marked(lines: DataFrame, line: str) -> DataFrame:
+    """Add ``_m``, the marked line.
+
+    Filters on a plain computed column are pushed below it and repeat its regex,
+    once per condition. Rows of a generator cannot be pushed through, so the
+    regex runs once per line.
+    """
+    return lines.select("*", F.explode(F.array(marked(line))).alias("_m"))
+
+
+def _is_ban(line: str) -> Column:
+    ts = F.split("_m", "\n").getItem(0).try_cast("timestamp_ntz")
+    # the year 0000 is a timestamp to Spark, but no date
+    valid = ts >= F.lit(_FIRST_DAY).cast("timestamp_ntz")
+    return (F.col("_m") != F.col(line)) & F.coalesce(valid, F.lit(False))
+
+
 def parse_bans(lines: DataFrame, line: str = "line") -> DataFrame:
     """Replace ``line`` by ``jail, ip, local_ts`` and keep only valid bans.
 
@@ -52,29 +72,23 @@ def parse_bans(lines: DataFrame, line: str = "line") -> DataFrame:
     that most lines of a real log never reach it.
     """
     keep = [c for c in lines.columns if c != line]
-    parts = F.split(marked(line), "\n")
-    parsed = lines.where(F.col(line).contains("Ban")).where(marked(line) != F.col(line))
+    parts = F.split("_m", "\n")
+    candidates = lines.where(F.col(line).contains("Ban"))
     return (
-        parsed.select(
+        _with_marked(candidates, line)
+        .where(_is_ban(line))
+        .select(
             *keep,
             parts.getItem(1).alias("jail"),
             parts.getItem(2).alias("ip"),
             parts.getItem(0).try_cast("timestamp_ntz").alias("local_ts"),
         )
-        .where(F.col("local_ts").isNotNull())
-        .where(F.col("local_ts") >= F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
     )
 
 
 def rejected_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """The complement of :func:`parse_bans`, lines left as they are."""
-    ts = F.split(marked(line), "\n").getItem(0).try_cast("timestamp_ntz")
-    valid = (
-        F.col(line).contains("Ban")
-        & (marked(line) != F.col(line))
-        & F.coalesce(ts >= F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"), F.lit(False))
-    )
-    return lines.where(~F.coalesce(valid, F.lit(False)))
+    return _with_marked(lines, line).where(~F.coalesce(_is_ban(line), F.lit(False))).drop("_m")
 
 
 def local_to_utc(local_ts: Column | str, tz: Column | str) -> Column:

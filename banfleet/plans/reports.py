@@ -12,6 +12,7 @@ from banfleet.functions.report import deletes_batch, disposition, idempotency_ke
 from banfleet.operators import outbox as q
 from banfleet.plans import views as v
 from banfleet.plans.views import AS_OF_S, sql
+from banfleet.session import written
 
 QUOTA = 20_000
 
@@ -74,8 +75,9 @@ def report_batches(spark: SparkSession, sf: str) -> DataFrame:
     bans = bans_utc(spark, sf).select(
         "hostname", "seq", "jail", "ip", banlog.iso_text("utc_ts").alias("banned_at")
     )
+    # stored before it is numbered, which reads it twice: bans are few, lines many
+    numbered = q.number_rows(written(bans, "queue"))
     # all rows are pending, so the queue id alone gives the batch
-    numbered = q.number_rows(bans)
     batched = numbered.withColumn(
         "batch_no", F.floor((F.col("id") - 1) / F.lit(C.BATCH_SIZE)).cast("bigint")
     )

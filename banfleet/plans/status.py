@@ -15,6 +15,7 @@ from banfleet.operators import status as st
 from banfleet.plans import views as v
 from banfleet.plans.feeds import applied_fleet, state_sql
 from banfleet.plans.views import AS_OF_S, sql
+from banfleet.session import written
 
 # Hosts of these tables report every few hours.
 HEARTBEAT = 7200
@@ -96,7 +97,9 @@ def jail_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gathered(spark: SparkSession, sf: str) -> DataFrame:
-    hosts, applied = v.hosts(spark, sf), applied_fleet(spark, sf)
+    hosts = v.hosts(spark, sf)
+    # the applied addresses are a stored table, read for counts and for the newest
+    applied = written(applied_fleet(spark, sf), "applied")
     return st.gather(
         hosts,
         st.latest_by_host(v.kv_log(spark, sf)),
