@@ -141,4 +141,5 @@ def top_n(
         .drop("_rn", "_lane")
         .withColumn("rn", F.row_number().over(per_key))
         .where(F.col("rn") <= n)
+        .withColumn("rn", F.col("rn").cast("bigint"))
     )

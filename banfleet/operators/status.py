@@ -83,7 +83,7 @@ def recent_filtered(
     if source != "all":
         newest = of_source(newest, source)
     place = Window.partitionBy("hostname").orderBy(F.col("applied_at").desc(), "ip")
-    return newest.withColumn("rn", F.row_number().over(place)).where(F.col("rn") <= rows)
+    return newest.withColumn("rn", F.row_number().over(place).cast("bigint")).where(F.col("rn") <= rows)
 
 
 def jail_counts(jail_status: DataFrame) -> DataFrame:
