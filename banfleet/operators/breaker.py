@@ -15,6 +15,7 @@ cooldown level, and ``half_open`` with a cooldown level.
 from __future__ import annotations
 
 import itertools
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -48,122 +49,198 @@ class Rules:
 class Chunk:
     """Attempts of one chunk in order, indexed for jumps between state changes.
 
-    ``outcome`` is 1 for success, 0 for failure, -1 where nothing is recorded.
+    ``outcome`` is 1 for success, 0 for failure, -1 where nothing is recorded;
+    ``clock`` never falls.
     """
 
     def __init__(self, clock: np.ndarray, outcome: np.ndarray, rules: Rules):
-        self.rules, self.levels = rules, rules.cooldowns()
+        self.rules, self.levels = rules, np.array(rules.cooldowns(), dtype=np.int64)
         self.clock, self.outcome, self.n = clock, outcome, len(clock)
         index = np.arange(self.n)
         self.failures = np.flatnonzero(outcome == 0)
         successes = np.flatnonzero(outcome == 1)
         self.first_success = int(successes[0]) if len(successes) else self.n
-        # failures since the last success of this chunk, and whether there was one
+        # failures since the last success of this chunk
         total = np.cumsum(outcome == 0)
         last = np.maximum.accumulate(np.where(outcome == 1, index, -1))
         self.streak = total - np.where(last >= 0, total[last], 0)
+        # where a breaker opens that was closed by a success of this chunk
         self.opens = np.flatnonzero(
             (outcome == 0) & (last >= 0) & (self.streak == rules.failures_to_open)
         )
         # next recorded attempt at or after each position
         recorded = np.where(outcome >= 0, index, self.n)
-        self.next_recorded = np.minimum.accumulate(recorded[::-1])[::-1]
+        self.next_recorded = np.append(np.minimum.accumulate(recorded[::-1])[::-1], self.n)
+
+    def first_opening(self, count: int) -> int | None:
+        """Where a breaker opens that enters closed after ``count`` failures."""
+        needed = self.rules.failures_to_open - count
+        if len(self.failures) >= needed and self.failures[needed - 1] < self.first_success:
+            return int(self.failures[needed - 1])
+        return int(self.opens[0]) if len(self.opens) else None
+
+    def trailing(self, count: int = 0) -> int:
+        """Failures counted at the end, if the breaker stays closed from the start."""
+        return int(self.streak[-1]) + (count if self.first_success == self.n else 0)
+
+    # A probe is a recorded attempt of a half-open breaker. Probes and their
+    # cooldown levels are nodes of a graph: each leads to the next probe, or out
+    # of the chunk. All steps below work on arrays of nodes.
+
+    def _probe(self, at: np.ndarray, level: np.ndarray):
+        """Half open before ``at``: the node probed next, or -1 and the end state."""
+        probe = self.next_recorded[at]
+        inside = probe < self.n
+        node = np.where(inside, probe * len(self.levels) + level, -1)
+        return node, _ends_of(HALF_OPEN, level, np.zeros_like(level))
+
+    def _wait(self, origin: np.ndarray, level: np.ndarray):
+        """Opened by attempt ``origin``: the node probed after the cooldown, or the end."""
+        until = self.clock[origin] + self.levels[level]
+        at = np.maximum(origin + 1, np.searchsorted(self.clock, until, side="left"))
+        node, ends = self._probe(at, level)
+        waiting = at >= self.n
+        ends[waiting] = _ends_of(OPEN, level[waiting], until[waiting])
+        return node, ends
+
+    def _follow(self, nodes: np.ndarray):
+        """One probe on: a failure waits longer, a success stays closed until it opens."""
+        probe, level = np.divmod(nodes, len(self.levels))
+        success = self.outcome[probe] == 1
+        i = np.searchsorted(self.opens, probe)
+        opens_again = i < len(self.opens)
+        opening = np.append(self.opens, 0)[i]
+        origin = np.where(success, opening, probe)
+        level = np.where(success, 0, np.minimum(level + 1, len(self.levels) - 1))
+        node, ends = self._wait(origin, level)
+        closed = success & ~opens_again
+        node[closed] = -1
+        ends[closed] = (CLOSED, self.trailing(), 0)
+        return node, ends
+
+    def _resolve(self, nodes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """End states of starts that lead to ``nodes`` (-1: ``ends`` is final already)."""
+        size = self.n * len(self.levels)
+        onward = np.full(size, -1, dtype=np.int64)
+        known = np.zeros(size, dtype=bool)
+        last = np.zeros((size, 3), dtype=np.int64)
+        fresh = np.unique(nodes[nodes >= 0])
+        reached = []
+        while len(fresh):
+            known[fresh] = True
+            reached.append(fresh)
+            onward[fresh], last[fresh] = self._follow(fresh)
+            found = np.unique(onward[fresh])
+            found = found[found >= 0]
+            fresh = found[~known[found]]
+        if not reached:
+            return ends
+        reached = np.concatenate(reached)
+        # double the length of each jump until all lead to a last node
+        jump = onward
+        jump[reached] = np.where(onward[reached] < 0, reached, onward[reached])
+        while True:
+            further = jump[jump[reached]]
+            if np.array_equal(further, jump[reached]):
+                break
+            jump[reached] = further
+        leads = nodes >= 0
+        ends[leads] = last[jump[nodes[leads]]]
+        return ends
+
+    def ends(self, clock_before: int) -> np.ndarray:
+        """Rows ``kind, count, latest open_until`` and end state, for every possible start.
 
-    def walk(self, kind: int, count: int, until: int, seen=None, fill=None):
-        """Follow the machine from a starting state to the end of the chunk.
-
-        ``seen`` maps probes already walked to their end, and learns new ones;
-        ``fill`` is called with each stretch of rows that share a state.
+        An open breaker's wait ends at the first attempt at or after its time, so
+        starts that end their wait at the same attempt share a row; and so do
+        neighbours with the same end.
         """
-        at, trail, end = 0, [], None
-        while end is None:
+        counts = range(self.rules.failures_to_open)
+        openings = [self.first_opening(c) for c in counts]
+        starts = [(CLOSED, c, 0) for c in counts]
+        nodes = np.full(len(starts), -1, dtype=np.int64)
+        ends = np.array([(CLOSED, self.trailing(c), 0) for c in counts], dtype=np.int64)
+        opened = np.array([o is not None for o in openings])
+        if opened.any():
+            origin = np.array([o for o in openings if o is not None], dtype=np.int64)
+            nodes[opened], ends[opened] = self._wait(origin, np.zeros_like(origin))
+        starts = np.array(starts, dtype=np.int64)
+        if clock_before != _LONG_AGO:  # else it is the first chunk of a key, which starts closed
+            level = np.arange(len(self.levels))
+            waits = self._wait_ends(clock_before + int(self.levels.max()))
+            wait_level, wait_at = np.repeat(level, len(waits)), np.tile(waits, len(level))
+            half_nodes, half_ends = self._probe(np.zeros_like(level), level)
+            open_nodes, open_ends = self._probe(wait_at, wait_level)
+            starts = np.concatenate(
+                [
+                    starts,
+                    _ends_of(HALF_OPEN, level, np.zeros_like(level)),
+                    _ends_of(OPEN, wait_level, self.clock[wait_at]),
+                ]
+            )
+            nodes = np.concatenate([nodes, half_nodes, open_nodes])
+            ends = np.concatenate([ends, half_ends, open_ends])
+        table = np.hstack([starts, self._resolve(nodes, ends)])
+        # of neighbouring waits with the same level and end, the latest stands for all
+        same = np.all(table[1:, [0, 1, 3, 4, 5]] == table[:-1, [0, 1, 3, 4, 5]], axis=1)
+        return table[np.append(~same | (table[:-1, 0] != OPEN), True)]
+
+    def _wait_ends(self, reach: int) -> np.ndarray:
+        """Attempts that can end a wait up to time ``reach``: the first of each second."""
+        first = np.flatnonzero(np.diff(self.clock, prepend=self.clock[0] - 1) > 0)
+        return first[: int(np.searchsorted(self.clock[first], reach, side="left")) + 1]
+
+    def replay(self, kind: int, count: int, until: int) -> dict[str, np.ndarray]:
+        """What the breaker does at each attempt, from a starting state."""
+        clock, opens, recorded = self.clock.tolist(), self.opens.tolist(), self.next_recorded.tolist()
+        outcome, levels, n = self.outcome.tolist(), self.levels.tolist(), self.n
+        carried = count if kind == CLOSED else 0
+        runs, at = [], 0  # (first row, state, level, open until, passes)
+        while at < n:
             if kind == CLOSED:
-                opened = self._opening(at, count)
+                runs.append((at, CLOSED, 0, 0, True))
+                i = bisect_left(opens, at)
+                later = opens[i] if i < len(opens) else None
+                opened = later if at else self.first_opening(carried)
                 if opened is None:
-                    if fill:
-                        fill(at, self.n, CLOSED, count, 0)
-                    end = (CLOSED, self._trailing(at, count), 0)
                     break
-                until = int(self.clock[opened]) + self.levels[0]
-                if fill:
-                    fill(at, opened, CLOSED, count, 0)
-                    fill(opened, opened + 1, OPEN, 0, until, passes=True)
-                at, kind, count = opened + 1, OPEN, 0
+                kind, count, until = OPEN, 0, clock[opened] + levels[0]
+                runs.append((opened, OPEN, 0, until, True))
+                at = opened + 1
             elif kind == OPEN:
-                probe = max(at, int(np.searchsorted(self.clock, until, side="left")))
-                if fill:
-                    fill(at, probe, OPEN, count, until)
-                if probe >= self.n:
-                    end = (OPEN, count, until)
-                    break
+                probe = max(at, bisect_left(clock, until))
+                if probe > at:
+                    runs.append((at, OPEN, count, until, False))
                 at, kind = probe, HALF_OPEN
             else:
-                probe = int(self.next_recorded[at]) if at < self.n else self.n
-                if fill:
-                    fill(at, probe, HALF_OPEN, count, 0)
-                if probe >= self.n:
-                    end = (HALF_OPEN, count, 0)
-                    break
-                if seen is not None:
-                    if (probe, count) in seen:
-                        end = seen[probe, count]
-                        break
-                    trail.append((probe, count))
-                if self.outcome[probe] == 1:
+                probe = recorded[at]
+                if probe > at:
+                    runs.append((at, HALF_OPEN, count, 0, True))
+                if probe < n and outcome[probe] == 1:
+                    # the probe's row belongs to the closed stretch it starts
                     kind, count = CLOSED, 0
-                    if fill:
-                        fill(probe, probe + 1, CLOSED, 0, 0)
-                else:
-                    kind, count = OPEN, min(count + 1, len(self.levels) - 1)
-                    until = int(self.clock[probe]) + self.levels[count]
-                    if fill:
-                        fill(probe, probe + 1, OPEN, count, until, passes=True)
+                    runs.append((probe, CLOSED, 0, 0, True))
+                elif probe < n:
+                    kind, count = OPEN, min(count + 1, len(levels) - 1)
+                    until = clock[probe] + levels[count]
+                    runs.append((probe, OPEN, count, until, True))
                 at = probe + 1
-        for key in trail:
-            seen[key] = end
-        return end
-
-    def _opening(self, at: int, count: int) -> int | None:
-        """Where a closed breaker opens; past position 0 it has just seen a success."""
-        if at == 0:
-            needed = self.rules.failures_to_open - count
-            if len(self.failures) >= needed and self.failures[needed - 1] < self.first_success:
-                return int(self.failures[needed - 1])
-        i = int(np.searchsorted(self.opens, at))
-        return int(self.opens[i]) if i < len(self.opens) else None
-
-    def _trailing(self, at: int, count: int) -> int:
-        if self.n == 0:
-            return count
-        carried = count if at == 0 and self.first_success == self.n else 0
-        return int(self.streak[-1]) + carried
-
-    def ends(self, clock_before: int):
-        """``(kind, count, latest open_until, end state)`` for every possible start.
+        first, *columns = (np.array(c) for c in zip(*runs, strict=True))
+        lengths = np.diff(np.append(first, n))
+        kinds, level, untils, passes = (np.repeat(c, lengths) for c in columns)
+        counted = self.streak.copy()
+        counted[: self.first_success] += carried
+        return {
+            "kind": kinds,
+            "level": level,
+            "until": untils,
+            "allowed": passes,
+            "failures": np.where(kinds == CLOSED, counted, self.rules.failures_to_open),
+        }
 
-        An open breaker's wait ends at the first attempt at or after its time, so
-        starts that end their wait at the same attempt share a row; and so do
-        neighbours with the same end.
-        """
-        seen: dict = {}
-        for count in range(self.rules.failures_to_open):
-            yield CLOSED, count, 0, self.walk(CLOSED, count, 0, seen)
-        if clock_before == _LONG_AGO:
-            return  # the first chunk of a key starts closed
-        reach = clock_before + max(self.levels)
-        starts = np.flatnonzero(np.diff(self.clock, prepend=self.clock[0] - 1) > 0)
-        waits = starts[: int(np.searchsorted(self.clock[starts], reach, side="left")) + 1]
-        for level in range(len(self.levels)):
-            yield HALF_OPEN, level, 0, self.walk(HALF_OPEN, level, 0, seen)
-            pending = None
-            for start in waits:
-                latest = int(self.clock[start])
-                end = self.walk(OPEN, level, latest, seen)
-                if pending is not None and pending[1] != end:
-                    yield OPEN, level, *pending
-                pending = (latest, end)
-            if pending is not None:
-                yield OPEN, level, *pending
+
+def _ends_of(kind: int, count: np.ndarray, until: np.ndarray) -> np.ndarray:
+    return np.stack([np.full_like(count, kind), count, until], axis=-1)
 
 
 _STATE = "kind bigint, count bigint, until bigint"
@@ -208,13 +285,14 @@ def _end_tables(keys: list[str], rules: Rules):
             before = _ints(table, "_clock_before")
             rows, owner, clocks = [], [], []
             for lead, _, chunk in _chunks(table, rules):
-                for kind, count, until, end in chunk.ends(int(before[lead])):
-                    rows.append((kind, count, until, *end))
-                    owner.append(lead)
-                    clocks.append(int(chunk.clock[-1]))
+                ends = chunk.ends(int(before[lead]))
+                rows.append(ends)
+                owner.append(np.full(len(ends), lead))
+                clocks.append(np.full(len(ends), chunk.clock[-1]))
+            owner, clocks = np.concatenate(owner), np.concatenate(clocks)
             owned = table.select([*keys, CHUNK_COLUMN, "_clock_before"]).take(pa.array(owner))
-            values = np.array(rows, dtype=np.int64).reshape(-1, 6).T
-            columns = [*owned.columns, pa.array(clocks, pa.int64()), *map(pa.array, values)]
+            values = np.concatenate(rows).T
+            columns = [*owned.columns, pa.array(clocks), *map(pa.array, values)]
             names = [
                 *keys, CHUNK_COLUMN, "_clock_before", "_clock_after",
                 "kind", "count", "until", "end_kind", "end_count", "end_until",
@@ -302,40 +380,23 @@ def _replayer(columns: list[str], rules: Rules):
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_chunks(batches):
-            n = table.num_rows
-            kinds = np.zeros(n, dtype=np.int64)
-            allowed = np.ones(n, dtype=bool)
-            failures = np.full(n, rules.failures_to_open, dtype=np.int64)
-            level, untils = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
             start = [_ints(table, name) for name in ("_kind", "_count", "_until")]
-            for lead, _, chunk in _chunks(table, rules):
-
-                def fill(a, b, kind, count, until, passes=False, base=lead + 1, chunk=chunk):
-                    rows = slice(base + a, base + b)
-                    kinds[rows] = kind
-                    if kind == CLOSED:
-                        carried = count if a == 0 else 0
-                        in_first_run = np.arange(a, b) < chunk.first_success
-                        failures[rows] = chunk.streak[a:b] + np.where(in_first_run, carried, 0)
-                        return
-                    level[rows] = count
-                    if kind == OPEN:
-                        untils[rows] = until
-                        allowed[rows] = passes
-
-                chunk.walk(*(int(x[lead]) for x in start), fill=fill)
-            is_row = _ints(table, "_lead") == 0
-            kept = table.select(columns).filter(pa.array(is_row))
+            parts = [
+                chunk.replay(*(int(x[lead]) for x in start))
+                for lead, _, chunk in _chunks(table, rules)
+            ]
+            done = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+            rows = table.select(columns).filter(pa.array(_ints(table, "_lead") == 0))
             computed = {
-                "allowed": pa.array(allowed[is_row]),
-                "state": pa.array(np.array(STATE_NAMES)[kinds[is_row]]),
-                "failures": pa.array(failures[is_row]),
-                "cooldown": pa.array(levels[level[is_row]]),
-                "open_until": pa.array(untils[is_row], mask=kinds[is_row] != OPEN),
+                "allowed": pa.array(done["allowed"]),
+                "state": pa.array(np.array(STATE_NAMES)[done["kind"]]),
+                "failures": pa.array(done["failures"]),
+                "cooldown": pa.array(levels[done["level"]]),
+                "open_until": pa.array(done["until"], mask=done["kind"] != OPEN),
             }
             for name, values in computed.items():
-                kept = kept.append_column(name, values)
-            yield from kept.combine_chunks().to_batches()
+                rows = rows.append_column(name, values)
+            yield from rows.combine_chunks().to_batches()
 
     return replay
 
