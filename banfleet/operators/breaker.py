@@ -4,32 +4,37 @@ The breaker is a sequential machine: every attempt depends on the state the one
 before left. To replay a host in parallel its attempts are cut into chunks:
 
 1. each chunk works out where it would end from every state it could start in;
-2. these small tables are chained per host, which gives each chunk its true
-   starting state (one table of a few rows per chunk, never the attempts);
+2. these small tables are walked through per host, which gives each chunk its
+   true starting state; of a host with very many chunks, stretches of tables are
+   first composed into one table each, in parallel;
 3. each chunk is replayed from there.
 
+Hosts that fit into one chunk, nearly all of a fleet, need the third step only.
+
 States are ``closed`` with a failure count, ``open`` until a time with a
 cooldown level, and ``half_open`` with a cooldown level.
 """
 
 from __future__ import annotations
 
-import itertools
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from banfleet import constants as C
-from banfleet.operators.running import CHUNK, CHUNK_COLUMN, chunked
+from banfleet.operators.running import CHUNK_COLUMN, chunked
+from banfleet.session import written
 
 CLOSED, OPEN, HALF_OPEN = 0, 1, 2
 STATE_NAMES = ("closed", "open", "half_open")
-_START_CHUNK = _LONG_AGO = -(1 << 62)
+BREAKER_CHUNK = 1 << 20
+STRETCH = 1024
+_LONG_AGO = -(1 << 62)
 
 
 @dataclass(frozen=True)
@@ -181,9 +186,7 @@ class Chunk:
             nodes = np.concatenate([nodes, half_nodes, open_nodes])
             ends = np.concatenate([ends, half_ends, open_ends])
         table = np.hstack([starts, self._resolve(nodes, ends)])
-        # of neighbouring waits with the same level and end, the latest stands for all
-        same = np.all(table[1:, [0, 1, 3, 4, 5]] == table[:-1, [0, 1, 3, 4, 5]], axis=1)
-        return table[np.append(~same | (table[:-1, 0] != OPEN), True)]
+        return _merged(table)
 
     def _wait_ends(self, reach: int) -> np.ndarray:
         """Attempts that can end a wait up to time ``reach``: the first of each second."""
@@ -243,16 +246,20 @@ def _ends_of(kind: int, count: np.ndarray, until: np.ndarray) -> np.ndarray:
     return np.stack([np.full_like(count, kind), count, until], axis=-1)
 
 
-_STATE = "kind bigint, count bigint, until bigint"
-_ENDS = "end_kind bigint, end_count bigint, end_until bigint"
+_STATE = ["kind", "count", "until"]
+_TABLE = [*_STATE, "end_kind", "end_count", "end_until"]
 
 
 def _ints(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     return np.asarray(table.column(name))
 
 
-def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Regroup sorted batches so that no chunk is cut; each starts with its lead row."""
+def _matrix(table: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([_ints(table, name) for name in names], axis=-1)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Regroup sorted batches so that no group is cut; each starts with a lead row."""
     pending: list[pa.RecordBatch] = []
     for batch in batches:
         leads = np.flatnonzero(_ints(batch, "_lead"))
@@ -267,124 +274,134 @@ def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(pending)
 
 
-def _chunks(table: pa.Table, rules: Rules) -> Iterator[tuple[int, int, Chunk]]:
-    """``(lead row, end, chunk)`` for each chunk; its clock never runs backwards."""
-    leads = np.flatnonzero(_ints(table, "_lead"))
+def _groups(table: pa.Table) -> Iterator[tuple[int, int]]:
+    """``(lead row, end)`` of each group."""
+    leads = np.flatnonzero(_ints(table, "_lead")).tolist()
+    return zip(leads, [*leads[1:], table.num_rows], strict=True)
+
+
+def _chunks(table: pa.Table, rules: Rules) -> Iterator[tuple[int, Chunk]]:
+    """``(lead row, chunk)`` of each group of attempts; the clock never runs backwards."""
     at, outcome = _ints(table, "_at"), _ints(table, "_outcome")
     before = _ints(table, "_clock_before")
-    for lead, end in zip(leads, [*leads[1:], table.num_rows], strict=True):
+    for lead, end in _groups(table):
         clock = np.maximum(np.maximum.accumulate(at[lead + 1 : end]), before[lead])
-        yield int(lead), int(end), Chunk(clock, outcome[lead + 1 : end], rules)
+        yield lead, Chunk(clock, outcome[lead + 1 : end], rules)
+
+
+def _owned(table: pa.Table, names: list[str], parts: list[tuple[int, np.ndarray]], columns):
+    """Batches of ``parts``, each with the ``names`` of its lead row."""
+    owner = np.concatenate([np.full(len(rows), lead) for lead, rows in parts])
+    values = np.concatenate([rows for _, rows in parts]).T
+    out = table.select(names).take(pa.array(owner))
+    for name, column in zip(columns, values, strict=True):
+        out = out.append_column(name, pa.array(column))
+    return out.combine_chunks().to_batches()
 
 
 def _end_tables(keys: list[str], rules: Rules):
-    """Chunks to rows ``(key, chunk, clocks, state, end state)``."""
+    """Attempts, by chunk, to the end tables of the chunks."""
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_chunks(batches):
+        for table in _whole_groups(batches):
             before = _ints(table, "_clock_before")
-            rows, owner, clocks = [], [], []
-            for lead, _, chunk in _chunks(table, rules):
-                ends = chunk.ends(int(before[lead]))
-                rows.append(ends)
-                owner.append(np.full(len(ends), lead))
-                clocks.append(np.full(len(ends), chunk.clock[-1]))
-            owner, clocks = np.concatenate(owner), np.concatenate(clocks)
-            owned = table.select([*keys, CHUNK_COLUMN, "_clock_before"]).take(pa.array(owner))
-            values = np.concatenate(rows).T
-            columns = [*owned.columns, pa.array(clocks), *map(pa.array, values)]
-            names = [
-                *keys, CHUNK_COLUMN, "_clock_before", "_clock_after",
-                "kind", "count", "until", "end_kind", "end_count", "end_until",
-            ]
-            yield from pa.table(dict(zip(names, columns, strict=True))).to_batches()
+            parts = [(at, chunk.ends(int(before[at]))) for at, chunk in _chunks(table, rules)]
+            yield from _owned(table, [*keys, CHUNK_COLUMN], parts, _TABLE)
 
     return tables
 
 
-def _chain(keys: list[str]):
-    """End tables, sorted by key and chunk, to the state before each chunk.
-
-    Each key ends with one more row, without a chunk: its state after the last.
-    Only the table of one chunk is held at a time, so keys may have any number.
+def _after(states: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """States after a chunk, from those before it and its end table."""
+    out = states.copy()
+    for kind, count in {tuple(x) for x in states[:, :2].tolist()}:
+        mine = (states[:, 0] == kind) & (states[:, 1] == count)
+        rows = table[(table[:, 0] == kind) & (table[:, 1] == count)]
+        if kind != OPEN:
+            out[mine] = rows[0, 3:]
+            continue
+        # a wait beyond the last attempt that could end it goes on unchanged
+        i = np.searchsorted(rows[:, 2], states[mine, 2], side="left")
+        ended = i < len(rows)
+        out[np.flatnonzero(mine)[ended]] = rows[i[ended], 3:]
+    return out
+
+
+def _stretch_tables(keys: list[str]):
+    """End tables, in order, to one end table per stretch of chunks."""
+    names = [*keys, "_stretch"]
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, so_far, group = None, None, None
+        for frame in _whole_groups(batches):
+            matrix = _matrix(frame, _TABLE)
+            owners = list(zip(*(frame.column(n).to_pylist() for n in names), strict=True))
+            for lead, end in _groups(frame):
+                rows = matrix[lead + 1 : end]
+                if owners[lead] != group:
+                    if so_far is not None:
+                        yield from _owned(owner, names, [(0, so_far)], _TABLE)
+                    owner, so_far, group = frame.slice(lead, 1), rows, owners[lead]
+                    continue
+                so_far = _and_then(so_far, rows)
+        if so_far is not None:
+            yield from _owned(owner, names, [(0, so_far)], _TABLE)
+
+    return compose
+
+
+def _and_then(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """End table of two neighbouring stretches.
+
+    Starts are those of the first; and waits that outlast it and end in the second.
     """
+    both = np.hstack([first[:, :3], _after(first[:, 3:], second)])
+    waits = []
+    for level in np.unique(first[first[:, 0] == OPEN, 1]):
+        longest = first[(first[:, 0] == OPEN) & (first[:, 1] == level), 2].max()
+        beyond = (second[:, 0] == OPEN) & (second[:, 1] == level) & (second[:, 2] > longest)
+        waits.append(second[beyond])
+    both = np.concatenate([both, *waits])
+    both = both[np.lexsort((both[:, 2], both[:, 1], both[:, 0]))]
+    return _merged(both)
+
+
+def _merged(table: np.ndarray) -> np.ndarray:
+    """Of neighbouring waits with the same level and end, the latest stands for all."""
+    same = np.all(table[1:, [0, 1, 3, 4, 5]] == table[:-1, [0, 1, 3, 4, 5]], axis=1)
+    return table[np.append(~same | (table[:-1, 0] != OPEN), True)]
+
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int, list]]:
-        names = [*keys, CHUNK_COLUMN, "_clock_before", "_clock_after",
-                 "kind", "count", "until", "end_kind", "end_count", "end_until"]
-        current, gathered = None, []
-        for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in names]
-            for row in zip(*columns, strict=True):
-                group = row[: len(keys) + 1]
-                if group != current:
-                    if gathered:
-                        yield current[:-1], current[-1], gathered
-                    current, gathered = group, []
-                gathered.append(row[len(keys) + 1 :])
-        if gathered:
-            yield current[:-1], current[-1], gathered
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, out = None, []
-        state, clock = (CLOSED, 0, 0), _LONG_AGO
-        schema = None
-        for batch in batches:
-            schema = batch.schema
-            batches = itertools.chain([batch], batches)
-            break
-        if schema is None:
-            return
-
-        def flush():
-            types = [schema.field(k).type for k in keys] + [pa.int64()] * 5
-            names = [*keys, CHUNK_COLUMN, "_clock_before", "kind", "count", "until"]
-            columns = zip(*out, strict=True)
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names)
-
-        for this_key, chunk_no, table in rows_of(batches):
-            if this_key != key:
-                if key is not None:
-                    out.append((*key, None, clock, *state))
-                key, state, clock = this_key, (CLOSED, 0, 0), _LONG_AGO
-            if chunk_no == _START_CHUNK:
-                state, clock = tuple(table[0][5:8]), table[0][1]
-                continue
-            out.append((*key, chunk_no, table[0][0], *state))
-            state, clock = _next(state, table), table[0][1]
-            if len(out) >= 10_000:
-                yield flush()
-                out = []
-        if key is not None:
-            out.append((*key, None, clock, *state))
-        if out:
-            yield flush()
-
-    return chain
-
-
-def _next(state: tuple[int, int, int], table: list[tuple]) -> tuple[int, int, int]:
-    """State after a chunk, from its end table."""
-    kind, count, until = state
-    for row in table:  # sorted by kind, count, until
-        if row[2] == kind and row[3] == count and (kind != OPEN or until <= row[4]):
-            return tuple(row[5:8])
-    if kind != OPEN:
-        raise ValueError(f"no end for state {state}")
-    return state  # still waiting when the chunk ends
+_IS_STATE = 2
+
+
+def _walk(keys: list[str], number: str):
+    """State before each chunk (or stretch) from a state row and the tables in order."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for frame in _whole_groups(batches):
+            lead_kind, matrix, parts = _ints(frame, "_lead"), _matrix(frame, _TABLE), []
+            for lead, end in _groups(frame):
+                if lead_kind[lead] == _IS_STATE:
+                    state = matrix[lead : lead + 1, :3]
+                    continue
+                parts.append((lead, state))
+                if end > lead + 1:
+                    state = _after(state, matrix[lead + 1 : end])
+            if parts:
+                yield from _owned(frame, [*keys, number], parts, _STATE)
+
+    return walk
 
 
 def _replayer(columns: list[str], rules: Rules):
     levels = np.array(rules.cooldowns())
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_chunks(batches):
-            start = [_ints(table, name) for name in ("_kind", "_count", "_until")]
-            parts = [
-                chunk.replay(*(int(x[lead]) for x in start))
-                for lead, _, chunk in _chunks(table, rules)
-            ]
+        for table in _whole_groups(batches):
+            start = _matrix(table, ["_kind", "_count", "_until"]).tolist()
+            parts = [chunk.replay(*start[lead]) for lead, chunk in _chunks(table, rules)]
             done = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
             rows = table.select(columns).filter(pa.array(_ints(table, "_lead") == 0))
             computed = {
@@ -401,92 +418,142 @@ def _replayer(columns: list[str], rules: Rules):
     return replay
 
 
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
 def _ddl(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
 
 
 class _Replay:
-    """The three steps over one set of attempts."""
+    """The steps over one set of attempts."""
 
-    def __init__(self, attempts, rules, keys, order, clock, ok, start, width):
+    def __init__(self, attempts, rules, keys, order, clock, ok, start, width, stretch):
         self.attempts, self.rules, self.keys, self.order = attempts, rules, list(keys), order
-        self.start = start
+        self.start, self.stretch = start, stretch
+        self.by_chunk = [*self.keys, CHUNK_COLUMN]
         self.coded = chunked(attempts, order, width=width).withColumns(
             {
                 "_at": F.col(clock).cast("bigint"),
-                "_outcome": F.coalesce(F.col(ok).cast("bigint"), F.lit(-1).cast("bigint")),
+                "_outcome": F.coalesce(F.col(ok).cast("bigint"), _long(-1)),
             }
         )
-        self.by_chunk = [*self.keys, CHUNK_COLUMN]
+        # one row per chunk, read by every step
+        self.chunks = written(self._chunk_list(), "chunks")
+
+    def _chunk_list(self) -> DataFrame:
+        """Chunks with the latest time before them, and their place among a key's."""
+        latest = self.coded.groupBy(*self.by_chunk).agg(F.max("_at").alias("_latest"))
+        by_key = Window.partitionBy(*self.keys).orderBy(CHUNK_COLUMN)
+        before = by_key.rowsBetween(Window.unboundedPreceding, -1)
+        clock_before = F.max("_latest").over(before)
+        chunks = latest.select(
+            *self.by_chunk,
+            clock_before.alias("_clock_before"),
+            clock_before.isNull().alias("_first"),
+            F.lead(CHUNK_COLUMN).over(by_key).isNotNull().alias("_followed"),
+        )
+        if self.start is None:
+            states = {c: _long(0) for c in ("_kind", "_count", "_until")}
+            return chunks.withColumns(
+                {"_clock_before": F.coalesce("_clock_before", _long(_LONG_AGO)), **states}
+            )
+        start = self.start.select(
+            *self.keys,
+            *[F.col(c).cast("bigint").alias(f"_{c}") for c in (*_STATE, "clock")],
+        )
+        states = {c: F.coalesce(c, _long(0)) for c in ("_kind", "_count", "_until")}
+        clock = F.coalesce(F.greatest("_clock_before", "_clock"), _long(_LONG_AGO))
+        return (
+            chunks.join(start, self.keys, "left")
+            .withColumns({"_clock_before": clock, **states})
+            .drop("_clock")
+        )
 
     def _led(self, rows: DataFrame, leads: DataFrame) -> DataFrame:
-        """Rows of each chunk behind its lead row, in order, in one partition.
+        """Attempts of each chunk behind its lead row, in order, in one partition.
 
         One shuffle, and no join: what a chunk has to know travels in its lead row.
         """
         numbers = [c for c in leads.columns if c not in self.by_chunk]
-        zero = F.lit(0).cast("bigint")
-        rows = rows.withColumns({"_lead": zero, **{c: zero for c in numbers}})
-        leads = leads.withColumns(
-            {"_lead": F.lit(1).cast("bigint"), "_at": zero, "_outcome": zero}
-        )
+        rows = rows.withColumns({"_lead": _long(0), **{c: _long(0) for c in numbers}})
+        leads = leads.withColumns({"_lead": _long(1), "_at": _long(0), "_outcome": _long(0)})
         return (
             rows.unionByName(leads, allowMissingColumns=True)
             .repartition(*self.by_chunk)
             .sortWithinPartitions(*self.by_chunk, F.col("_lead").desc(), self.order)
         )
 
-    def _clocks(self) -> DataFrame:
-        """Latest time before each chunk: one row per chunk."""
-        latest = self.coded.groupBy(*self.by_chunk).agg(F.max("_at").alias("_latest"))
-        if self.start is not None:
-            latest = latest.unionByName(
-                self.start.select(
-                    *self.keys,
-                    F.lit(_START_CHUNK).alias(CHUNK_COLUMN),
-                    F.col("clock").alias("_latest"),
-                )
-            )
-        before = (
-            Window.partitionBy(*self.keys)
-            .orderBy(CHUNK_COLUMN)
-            .rowsBetween(Window.unboundedPreceding, -1)
+    def _end_tables(self) -> DataFrame:
+        """End tables of all chunks that another one of the same key follows."""
+        followed = self.chunks.where("_followed").select(*self.by_chunk, "_clock_before")
+        rows = self.coded.select(*self.by_chunk, self.order, "_at", "_outcome").join(
+            followed.select(*self.by_chunk), self.by_chunk, "left_semi"
         )
-        clocks = latest.select(
-            *self.by_chunk,
-            F.coalesce(F.max("_latest").over(before), F.lit(_LONG_AGO)).alias("_clock_before"),
+        ends = self._led(rows, followed).mapInArrow(
+            _end_tables(self.keys, self.rules),
+            ", ".join([*_ddl(self.coded, self.by_chunk), *[f"{c} bigint" for c in _TABLE]]),
+        )
+        return written(ends, "ends")
+
+    def _walked(self, by: list[str], number: str, states, leads, tables) -> DataFrame:
+        """State before each of ``leads`` (chunks or stretches), starting from ``states``."""
+        empty = {c: _long(0) for c in _TABLE}
+        rows = (
+            states.withColumns({**{c: _long(0) for c in _TABLE[3:]}, "_lead": _long(_IS_STATE)})
+            .unionByName(leads.withColumns({**empty, "_lead": _long(1)}), allowMissingColumns=True)
+            .unionByName(tables.withColumn("_lead", _long(0)))
+        )
+        return (
+            rows.repartition(*by)
+            .sortWithinPartitions(*by, F.col(number).asc_nulls_first(), F.col("_lead").desc(), *_STATE)
+            .mapInArrow(
+                _walk(self.keys, number),
+                ", ".join([*_ddl(rows, [*self.keys, number]), *[f"{c} bigint" for c in _STATE]]),
+            )
         )
-        return clocks.where(F.col(CHUNK_COLUMN) != _START_CHUNK)
 
-    def states(self) -> DataFrame:
-        """State before each chunk, and after the last one (chunk NULL)."""
-        rows = self.coded.select(*self.by_chunk, self.order, "_at", "_outcome")
-        fields = [*_ddl(self.coded, self.by_chunk), "_clock_before bigint"]
-        ends = self._led(rows, self._clocks()).mapInArrow(
-            _end_tables(self.keys, self.rules),
-            ", ".join([*fields, "_clock_after bigint", _STATE, _ENDS]),
+    def _states(self) -> DataFrame:
+        """State before each chunk: ``keys, chunk, kind, count, until``."""
+        named = {"_kind": "kind", "_count": "count", "_until": "until"}
+        first = self.chunks.where("_first").withColumnsRenamed(named).select(*self.by_chunk, *_STATE)
+        most = self.chunks.groupBy(*self.keys).count().agg(F.max("count")).first()[0]
+        if most is None or most == 1:
+            return first
+        tables, leads = self._end_tables(), self.chunks.select(*self.by_chunk)
+        first = first.drop(CHUNK_COLUMN)
+        if most <= self.stretch:
+            return self._walked(self.keys, CHUNK_COLUMN, first, leads, tables)
+
+        stretch = {"_stretch": F.floor(F.col(CHUNK_COLUMN) / self.stretch).cast("bigint")}
+        tables, leads = tables.withColumns(stretch), leads.withColumns(stretch)
+        by_stretch = [*self.keys, "_stretch"]
+        followed = (
+            leads.select(*by_stretch)
+            .distinct()
+            .withColumn("_next", F.lead("_stretch").over(
+                Window.partitionBy(*self.keys).orderBy("_stretch")))
         )
-        if self.start is not None:
-            zero = F.lit(0).cast("bigint")
-            ends = ends.unionByName(
-                self.start.select(
-                    *self.keys,
-                    F.lit(_START_CHUNK).alias(CHUNK_COLUMN),
-                    F.lit(_LONG_AGO).alias("_clock_before"),
-                    F.col("clock").alias("_clock_after"),
-                    *[zero.alias(c) for c in ("kind", "count", "until")],
-                    *[F.col(c).alias(f"end_{c}") for c in ("kind", "count", "until")],
-                )
+        composed = (
+            leads.withColumns({**{c: _long(0) for c in _TABLE}, "_lead": _long(1)})
+            .unionByName(tables.withColumn("_lead", _long(0)))
+            .join(followed.where("_next IS NOT NULL").drop("_next"), by_stretch, "left_semi")
+            .repartition(*by_stretch)
+            .sortWithinPartitions(*by_stretch, CHUNK_COLUMN, F.col("_lead").desc(), *_STATE)
+            .mapInArrow(
+                _stretch_tables(self.keys),
+                ", ".join([*_ddl(leads, by_stretch), *[f"{c} bigint" for c in _TABLE]]),
             )
-        return (
-            ends.repartition(*self.keys)
-            .sortWithinPartitions(*self.by_chunk, "kind", "count", "until")
-            .mapInArrow(_chain(self.keys), ", ".join([*fields, _STATE]))
         )
+        states = self._walked(
+            self.keys, "_stretch", first, followed.select(*by_stretch), composed
+        )
+        return self._walked(by_stretch, CHUNK_COLUMN, states, leads, tables)
 
     def replayed(self) -> DataFrame:
-        states = self.states().where(F.col(CHUNK_COLUMN).isNotNull())
-        leads = states.withColumnsRenamed({"kind": "_kind", "count": "_count", "until": "_until"})
+        states = self._states().withColumnsRenamed({c: f"_{c}" for c in _STATE})
+        leads = self.chunks.select(*self.by_chunk, "_clock_before").join(states, self.by_chunk)
         columns = self.attempts.columns
         return self._led(self.coded, leads).mapInArrow(
             _replayer(columns, self.rules),
@@ -509,7 +576,8 @@ def replay(
     clock: str = "at_s",
     ok: str = "ok",
     start: DataFrame | None = None,
-    width: int = CHUNK,
+    width: int = BREAKER_CHUNK,
+    stretch: int = STRETCH,
 ) -> DataFrame:
     """Add what the breaker did at every attempt.
 
@@ -519,24 +587,35 @@ def replay(
     an integer, unique per key; a clock that steps back counts as standing still.
     ``start`` holds states to continue from, as :func:`final_states` gives them.
     """
-    return _Replay(attempts, rules, keys, order, clock, ok, start, width).replayed()
+    return _Replay(attempts, rules, keys, order, clock, ok, start, width, stretch).replayed()
 
 
 def final_states(
-    attempts: DataFrame,
+    decisions: DataFrame,
     rules: Rules = Rules(),
     *,
     keys: Sequence[str] = ("hostname",),
     order: str = "seq",
     clock: str = "at_s",
-    ok: str = "ok",
-    start: DataFrame | None = None,
-    width: int = CHUNK,
 ) -> DataFrame:
-    """State after the last attempt per key: ``kind, count, until, clock``."""
-    states = _Replay(attempts, rules, keys, order, clock, ok, start, width).states()
-    last = states.where(F.col(CHUNK_COLUMN).isNull())
-    return last.withColumnRenamed("_clock_before", "clock").drop(CHUNK_COLUMN)
+    """State after the last attempt per key, from a replay: ``kind, count, until, clock``."""
+    levels = F.array(*[_long(c) for c in rules.cooldowns()])
+    names = F.array(*[F.lit(n) for n in STATE_NAMES])
+    after = F.struct(order, "state", "failures", "cooldown", "open_until")
+    last = F.col("_last")
+    return (
+        decisions.groupBy(*keys)
+        .agg(F.max(after).alias("_last"), F.max(clock).alias("clock"))
+        .select(
+            *keys,
+            (F.array_position(names, last["state"]) - 1).alias("kind"),
+            F.when(last["state"] == "closed", last["failures"])
+            .otherwise(F.array_position(levels, last["cooldown"]) - 1)
+            .alias("count"),
+            F.coalesce(last["open_until"], _long(0)).alias("until"),
+            F.col("clock").cast("bigint").alias("clock"),
+        )
+    )
 
 
 def first_within(
@@ -546,7 +625,7 @@ def first_within(
     order: str = "seq",
     clock: str = "received_at",
     seconds: int = C.IDEMPOTENCY_WINDOW_SECONDS,
-    width: int = CHUNK,
+    width: int = BREAKER_CHUNK,
 ) -> DataFrame:
     """Rows that are not repeats: the first per key, then the first at least
     ``seconds`` after the last one kept, and so on.

@@ -32,19 +32,17 @@ def breaker_stream(
     keys = list(keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.drop("_chunk")
         known = states(spark, out, batch_id - 1, keys) if batch_id else None
-        start = known
-        if known is not None:
-            # only hosts of this batch have anything to continue
-            start = known.join(batch.select(*keys).distinct(), keys, "left_semi")
-        replay(batch, rules, keys=keys, start=start, **columns).write.mode("overwrite").parquet(
-            f"{out}/decisions/batch_id={batch_id}"
+        target = f"{out}/decisions/batch_id={batch_id}"
+        replay(batch, rules, keys=keys, start=known, **columns).write.mode("overwrite").parquet(
+            target
         )
-        last = final_states(batch, rules, keys=keys, start=start, **columns)
+        last = final_states(spark.read.parquet(target), rules, keys=keys, **columns)
         if known is not None:
+            # hosts without attempts keep their state; no clock runs backwards
+            clocks = last.unionByName(known).groupBy(*keys).agg(F.max("clock").alias("clock"))
             quiet = known.join(last.select(*keys), keys, "left_anti")
-            last = last.unionByName(quiet)
+            last = last.unionByName(quiet).drop("clock").join(clocks, keys)
         last.write.mode("overwrite").parquet(f"{out}/states/batch_id={batch_id}")
 
     writer = attempts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -124,7 +124,7 @@ def test_replay_like_the_machine(spark, rows, seed, width):
         for h, seq, at, ok in data
     ]
     df = spark.createDataFrame(data, "hostname string, seq long, at_s long, ok boolean")
-    got = b.replay(df.repartition(4), rules, width=width)
+    got = b.replay(df.repartition(4), rules, width=width, stretch=(4, 10, 1000, 3, 1000)[seed])
     columns = ["hostname", "seq", "allowed", "state", "failures", "cooldown", "open_until"]
     result = sorted((tuple(x) for x in got.select(*columns).collect()), key=lambda t: t[:2])
     wanted = sorted(want, key=lambda t: t[:2])
@@ -143,11 +143,11 @@ def test_replay_continues_from_states(spark):
     whole = as_set(b.replay(spark.createDataFrame(data, schema), rules, width=50))
     old = spark.createDataFrame([x for x in data if x[1] < 777], schema)
     new = spark.createDataFrame([x for x in data if x[1] >= 777], schema)
-    start = b.final_states(old, rules, width=31)
-    split = as_set(b.replay(old, rules, width=31)) | as_set(
-        b.replay(new, rules, start=start, width=31)
-    )
-    assert split == whole
+    before = b.replay(old, rules, width=31)
+    start = b.final_states(before, rules)
+    for width in (31, 100_000):
+        after = b.replay(new, rules, start=start, width=width, stretch=3)
+        assert as_set(before) | as_set(after) == whole
 
 
 def test_clock_that_steps_back_stands_still(spark):
