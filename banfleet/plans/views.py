@@ -93,7 +93,11 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_lines(events: DataFrame) -> DataFrame:
-    return with_host(events).selectExpr("hostname", "event_id AS seq", "at_s", f"{_LINE} AS line")
+    """Log lines. The generator makes ``line`` a column like one that was read: it is
+    put together once, however many conditions on it follow."""
+    return with_host(events).selectExpr(
+        "hostname", "event_id AS seq", "at_s", f"explode(array({_LINE})) AS line"
+    )
 
 
 def ban_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
