@@ -250,19 +250,32 @@ def snapshot_rows(
 def merge_snapshot(
     current: DataFrame, snapshot: DataFrame, keys: Sequence[str] = KEY
 ) -> DataFrame:
-    """Full sync: snapshot rows replace or add, nothing is ever removed."""
-    kept = current.join(snapshot.select(*keys), list(keys), "left_anti")
-    return kept.select(*keys, "applied_at", "source").unionByName(
-        snapshot.select(*keys, "applied_at", "source")
+    """Full sync: snapshot rows replace or add, nothing is ever removed.
+
+    Both sides have one row per key and are read once, by one join.
+    """
+    new = snapshot.select(
+        *keys, F.struct(F.col("applied_at").alias("at"), F.col("source").alias("of")).alias("_new")
+    )
+    replaced = F.col("_new").isNotNull()
+    return current.join(new, list(keys), "full_outer").select(
+        *keys,
+        F.when(replaced, F.col("_new.at")).otherwise(F.col("applied_at")).alias("applied_at"),
+        F.when(replaced, F.col("_new.of")).otherwise(F.col("source")).alias("source"),
     )
 
 
 def drift(current: DataFrame, snapshot: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Addresses on one side only."""
-    extra = current.select(*keys).join(snapshot.select(*keys), list(keys), "left_anti")
-    missing = snapshot.select(*keys).join(current.select(*keys), list(keys), "left_anti")
-    return extra.withColumn("side", F.lit("applied_only")).unionByName(
-        missing.withColumn("side", F.lit("feed_only"))
+    """Addresses on one side only: both differences from one join."""
+    here = current.select(*keys, F.lit(True).alias("_here"))
+    there = snapshot.select(*keys, F.lit(True).alias("_there"))
+    side = F.when(F.col("_there").isNull(), "applied_only").when(
+        F.col("_here").isNull(), "feed_only"
+    )
+    return (
+        here.join(there, list(keys), "full_outer")
+        .select(*keys, side.alias("side"))
+        .where("side IS NOT NULL")
     )
 
 
@@ -270,10 +283,13 @@ def feed_off(
     current: DataFrame, unbanned: DataFrame, keys: Sequence[str] = KEY
 ) -> DataFrame:
     """Leave the global feed: global rows go where the removal was enforced."""
-    gone = current.where(F.col("source") == C.GLOBAL_SOURCE).join(
-        unbanned.where(F.col("enforced")).select(*keys), list(keys), "left_semi"
+    outcome = unbanned.groupBy(*keys).agg(F.bool_or("enforced").alias("_gone"))
+    gone = (F.col("source") == C.GLOBAL_SOURCE) & F.col("_gone")
+    return (
+        current.join(outcome, list(keys), "left")
+        .where(~F.coalesce(gone, F.lit(False)))
+        .select(*current.columns)
     )
-    return current.join(gone.select(*keys), list(keys), "left_anti")
 
 
 def active(current: DataFrame, as_of: int, ban_seconds: int = C.BAN_SECONDS) -> DataFrame:

@@ -10,6 +10,7 @@ from banfleet.operators import feed as f
 from banfleet.operators import status as st
 from banfleet.plans import views as v
 from banfleet.plans.views import AS_OF_S, sql
+from banfleet.session import written
 from banfleet.sources import pages as p
 
 ONE_HOST = ("ip",)
@@ -152,14 +153,14 @@ def sync_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 def feed_off(spark: SparkSession, sf: str) -> DataFrame:
     """Global addresses leave, but for IPv6 ones, which these hosts fail to unban."""
-    current = applied_fleet(spark, sf)
+    current = written(applied_fleet(spark, sf), "applied")
     outcome = current.select("hostname", "ip", (~F.col("ip").contains(":")).alias("enforced"))
     return f.feed_off(current, outcome)
 
 
 def feed_off_keys(spark: SparkSession, sf: str) -> DataFrame:
     """All applied addresses less the global ones, as sets."""
-    current = applied_fleet(spark, sf)
+    current = written(applied_fleet(spark, sf), "applied")
     return current.select("hostname", "ip").exceptAll(
         current.where(F.col("source") == C.GLOBAL_SOURCE).select("hostname", "ip")
     )
