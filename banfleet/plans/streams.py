@@ -28,7 +28,7 @@ from banfleet.streaming.ingest import ingest, read_queue
 from banfleet.streaming.liveness import liveness_stream
 from banfleet.streaming.merge import applied_state, merge_stream
 
-LIVENESS_HEARTBEAT = 3600
+LIVENESS_HEARTBEAT = 900
 
 
 def _stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
@@ -174,17 +174,12 @@ def stream_flush(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_liveness(spark: SparkSession, sf: str) -> DataFrame:
-    """Status changes per host from the stream of stored snapshots."""
-    snapshots = (
-        v.with_host(_stream(spark, sf))
-        .where("k % 5 = 4")
-        .selectExpr(
-            "hostname",
-            "at_s",
-            "CASE WHEN k < 60 THEN 'healthy' WHEN k < 80 THEN 'degraded' ELSE 'critical' END "
-            "AS status",
-            "CAST(ts AS TIMESTAMP) AS event_time",
-        )
+    """Status changes per host from a stream of snapshots (here every event is one)."""
+    snapshots = v.with_host(_stream(spark, sf)).selectExpr(
+        "hostname",
+        "at_s",
+        "CASE WHEN k < 60 THEN 'healthy' WHEN k < 80 THEN 'degraded' ELSE 'critical' END AS status",
+        "CAST(ts AS TIMESTAMP) AS event_time",
     )
     folder = scratch_folder(spark, "liveness")
     with _rocksdb(spark):
@@ -288,12 +283,12 @@ ORACLES = {
         f"""SELECT hostname, status, at_s FROM last UNION ALL
           SELECT hostname, 'critical' AS status, at_s + {2 * LIVENESS_HEARTBEAT + 1} AS at_s
           FROM last WHERE status <> 'critical' AND at_s + {2 * LIVENESS_HEARTBEAT + 1} <
-            (SELECT max(epoch_ms(ts)) / 1000 FROM ev WHERE k % 5 = 4)""",
+            (SELECT max(epoch_ms(ts)) / 1000 FROM ev)""",
         "ev",
         extra={
             "last": """SELECT hostname, at_s, CASE WHEN k < 60 THEN 'healthy' WHEN k < 80
                 THEN 'degraded' ELSE 'critical' END AS status FROM (SELECT *, row_number() OVER
-                (PARTITION BY hostname ORDER BY at_s DESC) AS rn FROM ev WHERE k % 5 = 4)
+                (PARTITION BY hostname ORDER BY at_s DESC) AS rn FROM ev)
               WHERE rn = 1"""
         },
     ),

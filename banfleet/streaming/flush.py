@@ -13,9 +13,8 @@ from banfleet import __version__
 from banfleet import constants as C
 from banfleet.functions.report import idempotency_key
 
-_BAN = "id: bigint, jail: string, ip: string, banned_at: string"
-_OUT = f"hostname string, lane bigint, flush_no bigint, _bans array<struct<{_BAN}>>"
 _FIELDS = ["id", "jail", "ip", "banned_at"]
+_COLUMNS = "id array<bigint>, jail array<string>, ip array<string>, banned_at array<string>"
 
 
 def now_ms(timer_values, time_mode: str) -> int:
@@ -35,53 +34,46 @@ class FlushProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         # fewer than early_at rows ever stay, so one value holds them
-        self.kept = handle.getValueState(
-            "kept",
-            "flush_no bigint, due bigint, id array<bigint>, jail array<string>, "
-            "ip array<string>, banned_at array<string>",
-        )
+        self.kept = handle.getValueState("kept", f"flush_no bigint, due bigint, {_COLUMNS}")
 
-    def _load(self) -> tuple[int, int | None, list[tuple]]:
+    def _load(self) -> tuple[int, int | None, list[list]]:
         if not self.kept.exists():
-            return 0, None, []
+            return 0, None, [[], [], [], []]
         flush_no, due, *columns = self.kept.get()
-        return flush_no, due, list(zip(*columns, strict=True))
-
-    def _store(self, flush_no: int, due: int | None, rows: list[tuple]) -> None:
-        columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
-        self.kept.update((flush_no, due, *columns))
+        return flush_no, due, [list(c) for c in columns]
 
-    def _send(self, key, rows: list[tuple], least: int, flush_no: int):
-        """Whole batches while at least ``least`` rows wait; what stays, and the next number."""
-        sent = []
-        while len(rows) >= least and rows:
-            bans = [dict(zip(_FIELDS, r, strict=True)) for r in rows[: self.batch]]
-            sent.append((key[0], key[1], flush_no, bans))
-            rows, flush_no = rows[self.batch :], flush_no + 1
-        return sent, rows, flush_no
+    def _send(self, key, columns: list[list], least: int, flush_no: int):
+        """Batches while at least ``least`` rows wait; what stays, and the next number."""
+        sent, at, n = [], 0, len(columns[0])
+        while n - at >= max(least, 1):
+            sent.append((*key, flush_no, *[c[at : at + self.batch] for c in columns]))
+            at, flush_no = min(at + self.batch, n), flush_no + 1
+        return sent, [c[at:] for c in columns], flush_no
 
     def _frame(self, sent) -> Iterator[pd.DataFrame]:
         if sent:
-            yield pd.DataFrame(sent, columns=["hostname", "lane", "flush_no", "_bans"])
+            yield pd.DataFrame(sent, columns=["hostname", "lane", "flush_no", *_FIELDS])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [t for pdf in rows for t in pdf[_FIELDS].itertuples(index=False, name=None)]
-        fresh = [(int(r[0]), *r[1:]) for r in fresh]
         flush_no, due, kept = self._load()
-        sent, rest, flush_no = self._send(key, sorted(kept + fresh), self.early_at, flush_no)
-        if rest and due is None:
+        waiting = pd.DataFrame(dict(zip(_FIELDS, kept, strict=True)))
+        arrived = [pdf[_FIELDS] for pdf in rows]
+        waiting = pd.concat([waiting, *arrived] if kept[0] else arrived).sort_values("id")
+        columns = [waiting[name].tolist() for name in _FIELDS]
+        sent, rest, flush_no = self._send(key, columns, self.early_at, flush_no)
+        if rest[0] and due is None:
             due = now_ms(timerValues, self.time_mode) + self.milliseconds
             self.handle.registerTimer(due)
-        elif not rest and due is not None:
+        elif not rest[0] and due is not None:
             self.handle.deleteTimer(due)
             due = None
-        self._store(flush_no, due, rest)
+        self.kept.update((flush_no, due, *rest))
         yield from self._frame(sent)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        flush_no, _, rows = self._load()
-        sent, rest, flush_no = self._send(key, sorted(rows), 1, flush_no)
-        self._store(flush_no, None, rest)
+        flush_no, _, columns = self._load()
+        sent, rest, flush_no = self._send(key, columns, 1, flush_no)
+        self.kept.update((flush_no, None, *rest))
         yield from self._frame(sent)
 
 
@@ -108,14 +100,13 @@ def flush_stream(
         .groupBy("hostname", "lane")
         .transformWithStateInPandas(
             statefulProcessor=FlushProcessor(seconds, early_at, batch, time_mode),
-            outputStructType=_OUT,
+            outputStructType=f"hostname string, lane bigint, flush_no bigint, {_COLUMNS}",
             outputMode="Append",
             timeMode=time_mode,
         )
     )
-    ids = F.transform("_bans", lambda r: r["id"])
     bans = F.transform(
-        "_bans",
+        F.arrays_zip("jail", "ip", "banned_at"),
         lambda r: F.struct(
             r["jail"].alias("jail"), r["ip"].alias("ip"), r["banned_at"].alias("banned_at")
         ),
@@ -124,8 +115,8 @@ def flush_stream(
         "hostname",
         "lane",
         "flush_no",
-        ids.alias("ids"),
-        idempotency_key(ids).alias("idempotency_key"),
+        F.col("id").alias("ids"),
+        idempotency_key(F.col("id")).alias("idempotency_key"),
         F.to_json(
             F.struct(F.lit(agent_version).alias("agent_version"), "hostname", bans.alias("bans"))
         ).alias("payload"),

@@ -55,6 +55,7 @@ def test_ingest_reads_each_segment_once(spark, folder, rows):
     put_segment(log, "a", "1", [LINE + "1", "noise", LINE + "2", LINE + "2"])
     put_segment(log, "b", "1", [LINE + "9"])
     run()
+    put_segment(log, "c", "1", ["nothing of interest"])
     put_segment(log, "a", "2", [LINE + "3"])  # a rotated log is a new segment
     run()
     run()
