@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banfleet.llm import byte_bpe, chat, packing, token_counts
+from banfleet.llm import byte_bpe, chat, langid, packing, token_counts
 from banfleet.session import scratch_folder
 
 
@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.learn(docs.where(~langid.held_out()), F.col("lang"), F.col("text"))
+    found = langid.predict(docs, filters)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts by the byte-level tokenizer, from a cache that starts empty."""
     docs = table(spark, sf_dir, "documents")
@@ -47,5 +55,5 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render_conversations(chat.log_of(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_packing, op8_byte_bpe, op9_chat)}
+QUERIES = {f.__name__: f for f in (op2_language, op4_token_counts, op5_packing, op8_byte_bpe, op9_chat)}
 ORACLES: dict[str, str] = {}
