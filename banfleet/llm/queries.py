@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banfleet.llm import byte_bpe, chat, langid, packing, token_counts
+from banfleet.llm import byte_bpe, chat, langid, packing, quality, token_counts
 from banfleet.session import scratch_folder
 
 
@@ -55,5 +55,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render_conversations(chat.log_of(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op4_token_counts, op5_packing, op8_byte_bpe, op9_chat)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of three quarters of them."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.score_documents(docs, labels, ~langid.held_out())
+    return found.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op2_language, op4_token_counts, op5_packing, op8_byte_bpe, op9_chat, op10_quality)}
 ORACLES: dict[str, str] = {}

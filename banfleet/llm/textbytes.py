@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
+from banfleet.llm.workers import worker_cache
+
 #: Bytes that are looked at together: small enough for the processor's caches.
 CHUNK = 1 << 20
 
@@ -63,7 +64,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@cache
 def _mixers() -> tuple[np.ndarray, int, int]:
     """64 random bits per byte value, an odd base and its inverse modulo 2^64."""
     draw = np.random.default_rng(20240229)
@@ -71,9 +71,8 @@ def _mixers() -> tuple[np.ndarray, int, int]:
     return draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), base, pow(base, -1, 1 << 64)
 
 
-@cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    _, base, inverse = _mixers()
+    _, base, inverse = worker_cache("mixers", _mixers)
     out = []
     for x in (base, inverse):
         p = np.full(n, x, np.uint64)
@@ -91,9 +90,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each stretch of bytes; equal stretches have equal hashes wherever they are."""
-    mix, _, _ = _mixers()
+    mix, _, _ = worker_cache("mixers", _mixers)
     size = 1 << max(20, int(len(data)).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = worker_cache(("powers", size), lambda: _powers(size))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(mix[data] * power[: len(data)], out=sums[1:])
     return mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
