@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banfleet.llm import byte_bpe, chat, langid, ngram_join, packing, quality, token_counts
+from banfleet.llm import byte_bpe, chat, embedding_dedup, langid, ngram_join, packing, quality, token_counts
 from banfleet.session import scratch_folder
 
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every vector, within its label."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
@@ -67,5 +72,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op4_token_counts, op5_packing, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language, op4_token_counts, op5_packing, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality)}
 ORACLES: dict[str, str] = {}

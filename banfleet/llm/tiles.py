@@ -56,29 +56,6 @@ def stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-class Forest:
-    """Union-find over positions; the least position is a tree's root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, others) -> None:
-        a = self.root(a)
-        for b in others:
-            b = self.root(b)
-            if a != b:
-                if b < a:
-                    a, b = b, a
-                self.up[b] = a
-
-
 def compare_tile(
     table: pa.Table, order: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray], weight: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +66,7 @@ def compare_tile(
     """
     n, block = len(table), table.column("_b").to_numpy()
     single = table.column("_i")[0] == table.column("_j")[0]
-    count, forest = np.zeros(n, np.int64), Forest(n)
+    count, tree = np.zeros(n, np.int64), np.arange(n)
     block, weight = block[order], weight[order]
     other = np.flatnonzero(block != block[0]) if n and not single else None
     for a in range(n):
@@ -106,9 +83,10 @@ def compare_tile(
         if len(found):
             count[a] += weight[found].sum()
             count[found] += weight[a]
-            forest.join(a, found.tolist())
-    roots = np.array([forest.root(x) for x in range(n)], np.int64)
+            if (tree[found] != tree[a]).any():
+                joined = np.unique(np.append(tree[found], tree[a]))
+                tree[np.isin(tree, joined)] = joined[0]
     out_count, out_root = np.empty(n, np.int64), np.empty(n, np.int64)
     out_count[order] = count
-    out_root[order] = order[roots]
+    out_root[order] = order[tree]
     return out_count, out_root
