@@ -13,6 +13,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from itertools import filterfalse
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ class Tables:
 class Encoder:
     """Words (matches of the pattern) to ids."""
 
-    def __init__(self, tables: Tables, pattern: str, most: int = 1_000_000):
+    def __init__(self, tables: Tables, pattern: str, most: int = 250_000):
         import ahocorasick
         import regex
 
@@ -195,11 +196,11 @@ def encode(
     vocabulary's tables are broadcast: their size is that of the vocabulary, not of the data.
     """
     spark = docs.sparkSession
-    tables = spark.sparkContext.broadcast(read_tables(ranks))
+    tables = spark.sparkContext.broadcast(vars(read_tables(ranks)))
     key = ("byte_bpe", ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(key, lambda: Encoder(tables.value, pattern))
+        encoder = worker_cache(key, lambda: Encoder(SimpleNamespace(**tables.value), pattern))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             at = 0

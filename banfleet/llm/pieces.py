@@ -47,7 +47,7 @@ class Pieces:
     The memo holds ids as bytes (32 bits each): they are joined at the speed of a copy.
     """
 
-    def __init__(self, content: bytes, most: int = 1_000_000):
+    def __init__(self, content: bytes, most: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
