@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banfleet.llm import byte_bpe, chat, embedding_dedup, langid, ngram_join, packing, quality, token_counts
+from banfleet.llm import byte_bpe, chat, embedding_dedup, langid, ngram_join, packing, quality, suffix_dedup, token_counts
 from banfleet.session import scratch_folder
 
 
@@ -27,6 +27,14 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without strings that an earlier one has."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts by the byte-level tokenizer, from a cache that starts empty."""
     docs = table(spark, sf_dir, "documents")
@@ -72,5 +80,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language, op4_token_counts, op5_packing, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language, op3_suffix_dedup, op4_token_counts, op5_packing, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality)}
 ORACLES: dict[str, str] = {}
