@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banfleet.llm import byte_bpe, chat, embedding_dedup, langid, ngram_join, packing, quality, suffix_dedup, token_counts
+from banfleet.llm import ann, byte_bpe, chat, embedding_dedup, langid, ngram_join, packing, quality, suffix_dedup, token_counts
 from banfleet.session import scratch_folder
 
 
@@ -49,6 +49,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, among all."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document, and how many others it is linked with."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -80,5 +85,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language, op3_suffix_dedup, op4_token_counts, op5_packing, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language, op3_suffix_dedup, op4_token_counts, op5_packing, op6_ann, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality)}
 ORACLES: dict[str, str] = {}
