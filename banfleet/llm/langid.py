@@ -143,13 +143,32 @@ def shares(filters: Filters, gram: np.ndarray, starts: np.ndarray) -> np.ndarray
     return (out - n[:, None] * wrong) / (np.maximum(n, 1)[:, None] * np.maximum(1 - wrong, 1e-9))
 
 
+def identify(filters: Filters, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each text's language (past the last: none) and its score."""
+    lang, score = np.full(len(column), len(filters.langs)), np.zeros(len(column))
+    for c in chunks(column) if filters.langs else ():
+        rows = slice(c.first, c.first + len(c.starts) - 1)
+        share = shares(filters, *grams(c.data, c.starts))
+        best = share.argmax(1)
+        top = share[np.arange(len(best)), best]
+        best[top <= 0] = filters.prior
+        folded = _FOLD[c.data]
+        letters = per_text((folded != 32) & (folded < 128), c.starts)
+        for i in np.flatnonzero(letters == 0):
+            if not any(map(str.isalpha, column[c.first + int(i)].as_py() or "")):
+                best[i], top[i] = len(filters.langs), 0
+        lang[rows], score[rows] = best, np.clip(top, 0, 1)
+    return lang, score
+
+
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``lang_pred`` and ``score`` (0 to 1).
 
     The score is the corrected share of the text's n-grams that the language holds. A null text and
     one without a letter are ``und`` with score 0; a text without a known n-gram gets the
     language with the most learned texts and score 0, and equal shares the first by name. Nothing learned
-    gives ``und`` everywhere. The table is broadcast; its size is fixed.
+    gives ``und`` everywhere. Repeated rows and null ids stay; other columns are not read; an empty table gives
+    no rows. The table of filters is broadcast; its size is fixed.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(filters))
     names = [*filters.langs, "und"]
@@ -157,20 +176,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Filters(*shared.value)
         for batch in batches:
-            column = batch.column("text")
-            lang, score = np.full(len(column), len(f.langs)), np.zeros(len(column))
-            for c in chunks(column) if f.langs else ():
-                rows = slice(c.first, c.first + len(c.starts) - 1)
-                share = shares(f, *grams(c.data, c.starts))
-                best = share.argmax(1)
-                top = share[np.arange(len(best)), best]
-                best[top <= 0] = f.prior
-                folded = _FOLD[c.data]
-                letters = per_text((folded != 32) & (folded < 128), c.starts)
-                for i in np.flatnonzero(letters == 0):
-                    if not any(map(str.isalpha, column[c.first + int(i)].as_py() or "")):
-                        best[i], top[i] = len(f.langs), 0
-                lang[rows], score[rows] = best, np.clip(top, 0, 1)
+            lang, score = identify(f, batch.column("text"))
             found = pa.DictionaryArray.from_arrays(pa.array(lang), pa.array(names)).dictionary_decode()
             yield pa.RecordBatch.from_arrays([batch.column("id"), found, pa.array(score)], names=["id", "lang_pred", "score"])
 
@@ -179,6 +185,19 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep_known(docs: DataFrame, filters: Filters, least: float, text_col: str = "text") -> DataFrame:
+    """Whole rows whose text has a language with at least that score; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(filters))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Filters(*shared.value)
+        for batch in batches:
+            lang, score = identify(f, batch.column(text_col))
+            yield batch.filter(pa.array((lang < len(f.langs)) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that nothing is learned from: a quarter of all ids, null included in none."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from banfleet.llm.textbytes import chunks, per_text, span_hashes, words
 from banfleet.llm.workers import written
@@ -101,6 +102,21 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def with_statistics(docs: DataFrame, prefix: str, text_col: str = "text") -> DataFrame:
+    """Whole rows, with the statistics as further columns; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(text_col)):
+                found = statistics_of(c.data, c.starts)
+                own = batch.slice(c.first, len(found))
+                columns = [*own.columns, *(pa.array(found[:, i]) for i in range(len(STATISTICS)))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*own.schema.names, *(prefix + x for x in STATISTICS)])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + x, T.DoubleType()) for x in STATISTICS)])
+    return docs.mapInArrow(run, schema)
+
+
 #: A rule: bounds (statistic, upper?, threshold) that hold together.
 Rule = tuple[tuple[str, bool, float], ...]
 
@@ -115,8 +131,8 @@ def _paths(node, above: Rule = ()) -> Iterator[Rule]:
         yield from _paths(node.rightChild(), (*above, (name, False, at)))
 
 
-def holds(rule: Rule) -> Column:
-    return reduce(Column.__and__, (F.col(n) <= at if upper else F.col(n) > at for n, upper, at in rule))
+def holds(rule: Rule, prefix: str = "") -> Column:
+    return reduce(Column.__and__, (F.col(prefix + n) <= at if upper else F.col(prefix + n) > at for n, upper, at in rule))
 
 
 class Model:
@@ -125,10 +141,10 @@ class Model:
     def __init__(self, base: float, rules: list[tuple[float, Rule]]):
         self.base, self.rules = base, rules
 
-    def score(self) -> Column:
+    def score(self, prefix: str = "") -> Column:
         total = F.lit(self.base)
         for weight, rule in self.rules:
-            total = total + F.when(holds(rule), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(holds(rule, prefix), F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
 
@@ -158,6 +174,25 @@ def fit(
     return Model(float(fitted.intercept), [(w, r) for w, r in zip(weights, rules) if w])
 
 
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from all labelled rows; their statistics are picked out of one pass over the texts."""
+    return _learn(written(statistics(docs, id_col, text_col), "statistics"), labels, label, id_col)
+
+
+def _learn(found: DataFrame, labels: DataFrame, label: str, id_col: str) -> Model:
+    known = labels.select(F.col(id_col), F.col(label).alias("label")).where(F.col("label").isNotNull())
+    return fit(written(found.join(known, id_col).select("label", *STATISTICS), "labelled"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """Whole rows that score at least ``threshold``; no shuffle."""
+    prefix = "_statistic_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    scored = with_statistics(docs, prefix, text_col).where(model.score(prefix) >= threshold)
+    return scored.drop(*(prefix + x for x in STATISTICS))
+
+
 def score_documents(
     docs: DataFrame,
     labels: DataFrame,
@@ -175,7 +210,6 @@ def score_documents(
     stay (a null id has no label); an id with several labels is learned from each of them; an empty table gives no rows.
     """
     found = written(statistics(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(id_col), F.col(label).alias("label")).where(learn_from & F.col("label").isNotNull())
-    labelled = written(found.join(known, id_col).select("label", *STATISTICS), "labelled")
-    scored = found.select(id_col, fit(labelled).score().alias("score"))
+    model = _learn(found, labels.where(learn_from), label, id_col)
+    scored = found.select(id_col, model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

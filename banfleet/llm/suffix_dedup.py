@@ -375,40 +375,48 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans["lo"][first].tolist(), reach[last].tolist()))
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, blobs in zip(batch.column("text").to_pylist(), batch.column("data").to_pylist()):
-            raw = (text or "").encode()
-            runs = merged(np.frombuffer(b"".join(blobs), _SPAN)) if blobs else []
-            kept, at = [], 0
-            for a, b in runs:
-                kept.append(raw[at:a])
-                at = b
-            kept.append(raw[at:])
-            rows.append((len(raw), sum(b - a for a, b in runs), runs, b"".join(kept)))
-        n, removed, runs, kept = zip(*rows) if rows else ((), (), (), ())
-        spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in runs], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), spans, pa.array(kept, pa.binary())],
-            names=["row", "n_bytes", "n_removed", "spans", "kept"],
-        )
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _remove(others: list[str], whole_rows: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, blobs in zip(batch.column("text").to_pylist(), batch.column("data").to_pylist()):
+                raw = (text or "").encode()
+                runs = merged(np.frombuffer(b"".join(blobs), _SPAN)) if blobs else []
+                kept, at = [], 0
+                for a, b in runs:
+                    kept.append(raw[at:a])
+                    at = b
+                kept.append(raw[at:])
+                rows.append((len(raw), sum(b - a for a, b in runs), runs, b"".join(kept)))
+            n, removed, runs, kept = zip(*rows) if rows else ((), (), (), ())
+            spans = pa.array([[{"start": a, "end": b} for a, b in x] for x in runs], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            columns = [*batch.select(["row", *others]).columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), spans, pa.array(kept, pa.binary())]
+            names = ["row", *others, "n_bytes", "n_removed", "spans", "kept"]
+            if whole_rows:
+                columns.append(pa.array([x.decode(errors="ignore") for x in kept], pa.string()))
+                names.append("kept_text")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """One row per document: id, ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs) and ``kept`` (bytes).
 
     Each byte covered by a string of :data:`LENGTH` bytes that also starts in a document with a smaller id is
     removed; overlaps count, and strings are judged on the input. A null text is empty. Rows with a
     null id lose nothing and cost nobody anything. Ids are meant to be unique: rows with an equal id are judged
     each on its own text, and not against each other. Other columns are not read; an empty table gives no rows.
+    With ``whole_rows`` they are kept in a struct ``rest``, and ``kept_text`` has the whole characters that are left.
 
     What tasks send on about an anchor or a string is one row per task, however many documents hold it.
     Around an anchor that very many documents hold, single strings meet by their own hash; the list of such
     anchors is bounded by :data:`COMMON_PART` and sent with the tasks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
+    others = [c for c in docs.columns if c not in (id_col, text_col)] if whole_rows else []
+    rest = [F.struct(*others).alias("rest")] if others else []
+    rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"), *rest)
     texts = rows.select(F.col("row").cast("long").alias("id"), F.crc32("text").alias("crc"), "text").where("id is not null and text is not null")
     buckets = 16 * max(1, texts.rdd.getNumPartitions())
     found = written(texts.mapInArrow(_find(buckets), _BLOB), "anchors")
@@ -427,6 +435,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = cut.where("kind = 1").unionByName(met.mapInArrow(_sort, _BLOB))
     of_text = spans.groupBy("id", "crc").agg(F.collect_list("data").alias("data"))
     keyed = rows.withColumn("id", F.col("row").cast("long")).withColumn("crc", F.crc32("text"))
-    every = keyed.join(of_text, ["id", "crc"], "left").select("row", "text", "data")
+    every = keyed.join(of_text, ["id", "crc"], "left").select("row", "text", "data", *(["rest"] if others else []))
+    kinds = f", rest {rows.schema['rest'].dataType.simpleString()}" if others else ""
     fields = "n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
-    return every.mapInArrow(_remove, f"row {kind}, {fields}").withColumnRenamed("row", id_col)
+    fields += ", kept_text string" if whole_rows else ""
+    removed = every.mapInArrow(_remove(["rest"] if others else [], whole_rows), f"row {kind}{kinds}, {fields}")
+    return removed.withColumnRenamed("row", id_col)
