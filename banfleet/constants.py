@@ -30,7 +30,6 @@ BREAKER_COOLDOWN_CAP = 900
 
 # Blocklist feed
 DELTA_PAGE_CAP = 50
-FULL_PAGE_CAP = 100
 DEFAULT_SOURCE = "tenant"
 GLOBAL_SOURCE = "global"
 BAN_SECONDS = 604800
@@ -44,7 +43,6 @@ COVERAGE_CELLS = 20
 BAR_FULL = "▓"
 BAR_EMPTY = "░"
 NO_VALUE = "—"
-THREADS = ("reader", "sender", "puller", "heartbeat")
 
 # Inventory
 TRUE_WORDS = ("1", "true", "yes", "on")

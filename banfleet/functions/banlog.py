@@ -7,26 +7,37 @@ from pyspark.sql import functions as F
 
 from banfleet.constants import ISO_FORMAT
 
-# The shape of a ban line. The address forms are deliberately as
-# wide as the log format allows: octets may have leading zeros, and a "::" may
-# stand between up to six groups on either side.
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-_GROUP = "[0-9a-fA-F]{1,4}"
-IPV4 = f"(?:{_OCTET}[.]){{3}}{_OCTET}"
-IPV6 = "|".join(
-    [
-        f"(?:{_GROUP}:){{7}}{_GROUP}",
-        f"::(?:{_GROUP}:){{0,6}}{_GROUP}",
-        f"(?:{_GROUP}:){{1,7}}:",
-        f"(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}",
-        "::",
-    ]
-)
+def _times(what: str, least: int, most: int, between: str) -> str:
+    """Pattern of ``least`` to ``most`` repetitions with something between them."""
+    return f"{what}(?:{between}{what}){{{least - 1},{most - 1}}}"
+
+
+# Addresses as the log may have them. Octets may have leading zeros. Around a "::" there may be
+# six groups on each side, or seven on one; without it there are eight.
+_BELOW_256 = "(?:[01]?[0-9]{1,2}|2(?:[0-4][0-9]|5[0-5]))"
+_HEX = "[0-9A-Fa-f]{1,4}"
+IPV4 = _times(_BELOW_256, 4, 4, "[.]")
+_SOME, _SEVEN = _times(_HEX, 1, 6, ":"), _times(_HEX, 7, 7, ":")
+IPV6 = f"(?:{_SOME})?::(?:{_SOME})?|{_SEVEN}::|::{_SEVEN}|{_times(_HEX, 8, 8, ':')}"
+
+_DAY = "[0-9]{4}" + "-[0-9]{2}" * 2
+_CLOCK = _times("[0-9]{2}", 3, 3, ":")
+#: The words of a ban line, with white space between them: time, logger, process, level, jail,
+#: the action and the address.
 BAN_LINE = (
-    r"^([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})(?:,[0-9]+)?\s+"
-    r"fail2ban[.]\S+\s+\[[0-9]+\]:\s+\S+\s+"
-    r"\[([a-zA-Z0-9_-]+)\]\s+Ban\s+"
-    rf"({IPV4}|{IPV6})\s*$"
+    "^"
+    + r"\s+".join(
+        (
+            f"({_DAY} {_CLOCK})(?:,[0-9]+)?",
+            r"fail2ban[.]\S+",
+            r"\[[0-9]+\]:",
+            r"\S+",
+            r"\[([A-Za-z0-9_-]+)\]",
+            "Ban",
+            f"({IPV4}|{IPV6})",
+        )
+    )
+    + r"\s*$"
 )
 
 

@@ -37,8 +37,13 @@ def version_too_old(text: Column, minimum: tuple[int, int] = C.MIN_VERSION) -> C
     return F.coalesce(older, F.lit(False))
 
 
+#: White space that counts as none around a word.
+_WHITE = " \t\n\x0b\x0c\r"
+
+
 def text_to_bool(text: Column, default: bool) -> Column:
-    word = F.nullif(F.trim(text), F.lit(""))
+    """Blank and absent texts give the default; white space of any kind around a word is ignored."""
+    word = F.nullif(F.btrim(text, F.lit(_WHITE)), F.lit(""))
     return F.coalesce(F.lower(word).isin(*C.TRUE_WORDS), F.lit(default))
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from banfleet.constants import FINAL_FLUSHES
 from banfleet.functions.report import deletes_batch
 
 
-def final_drain(batches: DataFrame, most: int = FINAL_FLUSHES) -> DataFrame:
+def final_drain(batches: DataFrame, most: int) -> DataFrame:
     """Batches that still get out: in order, at most ``most``, up to the first failure.
 
     ``batches`` has ``hostname, batch_no`` (from 0) and ``outcome``. The cap comes

@@ -94,44 +94,6 @@ def _end_reason() -> Column:
     )
 
 
-def first_cycle(
-    pages: DataFrame,
-    *,
-    after_page: int = 0,
-    stored_cursor: int = 0,
-    stored_global: int = 0,
-    cap: int = C.DELTA_PAGE_CAP,
-) -> DataFrame:
-    """Pages that the next pull cycle consumes, numbered without gaps.
-
-    The cap bounds the input before anything is ordered, so the one window here
-    never sees more than ``cap`` rows, whatever the length of the feed.
-    """
-    reach = pages.where(F.col("page_no") > after_page).where(
-        F.col("page_no") <= after_page + cap
-    )
-    by_page = Window.orderBy("page_no")
-    before = by_page.rowsBetween(Window.unboundedPreceding, -1)
-    stored = F.lit(stored_global).cast("bigint")
-    seen = reach.withColumn(
-        "global_before",
-        F.greatest(stored, F.max(F.when(page_ok(), F.col("global_cursor"))).over(before)),
-    ).withColumn("_end", _end_reason())
-    ended = F.coalesce(F.max(F.col("_end").isNotNull()).over(before), F.lit(False))
-    upto = by_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        seen.withColumn("_ended", ended)
-        .where(~F.col("_ended") & page_ok())
-        .select(
-            *pages.columns,
-            F.greatest(F.lit(stored_cursor).cast("bigint"), F.max("cursor").over(upto)).alias(
-                "cursor_after"
-            ),
-            F.greatest(stored, F.max("global_cursor").over(upto)).alias("global_after"),
-        )
-    )
-
-
 def pull_cycles(
     pages: DataFrame,
     keys: Sequence[str] = (),
@@ -181,19 +143,29 @@ def pull_cycles(
     )
 
 
-def full_sync_pages(pages: DataFrame, cap: int | None = C.FULL_PAGE_CAP) -> DataFrame:
+def full_sync_pages(pages: DataFrame, cap: int | None = None) -> DataFrame:
     """Mark the pages of a full snapshot that get applied.
 
-    Those before the first failed page, up to the first without a next page, and
-    at most ``cap``.
+    Those from page 1 on, up to the first without a next page, and before the first that failed; a
+    page that isn't there is one that failed. With a ``cap``, pages beyond it aren't applied, and
+    ``over_cap`` marks those that would have been.
     """
     failed = pages.where(~page_ok()).agg(F.min("page_no")).scalar()
     last = pages.where(F.col("next_page").isNull()).agg(F.min("page_no")).scalar()
-    applied = page_ok() & F.coalesce(F.col("page_no") < failed, F.lit(True))
-    applied = applied & F.coalesce(F.col("page_no") <= last, F.lit(True))
-    if cap is not None:
-        applied = applied & (F.col("page_no") <= cap)
-    return pages.withColumn("applied", applied)
+    before = pages.select((F.col("page_no") + 1).alias("page_no"))
+    gap = pages.where("page_no > 1").join(before, "page_no", "left_anti").agg(F.min("page_no")).scalar()
+    in_reach = page_ok() & F.coalesce(F.col("page_no") < failed, F.lit(True))
+    in_reach = in_reach & F.coalesce(F.col("page_no") <= last, F.lit(True))
+    in_reach = in_reach & F.coalesce(F.col("page_no") < gap, F.lit(True))
+    if cap is None:
+        return pages.withColumn("applied", in_reach)
+    within = F.col("page_no") <= cap
+    return pages.withColumns({"applied": in_reach & within, "over_cap": in_reach & ~within})
+
+
+def of_applied_pages(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Items of the pages that a full sync applies."""
+    return items.join(full_sync_pages(pages).where("applied").select("page_no"), "page_no", "left_semi")
 
 
 def last_ops(ops: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -324,16 +296,14 @@ def op_counts(ops: DataFrame, cycles: DataFrame) -> DataFrame:
 
 
 def latest_stats(pages: DataFrame) -> DataFrame:
-    """Feed totals of the last page that carried them; a missing one counts 0."""
+    """Feed totals of the last page that carried any (``has_stats``); a missing one counts 0."""
     zero = F.lit(0).cast("bigint")
     stats = F.struct(
         "page_no",
         F.coalesce("tenant_active", zero).alias("tenant_active"),
         F.coalesce("global_active", zero).alias("global_active"),
     )
-    carried = pages.where(page_ok()).where(
-        F.col("tenant_active").isNotNull() | F.col("global_active").isNotNull()
-    )
+    carried = pages.where(page_ok()).where("has_stats")
     return carried.agg(F.max(stats).alias("s")).where("s IS NOT NULL").select("s.*")
 
 

@@ -51,12 +51,19 @@ def decoded(latest: DataFrame) -> DataFrame:
     )
 
 
-def applied_counts(applied: DataFrame) -> DataFrame:
-    return applied.groupBy("hostname").agg(
+_COUNTS = ("applied_total", "applied_tenant", "applied_global")
+
+
+def applied_counts(applied: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Applied addresses per host; with ``hosts``, also of those that have none."""
+    counts = applied.groupBy("hostname").agg(
         F.count("*").alias("applied_total"),
         F.count_if(F.col("source") == "tenant").alias("applied_tenant"),
         F.count_if(F.col("source") == "global").alias("applied_global"),
     )
+    if hosts is None:
+        return counts
+    return hosts.select("hostname").join(counts, "hostname", "left").fillna(0, _COUNTS)
 
 
 def of_source(applied: DataFrame, source: str) -> DataFrame:
@@ -93,12 +100,13 @@ def jail_counts(jail_status: DataFrame) -> DataFrame:
 
 
 def jail_drift(counts: DataFrame, jails: DataFrame) -> DataFrame:
-    """Applied addresses against what the jail itself reports."""
-    return counts.join(jails, "hostname", "left").select(
+    """Applied addresses against what the jail itself reports, for every host of either side."""
+    applied = F.coalesce("applied_total", F.lit(0))
+    return counts.join(jails, "hostname", "full_outer").select(
         "hostname",
-        "applied_total",
+        applied.alias("applied_total"),
         "jail_banned",
-        (F.col("applied_total") - F.col("jail_banned")).alias("drift"),
+        (applied - F.col("jail_banned")).alias("drift"),
     )
 
 

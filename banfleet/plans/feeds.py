@@ -25,9 +25,7 @@ def _page_json(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
     )
     headers = v.feed_pages(spark, sf)
-    stats = F.when(
-        F.col("tenant_active").isNotNull(), F.struct("tenant_active", "global_active")
-    )
+    stats = F.when(F.col("has_stats"), F.struct("tenant_active", "global_active"))
     page = F.struct(
         "status_code",
         "cursor",
@@ -89,12 +87,15 @@ def _cycles(variant: str):
     return run
 
 
-def full_sync_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Which snapshot pages a full sync applies before it meets a failed page."""
-    pages = v.feed_pages(spark, sf).select(
+def _full_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return v.feed_pages(spark, sf).select(
         "page_no", "status_code", (F.col("page_no") + 1).alias("next_page")
     )
-    return f.full_sync_pages(pages).select("page_no", "applied")
+
+
+def full_sync_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Which snapshot pages a full sync applies before it meets a failed page."""
+    return f.full_sync_pages(_full_pages(spark, sf)).select("page_no", "applied")
 
 
 def ops(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +120,8 @@ def last_ops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _snapshot(spark: SparkSession, sf: str, keys=f.KEY) -> DataFrame:
-    return f.snapshot_rows(_full_items(spark, sf).where("enforced"), AS_OF_S, keys)
+    items = f.of_applied_pages(_full_items(spark, sf), _full_pages(spark, sf))
+    return f.snapshot_rows(items.where("enforced"), AS_OF_S, keys)
 
 
 def state_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,10 +256,14 @@ def _last(keys: str, source: str = "ops") -> str:
 
 
 _APPLIED = """SELECT hostname, ip, at_s AS applied_at, source FROM last_op WHERE op = 'add'"""
+# a full sync ends at the first page that failed, or isn't there
+_STOP = """(SELECT coalesce(min(p.page_no), 9223372036854775807) FROM feed_pages p
+  WHERE p.status_code <> 200 OR (p.page_no > 1 AND NOT EXISTS
+    (SELECT 1 FROM feed_pages q WHERE q.page_no = p.page_no - 1)))"""
 _SNAP = f"""SELECT hostname, ip, CAST({AS_OF_S} AS BIGINT) AS applied_at, source FROM (
     SELECT hostname, ip, {_SRC} AS source, row_number() OVER (PARTITION BY hostname, ip
       ORDER BY page_no DESC, pos DESC) AS rn FROM feed_items
-    WHERE op = 'add' AND enforced AND {_VALID}) WHERE rn = 1"""
+    WHERE op = 'add' AND enforced AND {_VALID} AND page_no < {_STOP}) WHERE rn = 1"""
 _STATE = {"ops": _OPS, "last_op": _last("hostname, ip"), "applied": _APPLIED, "snap": _SNAP}
 
 
@@ -304,7 +310,7 @@ ORACLES = {
     ),
     "feed_headers": sql(
         """SELECT page_no, status_code, cursor, next_cursor, global_cursor,
-            tenant_active IS NOT NULL AS has_stats, tenant_active, global_active
+            has_stats, tenant_active, global_active
           FROM feed_pages""",
         "feed_pages",
     ),
@@ -323,9 +329,7 @@ ORACLES = {
     "feed_drain_pages_more": _cycle_sql("feed_pages_more"),
     "feed_drain_pages_endless": _cycle_sql("feed_pages_endless"),
     "full_sync_pages": sql(
-        f"""SELECT page_no, status_code = 200 AND page_no <= {C.FULL_PAGE_CAP} AND page_no <
-            coalesce((SELECT min(page_no) FROM feed_pages WHERE status_code <> 200),
-              9223372036854775807) AS applied FROM feed_pages""",
+        f"SELECT page_no, page_no < {_STOP} AS applied FROM feed_pages",
         "feed_pages",
     ),
     "applied_state": sql(
@@ -356,9 +360,9 @@ ORACLES = {
         extra=_cycle_ctes("feed_pages"),
     ),
     "feed_stats_latest": sql(
-        """SELECT page_no, tenant_active, global_active FROM feed_pages
-           WHERE status_code = 200 AND tenant_active IS NOT NULL
-           ORDER BY page_no DESC LIMIT 1""",
+        """SELECT page_no, coalesce(tenant_active, 0) AS tenant_active,
+            coalesce(global_active, 0) AS global_active FROM feed_pages
+           WHERE status_code = 200 AND has_stats ORDER BY page_no DESC LIMIT 1""",
         "feed_pages",
     ),
     "full_sync_merge": state_sql(

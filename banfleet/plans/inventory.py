@@ -95,7 +95,7 @@ ORACLES = {
             CASE WHEN log_target LIKE '/%' THEN log_target
               WHEN log_target IS NULL OR log_target = 'AUTO' THEN '{inv.DEFAULT_LOG}' END
               AS log_path,
-            coalesce(lower(nullif(trim(switch), '')) IN ('1', 'true', 'yes', 'on'), true)
+            coalesce(lower(nullif(trim(switch, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '')) IN ('1', 'true', 'yes', 'on'), true)
               AS include_global
           FROM (SELECT hostname, {_TARGET} AS log_target, {_SWITCH} AS switch
             FROM settings GROUP BY hostname)""",

@@ -24,7 +24,7 @@ JAIL = "blocklist"
 
 
 def applied_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return st.applied_counts(applied_fleet(spark, sf))
+    return st.applied_counts(applied_fleet(spark, sf), v.hosts(spark, sf))
 
 
 def applied_distinct(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,11 +147,12 @@ def status_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def heartbeat_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Every host's heartbeat. No answer to the last attempt counts as degraded, no attempt as none."""
     attempts = v.delivery_attempts(spark, sf)
-    answers = d.latest(attempts).select(
-        "hostname", h.heartbeat_degraded(F.col("last_status")).alias("degraded")
-    )
-    rows = gathered(spark, sf).join(answers, "hostname").join(d.flags(attempts), "hostname")
+    answers = attempts.groupBy("hostname").agg(F.max_by("status_code", "seq").alias("_status"))
+    answers = answers.select("hostname", h.heartbeat_degraded(F.col("_status")).alias("degraded"))
+    rows = gathered(spark, sf).join(answers, "hostname", "left").join(d.flags(attempts), "hostname", "left")
+    rows = rows.fillna(False, ["degraded", "auth_blocked", "tenant_suspended"])
     return rows.select("hostname", st.heartbeat_body().alias("body"))
 
 
@@ -170,8 +171,9 @@ def feed_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Share of the feed each host has applied, against every total it was told."""
     log = v.kv_log(spark, sf).where(F.col("k") == C.KV_FEED_STATS)
     told = log.select("hostname", "seq", j.decode(F.col("v"), j.FEED_STATS)["global_active"].alias("active"))
-    percent = h.coverage_percent(F.col("applied_global"), F.col("active"))
-    return told.join(applied_counts(spark, sf), "hostname").select(
+    percent = h.coverage_percent(F.coalesce("applied_global", F.lit(0)), F.col("active"))
+    counts = st.applied_counts(applied_fleet(spark, sf))
+    return told.join(counts, "hostname", "left").select(
         "hostname",
         "seq",
         percent.alias("percent"),
@@ -322,13 +324,17 @@ _BODY = " || ',' || ".join(
     ]
 )
 _OUTCOME_FLAGS = """SELECT hostname,
-    arg_max(status_code, seq) FILTER (WHERE status_code IS NOT NULL) AS last_status,
+    arg_max_null(status_code, seq) AS last_status, true AS tried,
     bool_or(coalesce(status_code = 401, false)) AS auth_blocked,
     bool_or(coalesce(status_code = 403 AND error = 'tenant_suspended', false))
       AS tenant_suspended FROM delivery_attempts GROUP BY hostname"""
 
 ORACLES = {
-    "applied_counts": state_sql(_COUNTS),
+    "applied_counts": state_sql(
+        f"""SELECT hostname, coalesce(applied_total, 0) AS applied_total,
+            coalesce(applied_tenant, 0) AS applied_tenant, coalesce(applied_global, 0) AS applied_global
+          FROM (SELECT DISTINCT hostname FROM ev) LEFT JOIN ({_COUNTS}) USING (hostname)"""
+    ),
     "applied_distinct": state_sql("SELECT DISTINCT ip FROM applied"),
     "applied_of_tenant": state_sql("SELECT hostname, ip FROM applied WHERE source = 'tenant'"),
     "recent_applied": state_sql(f"SELECT * FROM ({_RECENT}) WHERE rn <= {C.RECENT_LIMIT}"),
@@ -380,8 +386,9 @@ ORACLES = {
     ),
     "jail_counts": sql(_JAILS, "jail_status"),
     "jail_drift": state_sql(
-        f"""SELECT hostname, applied_total, jail_banned, applied_total - jail_banned AS drift
-          FROM ({_COUNTS}) LEFT JOIN ({_JAILS}) USING (hostname)""",
+        f"""SELECT hostname, coalesce(applied_total, 0) AS applied_total, jail_banned,
+            coalesce(applied_total, 0) - jail_banned AS drift
+          FROM ({_COUNTS}) FULL OUTER JOIN ({_JAILS}) USING (hostname)""",
         "jail_status",
     ),
     "fleet_status": _status_sql(
@@ -400,10 +407,10 @@ ORACLES = {
             ',"stats":{{"local_bans":' || applied_total || ',"queue_pending":' ||
             outbox_pending || ',"queue_oldest_seconds":' || outbox_oldest_seconds ||
             ',"last_pull_cursor":' || tenant_cursor || ',"last_pull_status":"' ||
-            CASE WHEN last_status BETWEEN 200 AND 299 THEN 'ok' ELSE 'degraded' END ||
-            '","flags":{{"auth_blocked":' || auth_blocked || ',"tenant_suspended":' ||
-            tenant_suspended || '}}}}}}' AS body
-          FROM gathered JOIN answers USING (hostname)""",
+            CASE WHEN tried IS NULL OR last_status BETWEEN 200 AND 299 THEN 'ok' ELSE 'degraded' END ||
+            '","flags":{{"auth_blocked":' || coalesce(auth_blocked, false) ||
+            ',"tenant_suspended":' || coalesce(tenant_suspended, false) || '}}}}}}' AS body
+          FROM gathered LEFT JOIN answers USING (hostname)""",
         "delivery_attempts",
         more={"answers": _OUTCOME_FLAGS},
     ),
@@ -417,10 +424,10 @@ ORACLES = {
         f"""SELECT hostname, seq, percent, repeat('{C.BAR_FULL}', CAST(percent * 20 // 100 AS INT))
             || repeat('{C.BAR_EMPTY}', CAST(20 - percent * 20 // 100 AS INT)) AS bar
           FROM (SELECT hostname, seq, CASE WHEN active <> 0 THEN
-              least(100, 100 * applied_global // active) END AS percent
+              least(100, 100 * coalesce(applied_global, 0) // active) END AS percent
             FROM (SELECT hostname, seq, CASE WHEN v NOT LIKE '{{not%' THEN
                 CAST(v->>'$.global_active' AS BIGINT) END AS active
-              FROM kv_log WHERE k = '{C.KV_FEED_STATS}') JOIN ({_COUNTS}) USING (hostname))""",
+              FROM kv_log WHERE k = '{C.KV_FEED_STATS}') LEFT JOIN ({_COUNTS}) USING (hostname))""",
         "kv_log",
     ),
     "age_text": sql(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from banfleet import constants as C
 from banfleet.functions.banlog import iso_text, parse_bans
 from banfleet.operators.drain import final_drain
+from banfleet.operators.feed import page_ok
 from banfleet.operators.outbox import assemble_reports
 from banfleet.plans import reports as r
 from banfleet.plans import views as v
@@ -22,7 +23,7 @@ from banfleet.plans.views import sql
 from banfleet.session import scratch_folder
 from banfleet.sources import segments
 from banfleet.streaming.breaker import breaker_stream, decisions
-from banfleet.streaming.dedup import dedup_stream, drop_repeats, kept_reports
+from banfleet.streaming.dedup import dedup_stream, kept_reports
 from banfleet.streaming.flush import flush_stream
 from banfleet.streaming.ingest import ingest, read_queue
 from banfleet.streaming.liveness import liveness_stream
@@ -112,21 +113,24 @@ def final_flushes(spark: SparkSession, sf: str) -> DataFrame:
     outcomes = r._batch_outcomes(spark, sf)
     batches = (
         v.outbox(spark, sf)
-        .select("hostname", F.floor((F.col("id") - 1) / 10).cast("bigint").alias("batch_no"))
+        .select("hostname", F.floor((F.col("id") - 1) / C.BATCH_SIZE).cast("bigint").alias("batch_no"))
         .groupBy("hostname", "batch_no")
         .agg(F.count("*").alias("bans"))
     )
     return final_drain(
         batches.join(outcomes, ["hostname", "batch_no"], "left").withColumn(
             "outcome", F.coalesce("outcome", F.lit("ack"))
-        )
+        ),
+        most=C.FINAL_FLUSHES,
     )
 
 
 def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
     """The feed as a stream, folded into the applied addresses."""
     folder = scratch_folder(spark, "merge")
-    ops = v.with_host(_stream(spark, sf)).selectExpr(*v.FEED_COLUMNS).where("page_no <> 40")  # the page that failed
+    ops = v.with_host(_stream(spark, sf)).selectExpr(*v.FEED_COLUMNS)
+    arrived = v.feed_pages(spark, sf).where(page_ok()).select("page_no")
+    ops = ops.join(arrived, "page_no", "left_semi")
     _finish(merge_stream(ops, f"{folder}/state", f"{folder}/checkpoint"))
     return applied_state(spark, f"{folder}/state")
 
@@ -139,16 +143,6 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept_reports(spark, f"{folder}/out")
 
 
-def stream_drop_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    """The filter of a running receiver: a backlog leaves one report per key."""
-    reports = as_received(v.with_host(_stream(spark, sf))).withColumn(
-        "received_at", F.timestamp_seconds("received_at")
-    )
-    folder = scratch_folder(spark, "dedup")
-    out = _to_table(drop_repeats(reports), folder)
-    return spark.read.parquet(out).select("hostname", "idempotency_key")
-
-
 def stream_flush(spark: SparkSession, sf: str) -> DataFrame:
     """Bans through the flush policy: every ban leaves once, in batches that fit."""
     queue = (
@@ -229,7 +223,6 @@ QUERIES = {
     "final_flushes": final_flushes,
     "stream_merge": stream_merge,
     "stream_dedup": stream_dedup,
-    "stream_drop_repeats": stream_drop_repeats,
     "stream_flush": stream_flush,
     "stream_liveness": stream_liveness,
     "stream_breaker": stream_breaker,
@@ -259,7 +252,7 @@ ORACLES = {
               ('ack', 'drop')) OVER (PARTITION BY hostname ORDER BY batch_no
               ROWS UNBOUNDED PRECEDING) AS failed FROM (
             SELECT q.hostname, q.batch_no, q.bans, coalesce(o.outcome, 'ack') AS outcome
-            FROM (SELECT hostname, (id - 1) // 10 AS batch_no, count(*) AS bans FROM outbox
+            FROM (SELECT hostname, (id - 1) // {C.BATCH_SIZE} AS batch_no, count(*) AS bans FROM outbox
               GROUP BY 1, 2) q
             LEFT JOIN (SELECT hostname, seq, {r._DISPOSITION} AS outcome FROM delivery_attempts) o
               ON o.hostname = q.hostname AND o.seq = q.batch_no))
@@ -269,9 +262,6 @@ ORACLES = {
     ),
     "stream_merge": state_sql("SELECT * FROM applied"),
     "stream_dedup": DELIVERY_ORACLES["report_dedup"],
-    "stream_drop_repeats": sql(
-        "SELECT DISTINCT hostname, sha256(CAST(k AS VARCHAR)) AS idempotency_key FROM ev", "ev"
-    ),
     "stream_flush": sql(
         f"""SELECT hostname, seq AS id, seq // {C.BATCH_SIZE} % 16 AS lane, true AS fits
           FROM bans""",

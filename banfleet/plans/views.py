@@ -54,7 +54,7 @@ _KV_VALUE = f"""CASE WHEN event_id % 29 = 0 THEN '{{not json'
     WHEN k % 5 = 3 THEN {_FEED_STATS_JSON} ELSE {_SNAPSHOT_JSON} END"""
 _SETTING = """CASE k % 2 WHEN 0 THEN
     CASE WHEN k < 40 THEN 'AUTO' WHEN k < 80 THEN '/var/log/fail2ban.log' ELSE 'SYSLOG' END
-    ELSE CASE WHEN k < 30 THEN ' Yes ' WHEN k < 60 THEN 'off' WHEN k < 80 THEN ''
+    ELSE CASE WHEN k < 30 THEN concat(chr(9), 'Yes ', chr(10)) WHEN k < 60 THEN 'off' WHEN k < 80 THEN ''
     ELSE 'TRUE' END END"""
 _INSTALL_EVENT = """CASE WHEN k < 70 THEN 'step' WHEN k < 85 THEN 'warn' WHEN k < 92 THEN 'error'
     WHEN k < 96 THEN 'start' ELSE 'success' END"""
@@ -171,8 +171,9 @@ def feed_pages(spark: SparkSession, sf_dir: str, variant: str = "mixed") -> Data
             "cursor",
             f"{following if variant == 'mixed' else 'page_no'} AS next_cursor",
             "CASE WHEN page_no % 12 <> 0 THEN _global END AS global_cursor",
-            "CASE WHEN page_no % 3 <> 0 THEN _n END AS tenant_active",
-            "CASE WHEN page_no % 3 <> 0 THEN _n * 10 END AS global_active",
+            "page_no % 3 <> 0 AS has_stats",
+            "CASE WHEN page_no % 3 <> 0 AND page_no % 5 <> 2 THEN _n END AS tenant_active",
+            "CASE WHEN page_no % 3 <> 0 AND page_no % 25 <> 2 THEN _n * 10 END AS global_active",
         )
     )
 
@@ -248,8 +249,9 @@ def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BAN_LINE_SQL = BAN_LINE.replace("'", "''")
 _PAGE_SQL = """SELECT page_no, {status} AS status_code, cursor, {following} AS next_cursor,
     CASE WHEN page_no % 12 <> 0 THEN g END AS global_cursor,
-    CASE WHEN page_no % 3 <> 0 THEN n END AS tenant_active,
-    CASE WHEN page_no % 3 <> 0 THEN n * 10 END AS global_active
+    page_no % 3 <> 0 AS has_stats,
+    CASE WHEN page_no % 3 <> 0 AND page_no % 5 <> 2 THEN n END AS tenant_active,
+    CASE WHEN page_no % 3 <> 0 AND page_no % 25 <> 2 THEN n * 10 END AS global_active
   FROM (SELECT CAST(floor(event_id / 200) AS BIGINT) + 1 AS page_no,
       max(event_id) FILTER (WHERE k < 30 OR k >= 90) AS cursor,
       max(event_id) FILTER (WHERE k BETWEEN 30 AND 89) AS g, count(*) AS n

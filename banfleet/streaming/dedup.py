@@ -71,46 +71,3 @@ def dedup_stream(
 
 def kept_reports(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/kept").drop("batch_id")
-
-
-def drop_repeats(
-    reports: DataFrame,
-    *,
-    event_time: str = "received_at",
-    window: str = f"{IDEMPOTENCY_WINDOW_SECONDS} seconds",
-) -> DataFrame:
-    """The same as a filter inside a stream, for receivers that run all the time.
-
-    Spark remembers a key at least as long as the window, until the watermark
-    has passed it; a backlog read in one go is therefore cut to one report per
-    key. Use :func:`dedup_stream` where the window must be exact.
-
-    A key that fills a third of the stream is thinned out before the shuffle: of
-    each Arrow batch only its earliest and latest row go on. Rows between them
-    would be dropped by the stateful step anyway, as all rows of a micro-batch
-    are compared before the watermark moves; the latest must stay, because the
-    earliest may be too late to count.
-    """
-    keys = list(KEYS)
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch]).sort_by(event_time)
-            row = pa.array(range(table.num_rows), pa.int64())
-            ends = (
-                table.select(keys)
-                .append_column("_row", row)
-                .group_by(keys)
-                .aggregate([("_row", "min"), ("_row", "max")])
-            )
-            kept = pa.chunked_array(
-                [*ends.column("_row_min").chunks, *ends.column("_row_max").chunks], pa.int64()
-            )
-            yield from table.take(pc.unique(kept)).to_batches()
-
-    # the watermark must sit above the Python step, which Spark cannot see through
-    return (
-        reports.mapInArrow(thin, reports.schema)
-        .withWatermark(event_time, window)
-        .dropDuplicatesWithinWatermark(keys)
-    )

@@ -69,32 +69,16 @@ def test_cycles_like_the_loop(spark, rows, width, cap):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want, key=lambda t: (t[0], t[1]))
 
 
-def test_first_cycle_like_the_loop(spark, rows):
-    for seed in range(6):
-        pages = feed_of(seed, 30)
-        df = spark.createDataFrame(pages, PAGES)
-        got = f.first_cycle(df, after_page=4, stored_cursor=3, stored_global=1, cap=8)
-        want = [
-            (no, c, g)
-            for no, cycle, ok, c, g, _ in pull(pages[4:], 3, 1, cap=8)
-            if cycle == 1 and ok
-        ]
-        assert rows(got, "page_no", "cursor_after", "global_after") == want
-
-
 def test_drain_cases(spark, rows):
-    """Global pages 10, 20, 25 and one that does not advance; then a later cycle."""
-    pages = [(1, 200, 0, None, 10), (2, 200, 0, None, 20), (3, 200, 0, None, 25),
-             (4, 200, 0, None, 25), (5, 200, 7, None, 25)]
+    """Global pages that advance, one that does not; then a later cycle."""
+    pages = [(1, 200, 0, None, 4), (2, 200, 0, None, 31), (3, 200, 0, None, 88),
+             (4, 200, 0, None, 88), (5, 200, 7, None, 88)]
     got = f.pull_cycles(spark.createDataFrame(pages, PAGES))
     assert rows(got, "page_no", "cycle_no", "global_after", "end_reason") == [
-        (1, 1, 10, None), (2, 1, 20, None), (3, 1, 25, None), (4, 1, 25, "drained"),
-        (5, 2, 25, "drained"),
+        (1, 1, 4, None), (2, 1, 31, None), (3, 1, 88, None), (4, 1, 88, "drained"),
+        (5, 2, 88, "drained"),
     ]
-    failed = f.first_cycle(spark.createDataFrame([(1, 500, 9, 9, 9)], PAGES), stored_cursor=11)
-    assert failed.count() == 0
-    endless = spark.createDataFrame([(i, 200, i, i, i) for i in range(1, 120)], PAGES)
-    assert f.first_cycle(endless).count() == 50
+    assert f.pull_cycles(spark.createDataFrame([(1, 500, 9, 9, 9)], PAGES)).first().end_reason == "error"
 
 
 def test_pages_from_json(spark, folder, rows):
@@ -103,7 +87,7 @@ def test_pages_from_json(spark, folder, rows):
          "items": [{"ip": "1.1.1.1", "op": "add"}, {"ip": "", "op": "add"}, {"op": "remove"},
                    {"ip": "2.2.2.2", "op": "add", "source": None},
                    {"ip": "3.3.3.3", "op": "zap", "source": "global"}],
-         "stats": {"tenant_active": 142, "global_active": 28000}},
+         "stats": {"tenant_active": 17, "global_active": 4211}},
         {"page_no": 2, "status_code": 200, "cursor": 5, "next_cursor": None, "items": []},
     ]
     for i, body in enumerate(bodies):
@@ -117,9 +101,13 @@ def test_pages_from_json(spark, folder, rows):
     ]
     headers = p.page_headers(pages)
     assert rows(headers, "page_no", "cursor", "has_stats", "global_active") == [
-        (1, 5, True, 28000), (2, 5, False, None)
+        (1, 5, True, 4211), (2, 5, False, None)
     ]
-    assert rows(f.latest_stats(headers)) == [(1, 142, 28000)]
+    assert rows(f.latest_stats(headers)) == [(1, 17, 4211)]
+    # a page whose totals are there but empty counts as 0 and is the latest
+    later = spark.createDataFrame([(3, '{"status_code": 200, "stats": {}}')], "page_no long, body string")
+    later = p.page_headers(p.parse_pages(later, "body", p.DELTA_PAGE.removeprefix("page_no bigint, ")))
+    assert rows(f.latest_stats(headers.unionByName(later))) == [(3, 0, 0)]
     texts = spark.createDataFrame([(1, "{broken")], "page_no long, body string")
     broken = p.parse_pages(texts, "body", "status_code int, cursor long")
     assert rows(broken) == [(1, None, None)]
@@ -184,8 +172,14 @@ def test_full_sync_pages(spark, rows):
     assert applied_pages(pages(3, last=3)) == [1, 2, 3]
     assert applied_pages(pages(4, bad=(2,))) == [1]
     assert applied_pages(pages(6, last=4)) == [1, 2, 3, 4]
-    assert len(applied_pages(pages(130))) == 100
-    assert len(applied_pages(pages(130), cap=None)) == 130
+    assert len(applied_pages(pages(150))) == 150
+    capped = f.full_sync_pages(pages(150, bad=(140,)), cap=90)
+    assert len(rows(capped.where("applied"))) == 90 and len(rows(capped.where("over_cap"))) == 49
+    # a page that isn't there ends it like one that failed
+    assert applied_pages(pages(6).where("page_no <> 3")) == [1, 2]
+    assert applied_pages(pages(6).where("page_no <> 1")) == []
+    items = spark.createDataFrame([(i, f"ip{i}") for i in range(1, 6)], "page_no long, ip string")
+    assert rows(f.of_applied_pages(items, pages(5, bad=(4,))), "page_no") == [(1,), (2,), (3,)]
 
 
 def test_feed_off_leaves_tenant_rows(spark, rows):

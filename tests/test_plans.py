@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from banfleet import plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
-BATCH_QUERIES = sorted(n for n in entry.queries() if not n.startswith("stream_"))
+BATCH_QUERIES = sorted(n for n in plans.queries() if not n.startswith("stream_"))
 
 
 def plan(spark, name):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from banfleet.sources import segments, sinks
 
-LINE = "2026-05-13 10:23:45,123 fail2ban.actions [1]: NOTICE  [sshd] Ban 10.0.0."
+LINE = "2025-11-02 07:41:09,880 fail2ban.actions [771]: NOTICE  [ftp-in] Ban 192.0.2."
 
 
 def put(folder, host, name, data: bytes):
@@ -40,8 +40,8 @@ def test_numbers_follow_files_and_lines(spark, folder, rows):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == [
-        ("a", 1, "10.0.0.200"), *[("a", i + 2, f"10.0.0.{i}") for i in range(40)],
-        ("b", 1, "10.0.0.201"),
+        ("a", 1, "192.0.2.200"), *[("a", i + 2, f"192.0.2.{i}") for i in range(40)],
+        ("b", 1, "192.0.2.201"),
     ]
 
 
@@ -59,7 +59,7 @@ def test_written_segments_keep_order(spark, folder, rows):
     segments.write_segments(df, f"{folder}/log", width=30)
     bans = segments.bans_of_segments(segments.read_lines(spark, f"{folder}/log"))
     assert rows(bans, "hostname", "id", "ip") == sorted(
-        (f"h{i % 2}", i // 2 + 1, f"10.0.0.{i}") for i in range(200)
+        (f"h{i % 2}", i // 2 + 1, f"192.0.2.{i}") for i in range(200)
     )
 
 

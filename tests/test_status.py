@@ -14,8 +14,8 @@ def column(spark, data, schema, expr):
 
 
 def test_health(spark):
-    cases = [("healthy", 10, "healthy"), ("degraded", 120, "degraded"), ("healthy", 999, "critical"),
-             ("healthy", None, "critical"), ("weird", 1, "unknown"), (None, 1, "unknown"),
+    cases = [("healthy", 10, "healthy"), ("degraded", 120, "degraded"), ("healthy", 4000, "critical"),
+             ("healthy", None, "critical"), ("sleepy", 1, "unknown"), (None, 1, "unknown"),
              ("critical", 1, "critical"), ("healthy", 121, "critical")]
     got = column(spark, cases, "raw string, age long, want string",
                  h.effective_status(F.col("raw"), F.col("age"), 120))
@@ -45,7 +45,7 @@ def test_ages(spark):
 
 
 def test_coverage(spark):
-    cases = [(27984, 28000), (5, 4), (1, 0), (1, None), (0, 10)]
+    cases = [(3990, 4000), (5, 4), (1, 0), (1, None), (0, 10)]
     pct = h.coverage_percent(F.col("a"), F.col("g"))
     assert column(spark, cases, "a long, g long", pct) == [99, 100, None, None, 0]
     bars = column(spark, cases, "a long, g long", h.coverage_bar(pct))
@@ -53,18 +53,18 @@ def test_coverage(spark):
 
 
 def test_jail_count(spark):
-    text = "Status for the jail: x\n|- Currently failed: 0\n   |- Currently banned: 42\n   `- Total banned: 100"
-    cases = [(0, text), (0, "garbage output no banned line"), (0, "Currently banned: garbage"),
-             (1, text), (0, "Currently banned 5"), (0, "a: Currently banned: 7\nCurrently banned: 8")]
+    text = "Jail mail-out\n * Currently failed: 3\n * Currently banned: 1907\n * Total banned: 5511"
+    cases = [(0, text), (0, "no such jail"), (0, "Currently banned: many"),
+             (2, text), (0, "Currently banned 5"), (0, "a: Currently banned: 7\nCurrently banned: 8")]
     assert column(spark, cases, "rc int, out string", h.jail_count(F.col("rc"), F.col("out"))) == [
-        42, None, None, None, None, 7
+        1907, None, None, None, None, 7
     ]
 
 
 def test_json(spark):
     good = json.dumps({"status": "healthy", "snapshot_at": 1990.5, "hb_ok": True,
                        "threads": {"reader": True}, "last_pull_at": None})
-    df = spark.createDataFrame([(good,), ("{not json",), (None,)], "v string").select(
+    df = spark.createDataFrame([(good,), ("[1, {",), (None,)], "v string").select(
         j.decode(F.col("v"), j.SNAPSHOT).alias("s")
     )
     first, second, third = (r.s for r in df.collect())
@@ -88,7 +88,7 @@ def applied(spark, data):
 
 
 def test_recent(spark, rows):
-    df = applied(spark, [("h", "a", 100, "tenant"), ("h", "b", 200, "global"), ("h", "c", 150, "tenant")])
+    df = applied(spark, [("h", "a", 31, "tenant"), ("h", "b", 77, "global"), ("h", "c", 52, "tenant")])
     assert [r[0] for r in st.recent(df, 2).orderBy("rn").select("ip").collect()] == ["b", "c"]
     many = [("h", f"g{i:02}", 1000 + i, "global") for i in range(49)] + [
         ("h", "t1", 5000, "tenant"), ("h", "t0", 1, "tenant")
@@ -99,28 +99,36 @@ def test_recent(spark, rows):
     assert st.recent_filtered(applied(spark, many), "all", rows=10).count() == 10
 
 
+def test_hosts_without_anything_stay(spark, rows):
+    hosts = spark.createDataFrame([("h",), ("idle",)], "hostname string")
+    counts = st.applied_counts(applied(spark, [("h", "a", 1, "tenant")]), hosts)
+    assert rows(counts) == [("h", 1, 1, 0), ("idle", 0, 0, 0)]
+    jails = spark.createDataFrame([("h", 4), ("full", 9)], "hostname string, jail_banned long")
+    assert rows(st.jail_drift(counts, jails)) == [("full", 0, 9, -9), ("h", 1, 4, -3), ("idle", 0, None, None)]
+
+
 def test_gather(spark, rows):
     snap = {"snapshot_at": 1990.0, "started_at": 1000.0, "hb_last_at": 1990.0, "hb_ok": True,
             "status": "healthy", "threads": {t: True for t in ("reader", "sender", "puller")},
             "last_pull_at": 1980.0, "last_flush_at": 1995.0}
     hosts = spark.createDataFrame([("h",), ("silent",)], "hostname string")
     log = spark.createDataFrame(
-        [("h", "status_snapshot", json.dumps(snap)), ("h", "global_cursor", "27984"),
-         ("h", "blocklist_cursor", "5000"),
-         ("h", "feed_stats", '{"tenant_active": 142, "global_active": 28000}')],
+        [("h", "status_snapshot", json.dumps(snap)), ("h", "global_cursor", "8123"),
+         ("h", "blocklist_cursor", "640"),
+         ("h", "feed_stats", '{"tenant_active": 17, "global_active": 4211}')],
         "hostname string, k string, v string",
     ).withColumns({"at_s": F.lit(1), "seq": F.lit(1)})
     rows_applied = applied(spark, [("h", "1.1.1.1", 5, "tenant"), ("h", "2.2.2.2", 6, "global")])
     queue = spark.createDataFrame([("h", 3, 4)], "hostname string, pending long, oldest_seconds long")
-    jails = spark.createDataFrame([("h", 28126)], "hostname string, jail_banned long")
+    jails = spark.createDataFrame([("h", 4300)], "hostname string, jail_banned long")
     got = st.gather(hosts, st.latest_by_host(log), st.applied_counts(rows_applied), queue, jails,
                     st.recent(rows_applied), as_of=2000, backend_url="u", jail_name="j")
     by_host = {r.hostname: r for r in got.collect()}
     up, silent = by_host["h"], by_host["silent"]
     assert (up.status, up.uptime_seconds, up.hb_age_seconds) == ("healthy", 1000, 10)
     assert (up.applied_total, up.applied_tenant, up.applied_global) == (2, 1, 1)
-    assert (up.global_cursor, up.tenant_cursor, up.feed_global_active) == (27984, 5000, 28000)
-    assert (up.jail_banned, up.outbox_pending, up.outbox_oldest_seconds) == (28126, 3, 4)
+    assert (up.global_cursor, up.tenant_cursor, up.feed_global_active) == (8123, 640, 4211)
+    assert (up.jail_banned, up.outbox_pending, up.outbox_oldest_seconds) == (4300, 3, 4)
     assert up.threads["puller"] and [r.ip for r in up.recent] == ["2.2.2.2", "1.1.1.1"]
     assert (silent.status, silent.snapshot_age_seconds, silent.outbox_pending) == ("critical", None, 0)
     assert silent.threads == {} and silent.recent == [] and silent.hb_ok is False
@@ -148,7 +156,7 @@ def test_settings(spark, rows):
         ("a", "local", 3, "logtarget", " /y.log "), ("a", "conf", 4, "include_global", "off"),
         ("b", "conf", 1, "logtarget", "SYSTEMD-JOURNAL"), ("b", "conf", 2, "include_global", " "),
         ("c", "local", 1, "logtarget", ""), ("c", "conf", 1, "logtarget", "AUTO"),
-        ("c", "conf", 2, "include_global", " Yes "),
+        ("c", "conf", 2, "include_global", "\tYes\n"), ("d", "conf", 1, "include_global", "\n\t"),
     ]
     df = spark.createDataFrame(
         lines, "hostname string, file string, line_no long, key string, value string"
@@ -157,6 +165,7 @@ def test_settings(spark, rows):
         ("a", "/y.log", True, "/y.log", False),
         ("b", "SYSTEMD-JOURNAL", False, None, True),
         ("c", "AUTO", True, "/var/log/fail2ban.log", True),
+        ("d", None, True, "/var/log/fail2ban.log", True),
     ]
 
 

@@ -11,7 +11,7 @@ from banfleet.operators import feed as f
 from banfleet.plans.streams import _finish, _rocksdb
 from banfleet.sources import segments
 from banfleet.streaming import breaker as sb
-from banfleet.streaming.dedup import dedup_stream, drop_repeats, kept_reports
+from banfleet.streaming.dedup import dedup_stream, kept_reports
 from banfleet.streaming.flush import flush_stream
 from banfleet.streaming.ingest import ingest, read_queue
 from banfleet.streaming.liveness import liveness_stream
@@ -102,31 +102,6 @@ def test_merge_equals_batch(spark, folder, rows, compact_every):
     assert rows(applied_state(spark, f"{folder}/s")) == rows(want)
 
 
-def test_drop_repeats(spark, folder, rows):
-    day = 86_400
-    parts = [
-        [("h", "k1", day), ("h", "k1", day + 3600), ("h", "k2", day + 7200), ("g", "k1", day)],
-        [("h", "k1", 2 * day - 1), ("h", "k2", 2 * day)],
-        [("h", "k1", 4 * day), ("h", "k1", 4 * day + 5)],
-        [("h", "k3", 9 * day)],
-        [("h", "k4", day), ("h", "k4", 9 * day + 9), ("h", "k5", day)],  # some come too late
-    ]
-    for i, data in enumerate(parts):
-        df = spark.createDataFrame(data, "hostname string, idempotency_key string, t long").select(
-            "hostname", "idempotency_key", F.timestamp_seconds("t").alias("received_at"), "t"
-        )
-        df.coalesce(1).write.parquet(f"{folder}/in/p{i}")
-    stream = drop_repeats(stream_of(spark, f"{folder}/in", df.schema))
-    _finish(
-        stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/c")
-        .trigger(availableNow=True).start(f"{folder}/out")
-    )
-    got = rows(spark.read.parquet(f"{folder}/out"), "hostname", "idempotency_key")
-    assert [got.count(k) for k in (("g", "k1"), ("h", "k2"), ("h", "k3"))] == [1, 1, 1]
-    assert got.count(("h", "k1")) == 1  # remembered until the watermark passes
-    assert got.count(("h", "k4")) == 1 and ("h", "k5") not in got
-
-
 def test_dedup_equals_batch(spark, folder, rows):
     rnd = random.Random(12)
     data, at = [], 0
