@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from banfleet.llm import ann, byte_bpe, chat, embedding_dedup, langid, ngram_join, packing, quality, suffix_dedup, token_counts
+from banfleet.llm.oracles import ORACLES as ORACLES
 from banfleet.session import scratch_folder
 
 
@@ -86,4 +87,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language, op3_suffix_dedup, op4_token_counts, op5_packing, op6_ann, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality)}
-ORACLES: dict[str, str] = {}
+
