@@ -267,19 +267,19 @@ ORACLES = {
           FROM bans""",
         "bans",
     ),
-    # the whole table is one micro-batch: first each host's latest status, then
-    # the hosts that are silent by the time of the newest snapshot
+    # every change of status along a host's snapshots; silence is a change to critical
     "stream_liveness": sql(
-        f"""SELECT hostname, status, at_s FROM last UNION ALL
-          SELECT hostname, 'critical' AS status, at_s + {2 * LIVENESS_HEARTBEAT + 1} AS at_s
-          FROM last WHERE status <> 'critical' AND at_s + {2 * LIVENESS_HEARTBEAT + 1} <
-            (SELECT max(epoch_ms(ts)) / 1000 FROM ev)""",
+        f"""SELECT hostname, 'critical' AS status, at_s + {2 * LIVENESS_HEARTBEAT + 1} AS at_s FROM snapshots
+          WHERE status <> 'critical' AND (following - at_s > {2 * LIVENESS_HEARTBEAT} OR (following IS NULL
+            AND at_s + {2 * LIVENESS_HEARTBEAT + 1} < (SELECT max(epoch_ms(ts)) / 1000 FROM ev)))
+          UNION ALL SELECT hostname, status, at_s FROM snapshots WHERE before IS DISTINCT FROM status""",
         "ev",
         extra={
-            "last": """SELECT hostname, at_s, CASE WHEN k < 60 THEN 'healthy' WHEN k < 80
-                THEN 'degraded' ELSE 'critical' END AS status FROM (SELECT *, row_number() OVER
-                (PARTITION BY hostname ORDER BY at_s DESC) AS rn FROM ev)
-              WHERE rn = 1"""
+            "seconds": """SELECT hostname, at_s, CASE WHEN max(k) < 60 THEN 'healthy' WHEN max(k) < 80
+                THEN 'degraded' ELSE 'critical' END AS status FROM ev GROUP BY hostname, at_s""",
+            "snapshots": f"""SELECT *, lead(at_s) OVER of_host AS following, CASE WHEN at_s - lag(at_s)
+                OVER of_host > {2 * LIVENESS_HEARTBEAT} THEN 'critical' ELSE lag(status) OVER of_host END
+                AS before FROM seconds WINDOW of_host AS (PARTITION BY hostname ORDER BY at_s)""",
         },
     ),
     "stream_breaker": DELIVERY_ORACLES["breaker_replay"],

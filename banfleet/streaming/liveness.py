@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -13,6 +13,25 @@ from banfleet import constants as C
 from banfleet.streaming.flush import now_ms
 
 _OUT = "hostname string, status string, at_s bigint"
+#: From best to worst; of snapshots of the same second the worst counts.
+SEVERITY = ("healthy", "degraded", "critical")
+_SILENT = "critical"
+
+
+def changes(at_s: np.ndarray, status: np.ndarray, max_age: int) -> list[tuple[str, int]]:
+    """Changes of status along one host's snapshots, in order of time, silences included.
+
+    The first entry is where the host stood before; it gives no change itself.
+    """
+    out = []
+    silent = np.diff(at_s) > max_age
+    before = np.where(silent, _SILENT, status[:-1])
+    for i in np.flatnonzero((silent & (status[:-1] != _SILENT)) | (status[1:] != before)).tolist():
+        if silent[i] and status[i] != _SILENT:
+            out.append((_SILENT, int(at_s[i]) + max_age + 1))
+        if status[i + 1] != before[i]:
+            out.append((status[i + 1], int(at_s[i + 1])))
+    return out
 
 
 class LivenessProcessor(StatefulProcessor):
@@ -25,31 +44,43 @@ class LivenessProcessor(StatefulProcessor):
         self.handle = handle
         self.latest = handle.getValueState("latest", "at_s bigint, status string, due bigint")
 
+    def _frame(self, key, found: list[tuple[str, int]]) -> Iterator[pd.DataFrame]:
+        if found:
+            yield pd.DataFrame([(key[0], *x) for x in found], columns=["hostname", "status", "at_s"])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([pdf[["at_s", "status"]] for pdf in rows], ignore_index=True)
+        rank = new["status"].map({x: i for i, x in enumerate(SEVERITY)}).fillna(-1)
+        new = new.assign(rank=rank).sort_values(["at_s", "rank", "status"]).drop_duplicates("at_s", keep="last")
         at_s, status, due = self.latest.get() if self.latest.exists() else (None, None, None)
-        newest, newest_status = at_s, status
-        for pdf in rows:
-            i = pdf["at_s"].idxmax()
-            if newest is None or int(pdf["at_s"][i]) >= newest:
-                newest, newest_status = int(pdf["at_s"][i]), pdf["status"][i]
         if due is not None:
             self.handle.deleteTimer(due)
+        if at_s is not None:  # what is older than the latest came too late
+            new = new[new["at_s"] > at_s]
+        times, states = new["at_s"].to_numpy(np.int64), new["status"].to_numpy(object)
+        found = []
+        if at_s is not None:
+            times, states = np.append(at_s, times), np.append(np.array([status], object), states)
+        else:
+            found.append((states[0], int(times[0])))
+        found += changes(times, states, self.max_age)
+        newest, last = int(times[-1]), states[-1]
         # stale means strictly older than the limit
         due = (newest + self.max_age + 1) * 1000
         if due <= now_ms(timerValues, self.time_mode):
-            newest_status, due = "critical", None
+            if last != _SILENT:
+                found.append((_SILENT, newest + self.max_age + 1))
+            last, due = _SILENT, None
         else:
             self.handle.registerTimer(due)
-        self.latest.update((newest, newest_status, due))
-        if newest_status != status:
-            yield pd.DataFrame([(key[0], newest_status, newest)], columns=["hostname", "status", "at_s"])
+        self.latest.update((newest, last, due))
+        yield from self._frame(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at_s, status, _ = self.latest.get()
-        self.latest.update((at_s, "critical", None))
-        if status != "critical":
-            stale_at = at_s + self.max_age + 1
-            yield pd.DataFrame([(key[0], "critical", stale_at)], columns=["hostname", "status", "at_s"])
+        self.latest.update((at_s, _SILENT, None))
+        if status != _SILENT:
+            yield from self._frame(key, [(_SILENT, at_s + self.max_age + 1)])
 
 
 def liveness_stream(
@@ -60,22 +91,17 @@ def liveness_stream(
 ) -> DataFrame:
     """Status changes per host from a stream of ``hostname, at_s, status, event_time``.
 
-    Only the latest snapshot matters, so each Arrow batch is cut to one row per
-    host before the shuffle; a host that floods the stream costs no more than
-    others. A host never seen has no state: the batch status covers those.
+    Every silence longer than two heartbeats turns a host critical, whether it lies within a
+    micro-batch, between two, or is still going on. The changes don't depend on how the stream is
+    cut, as long as a host's snapshots arrive in the order of time, those of the same second together; one
+    that isn't newer than the latest of an earlier micro-batch is passed over. Of the same second the worst counts. A
+    micro-batch holds 16 bytes per snapshot of a host; ``maxFilesPerTrigger`` bounds it. A
+    host never seen has no state: the batch status covers those.
     """
-
-    def newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ordered = pa.Table.from_batches([batch]).sort_by([("hostname", "ascending"), ("at_s", "descending")])
-            hosts = ordered.column("hostname").to_pylist()
-            first = [i for i, h in enumerate(hosts) if i == 0 or h != hosts[i - 1]]
-            yield from ordered.take(first).to_batches()
-
-    latest = snapshots.mapInArrow(newest, snapshots.schema)
+    rows = snapshots
     if time_mode == "EventTime":
-        latest = latest.withWatermark("event_time", "0 seconds")
-    return latest.groupBy("hostname").transformWithStateInPandas(
+        rows = rows.withWatermark("event_time", "0 seconds")
+    return rows.groupBy("hostname").transformWithStateInPandas(
         statefulProcessor=LivenessProcessor(2 * heartbeat_seconds, time_mode),
         outputStructType=_OUT,
         outputMode="Append",

@@ -182,16 +182,16 @@ def test_flush_at_fifty_and_after_thirty_seconds(spark, folder):
     assert row.payload.startswith('{"agent_version":') and '"hostname":"late"' in row.payload
 
 
-def test_liveness(spark, folder, rows):
-    batches = [
-        [("a", 1000, "healthy"), ("b", 1000, "healthy"), ("a", 990, "degraded")],
-        [("a", 1100, "degraded")],
-        [("a", 1190, "degraded")],
-        [("c", 1400, "healthy")],
-        [("b", 1420, "healthy")],
-    ]
-    for i, data in enumerate(batches):
-        df = spark.createDataFrame(data, "hostname string, at_s long, status string").withColumn(
+@pytest.mark.parametrize("cut", [1, 2, 3])
+def test_liveness_reports_every_silence(spark, folder, rows, cut):
+    """Whatever the cut into micro-batches, as long as time goes forward."""
+    data = [
+        ("a", 990, "degraded"), ("b", 1000, "healthy"), ("b", 1000, "degraded"), ("a", 1000, "healthy"), ("a", 1100, "degraded"),
+        ("a", 1190, "degraded"), ("c", 1400, "healthy"), ("b", 1420, "healthy"), ("c", 5000, "healthy"),
+    ]
+    size = -(-len(data) // cut)
+    for i in range(0, len(data), size):
+        df = spark.createDataFrame(data[i : i + size], "hostname string, at_s long, status string").withColumn(
             "event_time", F.timestamp_seconds("at_s")
         )
         df.coalesce(1).write.parquet(f"{folder}/in/p{i}")
@@ -200,7 +200,9 @@ def test_liveness(spark, folder, rows):
         spark, folder, liveness_stream(stream, heartbeat_seconds=60, time_mode="EventTime")
     )
     assert rows(out, "hostname", "at_s", "status") == [
-        ("a", 1000, "healthy"), ("a", 1100, "degraded"), ("a", 1311, "critical"),
-        ("b", 1000, "healthy"), ("b", 1121, "critical"), ("b", 1420, "healthy"),
-        ("c", 1400, "healthy"),
+        ("a", 990, "degraded"), ("a", 1000, "healthy"), ("a", 1100, "degraded"), ("a", 1311, "critical"),
+        ("b", 1000, "degraded"), ("b", 1121, "critical"), ("b", 1420, "healthy"), ("b", 1541, "critical"),
+        ("c", 1400, "healthy"), ("c", 1521, "critical"), ("c", 5000, "healthy"),
     ]
+
+
