@@ -208,10 +208,10 @@ ORACLES = {
         "bans",
     ),
     "queue_quarantine": sql(
-        f"""SELECT hostname, seq, CASE WHEN seq % 31 = 0 THEN 'x' || strftime(local_ts, {_ISO})
-            ELSE replace(strftime(local_ts, {_ISO}), 'T', ' ') END AS banned_at
-          FROM bans WHERE seq % 31 = 0 OR seq % 37 = 0""",
-        "bans",
+        f"""SELECT hostname, seq, CASE WHEN seq % 31 = 0 THEN 'x' || strftime(utc_ts, {_ISO})
+            ELSE replace(strftime(utc_ts, {_ISO}), 'T', ' ') END AS banned_at
+          FROM bans_utc WHERE seq % 31 = 0 OR seq % 37 = 0""",
+        "bans_utc",
     ),
     "bans_utc": sql(
         """SELECT hostname, seq, tz, CAST(utc_ts AS VARCHAR) AS utc_time

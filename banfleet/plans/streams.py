@@ -30,6 +30,8 @@ from banfleet.streaming.liveness import liveness_stream
 from banfleet.streaming.merge import applied_state, merge_stream
 
 LIVENESS_HEARTBEAT = 900
+#: Segments that a micro-batch of the ingest queries reads.
+FILES_PER_TRIGGER = 5
 
 
 def _stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
@@ -88,21 +90,22 @@ def split_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ingested(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_folder(spark, "ingest")
-    lines = segments.stream_segments(spark, _segments(spark, sf))
-    _finish(ingest(lines, f"{folder}/queue", f"{folder}/checkpoint"))
+    lines = segments.stream_segments(spark, _segments(spark, sf), files_per_trigger=FILES_PER_TRIGGER)
+    query = ingest(
+        lines, f"{folder}/queue", f"{folder}/checkpoint", v.host_zones(spark, sf), received_at=F.lit(v.AS_OF_S)
+    )
+    _finish(query)
     return read_queue(spark, f"{folder}/queue")
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Text segments through the ingest stream into the queue."""
-    return _ingested(spark, sf).select("hostname", "jail", "ip", "banned_at")
+    """Text segments through the ingest stream into the queue, over several micro-batches."""
+    return _ingested(spark, sf).drop("batch_id")
 
 
 def stream_drain(spark: SparkSession, sf: str) -> DataFrame:
     """Ingest all that is there, then cut what is queued into report batches."""
-    queue = _ingested(spark, sf)
-    # a single micro-batch read everything, so its numbers are the queue ids
-    batched = queue.withColumnRenamed("n", "id").withColumn(
+    batched = _ingested(spark, sf).withColumn(
         "batch_no", F.floor((F.col("id") - 1) / C.BATCH_SIZE).cast("bigint")
     )
     return assemble_reports(batched).drop("payload")
@@ -239,7 +242,11 @@ ORACLES = {
            UNION ALL SELECT hostname, 'tail ' || seq AS line FROM ban_log_lines""",
         "ban_log_lines",
     ),
-    "stream_ingest": sql("SELECT hostname, jail, ip, banned_at FROM outbox", "outbox"),
+    "stream_ingest": sql(
+        f"""SELECT hostname, id, jail, ip, banned_at, CAST({v.AS_OF_S} AS BIGINT) AS enqueued_at
+          FROM outbox""",
+        "outbox",
+    ),
     "stream_drain": sql(
         f"""SELECT hostname, batch_no, count(*) AS n_bans, min(id) AS first_id, max(id) AS last_id,
             {r._key('id')} AS idempotency_key

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banfleet.functions.banlog import BAN_LINE, iso_text, parse_bans
+from banfleet.functions.banlog import BAN_LINE, iso_text, local_to_utc, parse_bans
 from banfleet.operators.running import running, running_count
 from banfleet.session import written
 
@@ -114,19 +114,20 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queued_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue rows before they are numbered: what depth, age and expiry need."""
-    return parse_bans(ban_log_lines(spark, sf_dir)).select(
+    """Queue rows before they are numbered: what depth, age and expiry need. Times are UTC."""
+    bans = parse_bans(ban_log_lines(spark, sf_dir)).join(host_zones(spark, sf_dir), "hostname")
+    return bans.select(
         "hostname",
         "seq",
         "jail",
         "ip",
-        iso_text("local_ts").alias("banned_at"),
+        iso_text(local_to_utc("local_ts", "tz")).alias("banned_at"),
         F.col("at_s").alias("enqueued_at"),
     )
 
 
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queue of every host (their clocks run on UTC here), numbered from 1.
+    """The queue of every host, numbered from 1.
 
     The queue is a stored table: the lines are parsed once, and numbering reads
     the far fewer bans twice.
@@ -291,10 +292,10 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           FROM bans JOIN host_zones USING (hostname)""",
     ),
     "outbox": (
-        ("bans",),
+        ("bans_utc",),
         """SELECT hostname, row_number() OVER (PARTITION BY hostname ORDER BY seq) AS id,
-            jail, ip, strftime(local_ts, '%Y-%m-%dT%H:%M:%SZ') AS banned_at,
-            at_s AS enqueued_at FROM bans""",
+            jail, ip, strftime(utc_ts, '%Y-%m-%dT%H:%M:%SZ') AS banned_at,
+            at_s AS enqueued_at FROM bans_utc""",
     ),
     "feed_items": (
         ("ev",),

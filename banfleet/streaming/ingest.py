@@ -2,46 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from banfleet.functions.banlog import iso_text, parse_bans
+from banfleet.functions.banlog import iso_text, local_to_utc, parse_bans
 from banfleet.sources.segments import as_lines, number_lines
 
+QUEUE = "hostname string, id bigint, jail string, ip string, banned_at string, enqueued_at bigint"
+_LAST = "hostname string, last bigint"
 
-def queue_rows(lines: DataFrame) -> DataFrame:
-    return parse_bans(lines).withColumn("banned_at", iso_text("local_ts"))
+
+def queue_rows(lines: DataFrame, zones: DataFrame) -> DataFrame:
+    """Bans with their time in UTC. The clock of a host without a zone is taken as UTC."""
+    zoned = parse_bans(lines).join(zones.select("hostname", "tz"), "hostname", "left")
+    utc = local_to_utc("local_ts", F.coalesce("tz", F.lit("UTC")))
+    return zoned.withColumn("banned_at", iso_text(utc)).drop("tz")
 
 
 def ingest(
     segments: DataFrame,
     out: str,
     checkpoint: str,
+    zones: DataFrame,
     *,
+    received_at: Column | None = None,
     poll: str | None = None,
     on_count=None,
 ) -> StreamingQuery:
     """Append new bans to the queue at ``out``.
 
-    Every micro-batch writes the folder of its own number, replacing what an
+    ``zones`` (hostname, tz) gives the hosts' clocks. Queue ids of a host run on from one micro-batch
+    to the next, in line order: each batch keeps the last id per host beside its rows and starts
+    from those of the batch before. Every micro-batch writes the folders of its own number, replacing what an
     interrupted run may have left there: after a restart each segment is in the
-    queue once. A row's queue id is ``(batch_id, n)``, rising in time and line
-    order. ``poll`` like ``"2 seconds"`` keeps the stream running; without it the
+    queue once, under the same ids. ``received_at`` is the time of entry in epoch seconds, the clock if not given.
+    ``poll`` like ``"2 seconds"`` keeps the stream running; without it the
     stream ends when all segments are read. ``on_count(batch_id, new_bans)`` is
     told how many bans a micro-batch brought.
     """
+    spark = segments.sparkSession
+    entered = F.unix_timestamp() if received_at is None else received_at
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        bans = number_lines(queue_rows(as_lines(batch)), "n").select(
-            "hostname", "n", "jail", "ip", "local_ts", "banned_at"
+        bans = number_lines(queue_rows(as_lines(batch), zones), "n")
+        if batch_id:
+            before = spark.read.schema(_LAST).parquet(f"{out}/last/batch_id={batch_id - 1}")
+        else:
+            before = spark.createDataFrame([], _LAST)
+        rows = bans.join(before, "hostname", "left").select(
+            "hostname",
+            (F.col("n") + F.coalesce("last", F.lit(0))).cast("bigint").alias("id"),
+            "jail",
+            "ip",
+            "banned_at",
+            entered.cast("bigint").alias("enqueued_at"),
         )
         if on_count:
             seen = Observation()
-            bans = bans.observe(seen, F.count(F.lit(1)).alias("new_bans"))
-        bans.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            rows = rows.observe(seen, F.count(F.lit(1)).alias("new_bans"))
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
         if on_count:
             on_count(batch_id, seen.get["new_bans"])
+        written = spark.read.schema(QUEUE).parquet(f"{out}/rows/batch_id={batch_id}")
+        last = written.select("hostname", F.col("id").alias("last")).unionByName(before)
+        last.groupBy("hostname").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(
+            f"{out}/last/batch_id={batch_id}"
+        )
 
     writer = segments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)
@@ -49,8 +76,5 @@ def ingest(
 
 
 def read_queue(spark, out: str) -> DataFrame:
-    schema = (
-        "hostname string, n bigint, jail string, ip string, local_ts timestamp_ntz, "
-        "banned_at string, batch_id bigint"
-    )
-    return spark.read.schema(schema).parquet(out)
+    """The queue as the outbox operators take it, and the number of the batch."""
+    return spark.read.schema(f"{QUEUE}, batch_id bigint").parquet(f"{out}/rows")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from banfleet.operators import breaker as b
 from banfleet.operators import feed as f
+from banfleet.operators import outbox
 from banfleet.plans.streams import _finish, _rocksdb
 from banfleet.sources import segments
 from banfleet.streaming import breaker as sb
@@ -17,7 +18,7 @@ from banfleet.streaming.ingest import ingest, read_queue
 from banfleet.streaming.liveness import liveness_stream
 from banfleet.streaming.merge import applied_state, merge_stream
 
-LINE = "2026-05-13 10:23:45,123 fail2ban.actions [1]: NOTICE  [sshd] Ban 10.0.0."
+LINE = "2025-11-02 07:41:09,880 fail2ban.actions [771]: NOTICE  [ftp-in] Ban 10.0.0."
 
 
 def put_segment(folder, host, name, lines):
@@ -50,7 +51,8 @@ def test_ingest_reads_each_segment_once(spark, folder, rows):
 
     def run():
         lines = segments.stream_segments(spark, log, files_per_trigger=1)
-        _finish(ingest(lines, out, point, on_count=lambda i, n: counts.update({i: n})))
+        zones = spark.createDataFrame([("a", "Europe/Madrid")], "hostname string, tz string")
+        _finish(ingest(lines, out, point, zones, on_count=lambda i, n: counts.update({i: n})))
 
     put_segment(log, "a", "1", [LINE + "1", "noise", LINE + "2", LINE + "2"])
     put_segment(log, "b", "1", [LINE + "9"])
@@ -64,18 +66,25 @@ def test_ingest_reads_each_segment_once(spark, folder, rows):
         ("a", "10.0.0.1"), ("a", "10.0.0.2"), ("a", "10.0.0.2"), ("a", "10.0.0.3"), ("b", "10.0.0.9")
     ]
     assert sum(counts.values()) == 5
-    first = got.where("hostname = 'a'").orderBy("batch_id", "n").select("n", "ip").collect()
-    assert [r.ip for r in first] == ["10.0.0.1", "10.0.0.2", "10.0.0.2", "10.0.0.3"]
+    first = got.where("hostname = 'a'").orderBy("id").collect()
+    assert [(r.id, r.ip) for r in first] == [(1, "10.0.0.1"), (2, "10.0.0.2"), (3, "10.0.0.2"), (4, "10.0.0.3")]
+    at = dict(rows(got, "hostname", "banned_at"))
+    assert at["a"] != at["b"] and all(r.enqueued_at > 1_700_000_000 for r in first)  # b's clock is UTC
+    # the queue operators take it as it is
+    head = outbox.head(got)
+    assert rows(head.where("hostname = 'a'"), "id") == [(1,), (2,), (3,), (4,)]
+    assert sum(r.bans for r in outbox.assemble_reports(outbox.cut_batches(got)).select(F.col("n_bans").alias("bans")).collect()) == 5
 
 
 def test_ingest_replayed_batch(spark, folder, rows):
+    no_zones = spark.createDataFrame([], "hostname string, tz string")
     """A batch whose commit was lost runs again and replaces its own output."""
     log, out, point = f"{folder}/log", f"{folder}/queue", f"{folder}/point"
     put_segment(log, "a", "1", [LINE + "1"])
-    _finish(ingest(segments.stream_segments(spark, log), out, point))
+    _finish(ingest(segments.stream_segments(spark, log), out, point, no_zones))
     for name in os.listdir(f"{point}/commits"):
         os.unlink(f"{point}/commits/{name}")
-    _finish(ingest(segments.stream_segments(spark, log), out, point))
+    _finish(ingest(segments.stream_segments(spark, log), out, point, no_zones))
     assert rows(read_queue(spark, out), "ip") == [("10.0.0.1",)]
 
 
