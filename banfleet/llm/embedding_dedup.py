@@ -25,8 +25,8 @@ from banfleet.llm.workers import written
 SAMPLE = 20_000
 #: Rows a cell would have if there were as many cells: their number is the root of rows by this.
 SPREAD = 200
-#: Rows of a block.
-BLOCK = 2048
+#: Rows of a block, and rows of a tile that are multiplied with all others at once.
+BLOCK, SLAB = 2048, 256
 
 
 def cells_of(rows: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +78,7 @@ def _place(centres: np.ndarray, margin: float):
 def _compare(threshold: float, label: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in stretches(batches, [label, "dim", "cell", "_i", "_j"]):
+            tile = tile.sort_by("id")
             ids = tile.column("id").to_numpy()
             rows = np.frombuffer(b"".join(tile.column("unit").to_pylist())).reshape(len(tile), -1)
             cell, home = tile.column("cell")[0].as_py(), tile.column("home").to_numpy()
@@ -91,8 +92,13 @@ def _compare(threshold: float, label: str):
                 at = np.minimum(np.searchsorted(places, code), len(places) - 1)
                 return places[at] == code
 
+            near, first = np.zeros((0, 0), bool), 0
+
             def linked(a: int, others: np.ndarray) -> np.ndarray:
-                out = rows[others] @ rows[a] >= threshold
+                nonlocal near, first
+                if not first <= a < first + len(near):  # rows come in order
+                    near, first = rows[a : a + SLAB] @ rows.T >= threshold, a
+                out = near[a - first][others]
                 found = np.flatnonzero(out)
                 if not len(found):
                     return out
@@ -105,8 +111,7 @@ def _compare(threshold: float, label: str):
                 out[found[~keep]] = False
                 return out
 
-            order = np.argsort(ids, kind="stable")
-            count, root = compare_tile(tile, order, linked, tile.column("copies").to_numpy())
+            count, root = compare_tile(tile, np.arange(len(tile)), linked, tile.column("copies").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count), pa.array(ids[root])], names=["id", "links", "root"])
 
     return run
