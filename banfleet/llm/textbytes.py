@@ -89,7 +89,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each stretch of bytes; equal stretches have equal hashes wherever they are."""
+    """64-bit hash of each stretch of bytes; equal stretches have equal hashes wherever they are.
+
+    Stretches are given by ascending begin and end; long data is worked on a part at a time.
+    """
+    if len(data) > CHUNK and len(begin) > 1:
+        out, i = np.empty(len(begin), np.uint64), 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK, "right")))
+            out[i:j] = _span_hashes(data[begin[i] : end[j - 1]], begin[i:j] - begin[i], end[i:j] - begin[i])
+            i = j
+        return out
+    return _span_hashes(data, begin, end)
+
+
+def _span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     mix, _, _ = worker_cache("mixers", _mixers)
     size = 1 << max(20, int(len(data)).bit_length())
     power, inverse = worker_cache(("powers", size), lambda: _powers(size))
