@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from banfleet.llm.workers import written
+from banfleet.llm.workers import discard, written
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         joined = _least(large)
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(joined.select("a", F.col("m").alias("b"))).distinct()
-        stars = written(small, "links")
+        before, stars = stars, written(small, "links")
+        discard(before)
         found = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == state:
             break

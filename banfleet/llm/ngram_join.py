@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from banfleet.llm.components import components
 from banfleet.llm.textbytes import Words, chunks, mixed, words
 from banfleet.llm.tiles import compare_tile, stretches, tiled
-from banfleet.llm.workers import worker_cache, written
+from banfleet.llm.workers import discard, release, worker_cache, written
 
 BANDS, ROWS = 32, 5
 VALUES = BANDS * ROWS
@@ -214,6 +214,8 @@ def near_duplicates(
         ),
         "sets",
     )
+    members_of = written(sketches.select("id", "one", "two"), "members")
+    discard(sketches)
     width = 4 * ROWS
     bands = F.expr(f"transform(sequence(0, {BANDS - 1}), j -> xxhash64(substring(values, j * {width} + 1, {width}), j))")
     keyed = sets.select("id", F.explode(bands).alias("band"))
@@ -250,10 +252,16 @@ def near_duplicates(
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
-    placed = sketches.select("id", "one", "two").join(of_set, ["one", "two"]).select("id", "class_id", "n_links")
+    placed = members_of.join(of_set, ["one", "two"]).select("id", "class_id", "n_links")
     every = docs.select(F.col(id_col).alias("id")).join(placed.dropDuplicates(["id"]), "id", "left")
-    return every.select(
-        F.col("id").alias(id_col),
-        F.coalesce("class_id", "id").cast("long").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    result = written(
+        every.select(
+            F.col("id").alias(id_col),
+            F.coalesce("class_id", "id").cast("long").alias("class_id"),
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        ),
+        "classes",
     )
+    discard(sets, members_of, groups, compared)
+    release(docs.sparkSession)
+    return result

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from banfleet.llm.textbytes import chunks, per_text, span_hashes, words
-from banfleet.llm.workers import written
+from banfleet.llm.workers import discard, written
 
 STATISTICS = (
     "log_words", "word_bytes", "upper", "digits", "symbols", "exclaims", "spaces", "newlines", "short_words",
@@ -176,7 +176,10 @@ def fit(
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from all labelled rows; their statistics are picked out of one pass over the texts."""
-    return _learn(written(statistics(docs, id_col, text_col), "statistics"), labels, label, id_col)
+    found = written(statistics(docs, id_col, text_col), "statistics")
+    model = _learn(found, labels, label, id_col)
+    discard(found)
+    return model
 
 
 def _learn(found: DataFrame, labels: DataFrame, label: str, id_col: str) -> Model:

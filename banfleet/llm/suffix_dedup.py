@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from banfleet.llm.textbytes import chunks, mixed, span_hashes
 from banfleet.llm.tiles import stretches
-from banfleet.llm.workers import written
+from banfleet.llm.workers import discard, release, written
 
 LENGTH = 50
 GRAM = 24
@@ -29,12 +29,14 @@ FLUSH = 1 << 20
 FLUSH_BYTES = 16 << 20
 #: Bytes of a suffix array's text, about.
 ARRAY = 3 << 20
-#: An anchor is common from so many documents on, or from this part of all anchors.
-COMMON, COMMON_PART = 20_000, 20_000
+#: An anchor is common from so many documents on; at most so many of them, the commonest, are listed.
+COMMON, LISTED = 20_000, 100_000
 
-_ANCHOR = np.dtype([("fp", "u8"), ("id", "i8"), ("crc", "u4"), ("lo", "i4"), ("n", "i4")])
-_BLOB = "kind int, bucket int, id long, crc long, data binary"
-_NAMES = ["kind", "bucket", "id", "crc", "data"]
+_ANCHOR = np.dtype([("fp", "u8"), ("id", "i8"), ("lo", "i4"), ("n", "i4")])
+_MARK = np.dtype([("fp", "u8"), ("lo", "i4"), ("n", "u1")])
+_SPAN = np.dtype([("lo", "i4"), ("hi", "i4")])
+_BLOB = "kind int, bucket int, id long, data binary"
+_NAMES = ["kind", "bucket", "id", "data"]
 
 
 # -- suffix arrays ---------------------------------------------------------------------------
@@ -174,25 +176,55 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h[place], first, count
 
 
-def _row(kind: int, bucket: int, data: bytes, id_: int | None = None, crc: int | None = None) -> tuple:
-    return kind, bucket, id_, crc, data
+def _packed(records: np.ndarray) -> bytes:
+    """Records by column and byte, compressed: ids and places have few different high bytes."""
+    planes = [np.ascontiguousarray(records[x]).view(np.uint8).reshape(len(records), -1).T.tobytes() for x in records.dtype.names]
+    return len(records).to_bytes(4, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    out = []
+    for blob in blobs:
+        n = int.from_bytes(blob[:4], "little")
+        raw = np.frombuffer(pa.decompress(blob[4:], n * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
+        records, at = np.empty(n, kind), 0
+        for name in kind.names:
+            size = n * kind[name].itemsize
+            column = np.ascontiguousarray(raw[at : at + size].reshape(-1, n).T)
+            records[name] = column.view(kind[name]).reshape(n)
+            at += size
+        out.append(records)
+    return np.concatenate(out)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_NAMES)
 
 
-def _by_document(kind: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row per document, with its records as bytes."""
-    records = records[np.lexsort((records["crc"], records["id"]))]
-    if not len(records):
-        return
-    new = (records["id"][1:] != records["id"][:-1]) | (records["crc"][1:] != records["crc"][:-1])
-    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(records)]
+def _cuts(values: np.ndarray) -> list[int]:
+    """Where values change, with both ends."""
+    if not len(values):
+        return [0]
+    return [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+
+
+def _by_document(ids: np.ndarray, records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What is known about each document, a row per document (kind 1), spread over the buckets."""
+    order = np.argsort(ids, kind="stable")
+    ids, records = ids[order], records[order]
+    bucket = (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).tolist()
+    cuts = _cuts(ids)
     for i in range(0, len(cuts) - 1, 10_000):
         own = cuts[i : i + 10_001]
-        yield _batch([_row(kind, 0, records[a:b].tobytes(), int(records["id"][a]), int(records["crc"][a])) for a, b in zip(own, own[1:])])
+        yield _batch([(1, bucket[a], int(ids[a]), records[a:b].tobytes()) for a, b in zip(own, own[1:])])
+
+
+def _marks(records: np.ndarray) -> np.ndarray:
+    out = np.empty(len(records), _MARK)
+    for name in _MARK.names:
+        out[name] = records[name]
+    return out
 
 
 def _known(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,23 +252,23 @@ def _find(buckets: int):
 
     def send(records: np.ndarray) -> Iterator[pa.RecordBatch]:
         shared, rest = _known(records)
-        yield from _by_document(1, shared)
+        yield from _by_document(shared["id"], _marks(shared), buckets)
         bucket = (rest["fp"] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rest, bucket = rest[order], bucket[order]
-        cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(rest)]
+        cuts = _cuts(bucket)
         if len(rest):
-            yield _batch([_row(0, int(bucket[a]), rest[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])])
+            yield _batch([(0, int(bucket[a]), None, _packed(rest[a:b])) for a, b in zip(cuts, cuts[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids, crcs = batch.column("id").to_numpy(), batch.column("crc").to_numpy()
+            ids = batch.column("id").to_numpy()
             for c in chunks(batch.column("text")):
                 fp, first, count = anchors(c.data, c.starts)
                 own = np.searchsorted(c.starts, first, "right") - 1
                 records = np.empty(len(fp), _ANCHOR)
-                records["fp"], records["id"], records["crc"] = fp, ids[c.first + own], crcs[c.first + own]
+                records["fp"], records["id"] = fp, ids[c.first + own]
                 records["lo"], records["n"] = first - c.starts[own], count
                 held.append(records)
                 size += len(records)
@@ -249,25 +281,53 @@ def _find(buckets: int):
     return run
 
 
-def _meet(common: int):
-    """Anchors by bucket to shared ones by document (kind 1) and to common ones (kind 2)."""
+def _meet(common: int, buckets: int):
+    """Anchors by bucket to shared ones by document (kind 1) and to common ones (kind 2, count as id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in stretches(batches, ["bucket"]):
-            records = np.frombuffer(b"".join(table.column("data").to_pylist()), _ANCHOR)
-            shared, rest = _known(records)
-            yield from _by_document(1, shared)
+        for table in stretches(batches, ["bucket", "kind"]):
+            if table.column("kind")[0].as_py() == 1:
+                yield from table.to_batches()
+                continue
+            shared, rest = _known(_unpacked(table.column("data").to_pylist(), _ANCHOR))
+            yield from _by_document(shared["id"], _marks(shared), buckets)
             signs = rest[(rest["n"] == 0) & (rest["lo"] >= common)]
             if len(signs):
-                yield _batch([_row(2, 0, signs["fp"].tobytes())])
+                yield _batch([(2, 0, int(n), x.tobytes()) for x, n in zip(signs["fp"], signs["lo"])])
 
     return run
 
 
 # -- strings around shared anchors -------------------------------------------------------------
 
-_SPAN = np.dtype([("id", "i8"), ("crc", "u4"), ("lo", "i4"), ("hi", "i4")])
-_PLACE = np.dtype([("id", "i8"), ("crc", "u4"), ("lo", "i4"), ("size", "i4")])
+_PLACE = np.dtype([("fp", "u8"), ("id", "i8"), ("lo", "i4"), ("size", "i4")])
+
+
+def _alone(place: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which surroundings equal those of a smaller document, and which are the only ones of their anchor.
+
+    ``one`` are their hashes. In the former every string repeats; the latter can only repeat elsewhere.
+    """
+    order = np.lexsort((place["id"], one))
+    new = np.append(True, one[order][1:] != one[order][:-1])
+    least = place["id"][order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    again, spare = np.zeros(len(place), bool), np.zeros(len(place), bool)
+    again[order] = ~new & (place["id"][order] > least)
+    spare[order] = ~new
+    order = np.argsort(place["fp"], kind="stable")
+    fp = place["fp"][order]
+    first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+    kept = np.add.reduceat((~spare[order]).astype(np.int64), first)
+    single = np.zeros(len(place), bool)
+    single[order] = np.repeat(kept == 1, np.diff(np.append(first, len(fp))))
+    return again, single | spare
+
+
+def _spans(place: np.ndarray) -> np.ndarray:
+    out = np.empty(len(place), _SPAN)
+    out["lo"] = place["lo"]
+    out["hi"] = place["lo"] + place["size"]
+    return out
 
 
 def _cut(common: np.ndarray, buckets: int):
@@ -277,93 +337,97 @@ def _cut(common: np.ndarray, buckets: int):
     every string is known to repeat.
     """
 
-    def send(places, fps, texts) -> Iterator[pa.RecordBatch]:
-        place, fp = np.concatenate(places), np.concatenate(fps)
-        data = np.frombuffer(b"".join(texts), np.uint8)
+    def send(places, texts) -> Iterator[pa.RecordBatch]:
+        place, data = np.concatenate(places), np.frombuffer(b"".join(texts), np.uint8)
         end = np.cumsum(place["size"].astype(np.int64))
         begin = end - place["size"]
-        one = span_hashes(data, begin, end)
-        order = np.lexsort((place["id"], one))
-        new = np.append(True, one[order][1:] != one[order][:-1])
-        least = place["id"][order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        again = np.zeros(len(place), bool)
-        again[order] = ~new & (place["id"][order] > least)
-        spans = np.empty(int(again.sum()), _SPAN)
-        for name in ("id", "crc", "lo"):
-            spans[name] = place[name][again]
-        spans["hi"] = spans["lo"] + place["size"][again]
-        yield from _by_document(1, spans)
+        again, _ = _alone(place, span_hashes(data, begin, end))
+        yield from _by_document(place["id"][again], _spans(place[again]), buckets)
         on = np.flatnonzero(~again)
-        bucket = (mixed(fp[on]) % np.uint64(buckets)).astype(np.int64)
-        on = on[np.argsort(bucket, kind="stable")]
-        bucket = np.sort(bucket, kind="stable")
-        cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(on)]
-        raw = data.tobytes()
-        rows = []
+        bucket = (mixed(place["fp"][on]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        on, bucket, raw, rows = on[order], bucket[order], data.tobytes(), []
+        cuts = _cuts(bucket)
         for a, b in zip(cuts, cuts[1:]):
             own = on[a:b]
-            head = place[own].tobytes()
+            head = _packed(place[own])
             body = b"".join([raw[x:y] for x, y in zip(begin[own].tolist(), end[own].tolist())])
-            rows.append(_row(0, int(bucket[a]), len(own).to_bytes(4, "little") + head + body))
-        if len(on):
+            rows.append((0, int(bucket[a]), None, len(head).to_bytes(4, "little") + head + body))
+        if rows:
             yield _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, fps, texts, size = [], [], [], 0
+        places, texts, size = [], [], 0
         for batch in batches:
-            columns = [batch.column(x) for x in ("id", "crc", "data", "text")]
-            for id_, crc, blobs, text in zip(*(c.to_pylist() for c in columns)):
-                records = np.frombuffer(b"".join(blobs), _ANCHOR)
+            for id_, blobs, text in zip(*(batch.column(x).to_pylist() for x in ("id", "data", "text"))):
+                records = np.frombuffer(b"".join(blobs), _MARK)
                 raw = text.encode()
                 lo, n, fp = records["lo"].astype(np.int64), records["n"].astype(np.int64), records["fp"]
                 if len(common) and (hot := np.isin(fp, common)).any():
                     # single strings, which meet by their own hash
                     each = np.repeat(lo[hot], n[hot]) + np.arange(n[hot].sum()) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+                    each.sort()
                     own = span_hashes(np.frombuffer(raw, np.uint8), each, each + LENGTH)
                     lo, n, fp = (np.concatenate(x) for x in ((lo[~hot], each), (n[~hot], np.ones(len(each), np.int64)), (fp[~hot], own)))
                 place = np.empty(len(lo), _PLACE)
-                place["id"], place["crc"], place["lo"], place["size"] = id_, crc, lo, n + LENGTH - 1
+                place["fp"], place["id"], place["lo"], place["size"] = fp, id_, lo, n + LENGTH - 1
                 places.append(place)
-                fps.append(fp)
                 texts += [raw[a:b] for a, b in zip(lo.tolist(), (lo + place["size"]).tolist())]
                 size += int(place["size"].sum())
                 if size >= FLUSH_BYTES:
-                    yield from send(places, fps, texts)
-                    places, fps, texts, size = [], [], [], 0
+                    yield from send(places, texts)
+                    places, texts, size = [], [], 0
         if size:
-            yield from send(places, fps, texts)
+            yield from send(places, texts)
 
     return run
 
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort(buckets: int):
     """Surroundings by bucket to spans that repeat a smaller document's."""
-    for table in stretches(batches, ["bucket"]):
-        places, bodies = [], []
-        for blob in table.column("data").to_pylist():
-            n = int.from_bytes(blob[:4], "little")
-            cut = 4 + n * _PLACE.itemsize
-            places.append(np.frombuffer(blob[4:cut], _PLACE))
-            bodies.append(blob[cut:])
-        place = np.concatenate(places)
-        text = np.frombuffer(b"".join(bodies), np.uint8)
-        size = place["size"].astype(np.int64)
-        begin = np.cumsum(size) - size
-        n = size - LENGTH + 1
-        own = np.repeat(np.arange(len(place)), n)
-        inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        again = repeated(text, begin[own] + inner, place["id"][own])
-        # neighbouring strings make one span
-        start = again.copy()
-        start[1:] &= ~again[:-1] | (inner[1:] == 0)
-        stop = again.copy()
-        stop[:-1] &= ~again[1:] | (inner[1:] == 0)
-        first, last = np.flatnonzero(start), np.flatnonzero(stop)
-        spans = np.empty(len(first), _SPAN)
-        spans["id"], spans["crc"] = place["id"][own[first]], place["crc"][own[first]]
-        spans["lo"] = place["lo"][own[first]] + inner[first]
-        spans["hi"] = place["lo"][own[last]] + inner[last] + LENGTH
-        yield from _by_document(1, spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in stretches(batches, ["bucket", "kind"]):
+            if table.column("kind")[0].as_py() == 1:
+                yield from table.to_batches()
+                continue
+            places, bodies = [], []
+            for blob in table.column("data").to_pylist():
+                cut = 4 + int.from_bytes(blob[:4], "little")
+                places.append(_unpacked([blob[4:cut]], _PLACE))
+                bodies.append(blob[cut:])
+            place, text = np.concatenate(places), np.frombuffer(b"".join(bodies), np.uint8)
+            size = place["size"].astype(np.int64)
+            begin = np.cumsum(size) - size
+            again, done = _alone(place, span_hashes(text, begin, begin + size))
+            yield from _by_document(place["id"][again], _spans(place[again]), buckets)
+            left = np.flatnonzero(~done)
+            if not len(left):
+                continue
+            raw = text.tobytes()
+            text = np.frombuffer(b"".join([raw[a : a + n] for a, n in zip(begin[left].tolist(), size[left].tolist())]), np.uint8)
+            yield from _by_document(*_repeating(place[left], text), buckets)
+
+    return run
+
+
+def _repeating(place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and spans of what repeats a smaller document's, among surroundings that lie after each other."""
+    size = place["size"].astype(np.int64)
+    begin, n = np.cumsum(size) - size, size - LENGTH + 1
+    own = np.repeat(np.arange(len(place)), n)
+    inner = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    again = repeated(text, begin[own] + inner, place["id"][own])
+    # neighbouring strings make one span
+    start = again.copy()
+    start[1:] &= ~again[:-1] | (inner[1:] == 0)
+    stop = again.copy()
+    stop[:-1] &= ~again[1:] | (inner[1:] == 0)
+    first, last = np.flatnonzero(start), np.flatnonzero(stop)
+    spans = np.empty(len(first), _SPAN)
+    spans["lo"] = place["lo"][own[first]] + inner[first]
+    spans["hi"] = place["lo"][own[last]] + inner[last] + LENGTH
+    return place["id"][own[first]], spans
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -405,37 +469,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each byte covered by a string of :data:`LENGTH` bytes that also starts in a document with a smaller id is
     removed; overlaps count, and strings are judged on the input. A null text is empty. Rows with a
-    null id lose nothing and cost nobody anything. Ids are meant to be unique: rows with an equal id are judged
-    each on its own text, and not against each other. Other columns are not read; an empty table gives no rows.
-    With ``whole_rows`` they are kept in a struct ``rest``, and ``kept_text`` has the whole characters that are left.
+    null id lose nothing and cost nobody anything. Ids are meant to be unique: rows with an equal id aren't judged
+    against each other, and of different texts only those with the least checksum take part. Other columns are not
+    read; an empty table gives no rows. With ``whole_rows`` they are kept in a struct ``rest``, and ``kept_text``
+    has the whole characters that are left.
 
     What tasks send on about an anchor or a string is one row per task, however many documents hold it.
     Around an anchor that very many documents hold, single strings meet by their own hash; the list of such
-    anchors is bounded by :data:`COMMON_PART` and sent with the tasks.
+    anchors is bounded by :data:`LISTED` and sent with the tasks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     others = [c for c in docs.columns if c not in (id_col, text_col)] if whole_rows else []
     rest = [F.struct(*others).alias("rest")] if others else []
     rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"), *rest)
-    texts = rows.select(F.col("row").cast("long").alias("id"), F.crc32("text").alias("crc"), "text").where("id is not null and text is not null")
-    buckets = 16 * max(1, texts.rdd.getNumPartitions())
-    found = written(texts.mapInArrow(_find(buckets), _BLOB), "anchors")
-    total = found.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0] // _ANCHOR.itemsize
-    met = found.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket")
-    met = written(met.mapInArrow(_meet(max(COMMON, total // COMMON_PART)), _BLOB), "shared")
-    shared = found.where("kind = 1").unionByName(met.where("kind = 1"))
-    hot = met.where("kind = 2").select("data").collect()
+    keyed = rows.withColumn("id", F.col("row").cast("long"))
+    twice = keyed.groupBy("id").agg(F.min(F.crc32("text")).alias("least"), F.max(F.crc32("text")).alias("most"), F.count(F.lit(1)).alias("n"))
+    texts = keyed.select("id", "text").where("id is not null and text is not null")
+    twice = twice.where("least < most").select("id", "least")
+    several = not keyed.select("id").groupBy("id").count().where("id is not null and count > 1").isEmpty()
+    if several:  # else their texts need not be looked at
+        texts = texts.join(twice, "id", "left").where("least is null or crc32(text) = least").select("id", "text").distinct()
+    spark, buckets, keys = docs.sparkSession, 4 * max(1, docs.rdd.getNumPartitions()), ["bucket", "kind"]
+    found = texts.mapInArrow(_find(buckets), _BLOB).repartition("bucket").sortWithinPartitions(*keys)
+    met = written(found.mapInArrow(_meet(COMMON, buckets), _BLOB), "shared")
+    del found
+    release(spark)
+    hot = met.where("kind = 2").orderBy(F.desc("id"), "data").limit(LISTED).select("data").collect()
     common = np.unique(np.frombuffer(b"".join(bytes(x[0]) for x in hot), np.uint64))
-    size = shared.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0] // _ANCHOR.itemsize
+    shared = met.where("kind = 1")
+    size = shared.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0] // _MARK.itemsize
     arrays = max(1, -(-size * (LENGTH + 14) // ARRAY))
-    by_text = shared.groupBy("id", "crc").agg(F.collect_list("data").alias("data"))
-    around = by_text.join(texts, ["id", "crc"])
-    cut = written(around.select("id", "crc", "data", "text").mapInArrow(_cut(common, arrays), _BLOB), "around")
-    met = cut.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket")
-    spans = cut.where("kind = 1").unionByName(met.mapInArrow(_sort, _BLOB))
-    of_text = spans.groupBy("id", "crc").agg(F.collect_list("data").alias("data"))
-    keyed = rows.withColumn("id", F.col("row").cast("long")).withColumn("crc", F.crc32("text"))
-    every = keyed.join(of_text, ["id", "crc"], "left").select("row", "text", "data", *(["rest"] if others else []))
+    by_text = shared.groupBy("id").agg(F.collect_list("data").alias("data"))
+    cut = by_text.join(texts, "id").select("id", "data", "text").mapInArrow(_cut(common, arrays), _BLOB)
+    cut = cut.repartition("bucket").sortWithinPartitions(*keys)
+    spans = written(cut.mapInArrow(_sort(arrays), _BLOB).select("id", "data"), "spans")
+    del by_text, cut, shared
+    discard(met)
+    release(spark)
+    of_text = spans.groupBy("id").agg(F.collect_list("data").alias("data"))
+    if several:
+        of_text = of_text.join(twice, "id", "left")
+        data = F.expr("CASE WHEN least IS NULL OR crc32(text) = least THEN data END")
+    else:
+        data = F.col("data")
+    every = keyed.join(of_text, "id", "left").select("row", "text", data.alias("data"), *(["rest"] if others else []))
     kinds = f", rest {rows.schema['rest'].dataType.simpleString()}" if others else ""
     fields = "n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
     fields += ", kept_text string" if whole_rows else ""

@@ -123,10 +123,13 @@ def test_statistics_by_hand():
 
 def removed(rows):
     """Brute force: (id, kept bytes, runs) in the order of the rows."""
-    out = []
+    out, least = [], {}
+    for i, t in rows:
+        least[i] = min(least.get(i, 1 << 32), zlib.crc32((t or "").encode()))
     for i, t in rows:
         b = (t or "").encode()
-        seen = {x[k : k + 50] for j, u in rows if i is not None and j is not None and j < i for x in [(u or "").encode()] for k in range(len(x) - 49)}
+        part = [(j, u) for j, u in rows if j is not None and zlib.crc32((u or "").encode()) == least[j]]
+        seen = {x[k : k + 50] for j, u in part if (i, t) in part and j < i for x in [(u or "").encode()] for k in range(len(x) - 49)}
         gone = bytearray(len(b))
         for k in range(len(b) - 49):
             if b[k : k + 50] in seen:
