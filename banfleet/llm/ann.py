@@ -24,13 +24,13 @@ from banfleet.llm.workers import written
 NEIGHBOURS = 32
 LISTED = 32
 #: Random cuts of the whole table, and rows of a part, at most, that are compared with each other.
-CUTS, PART = 4, 4096
+CUTS, PART = 6, 4096
 #: Rounds of neighbours of neighbours.
 ROUNDS = 2
 #: Best partners that a meeting names to each of its members.
 NAMED = 12
 #: Length of a query's list, and how many of it are opened at once.
-BEAM, OPENED = 96, 24
+BEAM, OPENED = 160, 40
 
 _LIST = "id long, near binary, score binary"
 
