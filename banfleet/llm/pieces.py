@@ -47,7 +47,7 @@ class Pieces:
     The memo holds ids as bytes (32 bits each): they are joined at the speed of a copy.
     """
 
-    def __init__(self, content: bytes, most: int = 250_000):
+    def __init__(self, content: bytes, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -108,7 +108,8 @@ class Pieces:
         simple, heads, rest, lines = [], set(), [], []
         for p in pieces:
             head = p.rstrip(TAIL)
-            if head and head.isalpha():
+            # the small form of one letter depends on what follows, that of another is no letter
+            if head and head.isalpha() and head.lower().isalpha() and "Σ" not in head:
                 tail = p[len(head) :]
                 if head not in memo:
                     heads.add(head)
@@ -142,17 +143,33 @@ class Pieces:
             if len(memo) > self.most:
                 memo.clear()
         if self.kind == "words":
-            cut = [("", x.replace("\n", " ").split(" ")) for x in texts]
+            cut = [("", _folded(x).split(" ")) for x in texts]
             self.inner[""] = b""
         else:
             cut = [_cut_at_spaces(x) for x in texts]
         self.first[""] = b""
         if new := _missing({h for h, _ in cut}, self.first):
             self._resolve(new, False)
-        if new := _missing(set().union(*(own for _, own in cut)), self.inner):
+        found, gaps, new = [], [], set()
+        for _, own in cut:
+            got = list(map(self.inner.get, own))
+            gap = [i for i, x in enumerate(got) if x is None] if None in got else ()
+            new.update(own[i] for i in gap)
+            found.append(got)
+            gaps.append(gap)
+        if new:
             self._resolve(new, True)
-        look = self.inner.__getitem__
-        return [np.frombuffer(self.first[head] + b"".join(map(look, own)), np.int32) for head, own in cut]
+        for (_, own), got, gap in zip(cut, found, gaps):
+            for i in gap:
+                got[i] = self.inner[own[i]]
+        return [np.frombuffer(self.first[head] + b"".join(got), np.int32) for (head, _), got in zip(cut, found)]
+
+
+def _folded(text: str) -> str:
+    """What a tokenizer of lower-case words makes of ASCII anyway, so that fewer pieces differ."""
+    if "<|" in text:  # special tokens are looked for as written
+        return text.replace("\n", " ")
+    return text.replace("\n", " ").encode().lower().decode()
 
 
 def _missing(pieces: set[str], memo: dict) -> list[str]:
