@@ -303,24 +303,36 @@ def _meet(common: int, buckets: int):
 _PLACE = np.dtype([("fp", "u8"), ("id", "i8"), ("lo", "i4"), ("size", "i4")])
 
 
-def _alone(place: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which surroundings equal those of a smaller document, and which are the only ones of their anchor.
+def _alone(place: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which surroundings equal those of a smaller document, the first that each equals, and which anchors have no other.
 
-    ``one`` are their hashes. In the former every string repeats; the latter can only repeat elsewhere.
+    ``one`` are their hashes. In the first kind every string repeats; what is not of it equals only surroundings of its
+    own document, so that the first of them can stand for all. The last kind can only repeat elsewhere.
     """
     order = np.lexsort((place["id"], one))
     new = np.append(True, one[order][1:] != one[order][:-1])
-    least = place["id"][order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    again, spare = np.zeros(len(place), bool), np.zeros(len(place), bool)
-    again[order] = ~new & (place["id"][order] > least)
-    spare[order] = ~new
+    twin = np.empty(len(place), np.int64)
+    twin[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    again = place["id"] > place["id"][twin]
     order = np.argsort(place["fp"], kind="stable")
     fp = place["fp"][order]
     first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
-    kept = np.add.reduceat((~spare[order]).astype(np.int64), first)
+    kept = np.add.reduceat((twin == np.arange(len(place)))[order].astype(np.int64), first)
     single = np.zeros(len(place), bool)
     single[order] = np.repeat(kept == 1, np.diff(np.append(first, len(fp))))
-    return again, single | spare
+    return again, twin, single
+
+
+def _copied(place: np.ndarray, of: np.ndarray, at: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and spans of all surroundings ``of`` which ``at`` stands, by the spans found in that one."""
+    order = np.argsort(of, kind="stable")
+    low, high = (np.searchsorted(of[order], at, side) for side in ("left", "right"))
+    n = high - low
+    to = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    out, shift = np.repeat(spans, n), place["lo"][to] - np.repeat(place["lo"][at], n)
+    out["lo"] += shift
+    out["hi"] += shift
+    return place["id"][to], out
 
 
 def _spans(place: np.ndarray) -> np.ndarray:
@@ -341,7 +353,7 @@ def _cut(common: np.ndarray, buckets: int):
         place, data = np.concatenate(places), np.frombuffer(b"".join(texts), np.uint8)
         end = np.cumsum(place["size"].astype(np.int64))
         begin = end - place["size"]
-        again, _ = _alone(place, span_hashes(data, begin, end))
+        again, _, _ = _alone(place, span_hashes(data, begin, end))
         yield from _by_document(place["id"][again], _spans(place[again]), buckets)
         on = np.flatnonzero(~again)
         bucket = (mixed(place["fp"][on]) % np.uint64(buckets)).astype(np.int64)
@@ -401,20 +413,22 @@ def _sort(buckets: int):
             place, text = np.concatenate(places), np.frombuffer(b"".join(bodies), np.uint8)
             size = place["size"].astype(np.int64)
             begin = np.cumsum(size) - size
-            again, done = _alone(place, span_hashes(text, begin, begin + size))
+            again, twin, single = _alone(place, span_hashes(text, begin, begin + size))
             yield from _by_document(place["id"][again], _spans(place[again]), buckets)
-            left = np.flatnonzero(~done)
+            left = np.flatnonzero((twin == np.arange(len(place))) & ~single)
             if not len(left):
                 continue
             raw = text.tobytes()
             text = np.frombuffer(b"".join([raw[a : a + n] for a, n in zip(begin[left].tolist(), size[left].tolist())]), np.uint8)
-            yield from _by_document(*_repeating(place[left], text), buckets)
+            at, spans = _repeating(place[left], text)
+            own = np.flatnonzero(~again)
+            yield from _by_document(*_copied(place[own], np.searchsorted(own, twin[own]), np.searchsorted(own, left[at]), spans), buckets)
 
     return run
 
 
 def _repeating(place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and spans of what repeats a smaller document's, among surroundings that lie after each other."""
+    """Places and spans of what repeats a smaller document's, among surroundings that lie after each other."""
     size = place["size"].astype(np.int64)
     begin, n = np.cumsum(size) - size, size - LENGTH + 1
     own = np.repeat(np.arange(len(place)), n)
@@ -429,7 +443,7 @@ def _repeating(place: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndar
     spans = np.empty(len(first), _SPAN)
     spans["lo"] = place["lo"][own[first]] + inner[first]
     spans["hi"] = place["lo"][own[last]] + inner[last] + LENGTH
-    return place["id"][own[first]], spans
+    return own[first], spans
 
 
 def merged(spans: np.ndarray) -> list[tuple[int, int]]:

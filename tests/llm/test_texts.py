@@ -165,6 +165,18 @@ def test_repeats_by_brute_force(spark, monkeypatch, common):
     assert all(r["n_removed"] == sum(s["end"] - s["start"] for s in r["spans"]) == r["n_bytes"] - len(r["kept"]) for r in got)
 
 
+def test_a_line_that_its_document_repeats(spark):
+    """A smaller document holds it in another context, or a part of it: all copies go, not only the first."""
+    draw = random.Random(9)
+    rows = []
+    for k in range(0, 60, 3):
+        line = "".join(draw.choice("abcdefgh ") for _ in range(draw.randint(60, 200)))
+        part = line[draw.randint(0, 8) :] if k % 2 else line
+        rows += [(k, f"before {k} {part} after {k}"), (k + 1, "\n".join([line] * 3)), (k + 2, f"{line}\n{k}\n" * 4)]
+    got = suffix_dedup.remove_repeats(frame(spark, rows).repartition(3)).collect()
+    assert sorted((r["doc_id"], bytes(r["kept"]), len(r["spans"])) for r in got) == sorted(removed(rows))
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(frame(spark, []).limit(0)).count() == 0
     whole = suffix_dedup.remove_repeats(frame(spark, [(1, "é" * 40), (2, "é" * 40 + "x")]), whole_rows=True)
