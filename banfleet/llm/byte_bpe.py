@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from banfleet.llm.pieces import cut_at_spaces
 from banfleet.llm.workers import text_chunks, worker_cache
 
 
@@ -152,13 +153,11 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> bytes:
-        """A text is cut at single spaces, which start a match wherever they stand."""
-        if "  " in text:
-            return self._piece(text)
+        """A text is cut at spaces that follow no white space, which start a match wherever they stand."""
         for memo in (self.inner, self.words):
             if len(memo) > self.most:
                 memo.clear()
-        head, *rest = text.split(" ")
+        head, rest = cut_at_spaces(text)
         inner = self.inner
         for x in filterfalse(inner.__contains__, set(rest)):
             inner[x] = self._piece(" " + x)

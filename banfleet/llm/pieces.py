@@ -1,7 +1,7 @@
 """Token ids of texts by a public tokenizer, each distinct piece encoded once.
 
-Both kinds of tokenizer handled here never let a token span a single space, so a text can
-be cut at spaces and its ids are those of its pieces. Pieces are encoded by the library itself;
+Both kinds of tokenizer handled here never let a token reach from a character that is no white space to
+a space, so a text can be cut there and its ids are those of its pieces. Pieces are encoded by the library itself;
 letters followed by ASCII punctuation are cut once more, and many words go into one call.
 Tokenizers of any other make get whole texts.
 """
@@ -19,6 +19,8 @@ import numpy as np
 #: and no "<" (special tokens).
 TAIL = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: A space after white space of any kind: a token may hold both.
+_RUN = re.compile(r" (?<=\s )")
 _PER_CALL = 200
 
 
@@ -115,7 +117,7 @@ class Pieces:
                     heads.add(head)
                 if tail:
                     simple.append((p, head, tail))
-            elif self.kind == "bytes" and "\n" in p and len(q := p.split("\n")) == len(p.split()) and all(q):
+            elif self.kind == "bytes" and "\n" in p and (q := p.split("\n")) == p.split():
                 lines.append((p, q))
             else:
                 rest.append(p)
@@ -146,7 +148,7 @@ class Pieces:
             cut = [("", _folded(x).split(" ")) for x in texts]
             self.inner[""] = b""
         else:
-            cut = [_cut_at_spaces(x) for x in texts]
+            cut = [cut_at_spaces(x) for x in texts]
         self.first[""] = b""
         if new := _missing({h for h, _ in cut}, self.first):
             self._resolve(new, False)
@@ -176,9 +178,9 @@ def _missing(pieces: set[str], memo: dict) -> list[str]:
     return list(filterfalse(memo.__contains__, pieces))
 
 
-def _cut_at_spaces(text: str) -> tuple[str, list[str]]:
+def cut_at_spaces(text: str) -> tuple[str, list[str]]:
     """What comes before the first cut, and the pieces after it without their leading space."""
-    if "  " not in text:
+    if not _RUN.search(text):
         head, *rest = text.split(" ")
         return head, rest
     own = _CUT.split(text)

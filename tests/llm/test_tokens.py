@@ -48,6 +48,34 @@ def test_byte_bpe_is_the_librarys(texts, name):
         assert np.frombuffer(own.encode(x), np.int32).tolist() == library.encode_ordinary(x)
 
 
+@pytest.fixture(scope="module")
+def spaced():
+    """Runs of white space of several kinds, between words and at the ends."""
+    draw = random.Random(8)
+    kinds = [" ", "\u00a0", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u2009", "\u2028", "\u3000", "\u200b"]
+    made = ["a" + x + "b" for x in (" \u00a0 \u00a0 ", " " + "\u00a0 " * 8, "\n \n", "\t \t", " \u00a0 \u00a0", "\n\t\t", "\n\t\t\t")]
+    for _ in range(4000):
+        some = draw.sample(kinds, 2)
+        made.append("".join("".join(draw.choice(some) for _ in range(draw.randint(0, 9))) + draw.choice(["a", "the", "x.", "1", "é"]) for _ in range(4)))
+    return [*made, *(x + " \u00a0 " for x in made[:50])]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_with_other_white_space(spaced, name):
+    with open(P.path(name), "rb") as f:
+        pieces = Pieces(f.read())
+    want = [e.ids for e in Tokenizer.from_file(P.path(name)).encode_batch(spaced, add_special_tokens=False)]
+    assert [x.tolist() for x in pieces.ids(spaced)] == want
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_byte_bpe_with_other_white_space(spaced, name):
+    tables = byte_bpe.read_tables(P.path(name))
+    own = byte_bpe.Encoder(tables, P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=tables.ranks, special_tokens={})
+    assert [np.frombuffer(own.encode(x), np.int32).tolist() for x in spaced] == [library.encode_ordinary(x) for x in spaced]
+
+
 ROWS = [(1, "one two. one", 9), (2, None, 9), (3, "", 9), (3, "", 9), (None, "one two. one", 9), (4, "long " * 9000, 9), (5, "one two. one", 9)]
 SCHEMA = "doc_id long, text string, n_tokens int"
 
