@@ -25,8 +25,8 @@ BANDS, ROWS = 32, 5
 VALUES = BANDS * ROWS
 #: MinHash values compared before each look at the posterior.
 STEP = 32
-#: Rows of a block.
-BLOCK = 512
+#: Rows of a block, and of one where only values are compared.
+BLOCK, SKETCHES = 512, 4096
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +129,43 @@ def _alike(least: float):
     return run
 
 
+def _alive(settings: _Settings, n: np.ndarray, values: np.ndarray, a: int, others: np.ndarray) -> np.ndarray:
+    """Positions in ``others`` of what sizes and values leave as candidates of ``a``."""
+    few, many = np.minimum(n[a], n[others]), np.maximum(n[a], n[others])
+    alive = np.flatnonzero(few >= settings.threshold * many)
+    matches = np.zeros(len(alive), np.int64)
+    for upto, least in settings.steps:
+        part = slice(upto - STEP, upto)
+        matches = matches + (values[others[alive], part] == values[a, part]).sum(1)
+        keep = matches >= least
+        alive, matches = alive[keep], matches[keep]
+        if not len(alive):
+            break
+    return alive
+
+
+def _between(settings: _Settings):
+    """Tiles of bands to links (a, b) that span the candidates of different groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in stretches(batches, ["band", "_i", "_j"]):
+            ids, group = tile.column("id").to_numpy(), tile.column("component").to_numpy()
+            n = tile.column("n").to_numpy().astype(np.int64)
+            values = np.frombuffer(b"".join(tile.column("values").to_pylist()), np.uint32).reshape(-1, VALUES)
+
+            def linked(a: int, others: np.ndarray) -> np.ndarray:
+                out = np.zeros(len(others), bool)
+                apart = np.flatnonzero(group[others] != group[a])
+                out[apart[_alive(settings, n, values, a, others[apart])]] = True
+                return out
+
+            _, root = compare_tile(tile, np.argsort(ids, kind="stable"), linked, np.ones(len(ids), np.int64))
+            hung = np.flatnonzero(ids[root] != ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hung]), pa.array(ids[root][hung])], names=["a", "b"])
+
+    return run
+
+
 def _with_shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,16 +191,7 @@ def _compare(settings: _Settings):
             flag = np.zeros(len(vocabulary), bool)
 
             def linked(a: int, others: np.ndarray) -> np.ndarray:
-                few, many = np.minimum(n[a], n[others]), np.maximum(n[a], n[others])
-                alive = np.flatnonzero(few >= settings.threshold * many)
-                matches = np.zeros(len(alive), np.int64)
-                for upto, least in settings.steps:
-                    part = slice(upto - STEP, upto)
-                    matches = matches + (values[others[alive], part] == values[a, part]).sum(1)
-                    keep = matches >= least
-                    alive, matches = alive[keep], matches[keep]
-                    if not len(alive):
-                        break
+                alive = _alive(settings, n, values, a, others)
                 out = np.zeros(len(others), bool)
                 if len(alive):
                     own = number[ends[a] : ends[a + 1]]
@@ -202,7 +230,9 @@ def near_duplicates(
 
     Equal shingle sets are one candidate, however many copies there are. Bands that two or more share
     give a link to the band's least id; such stars of not too different ones (half their values) make
-    groups, and all of a group are compared in tiles, so that no pair is a row.
+    first groups. Where a band holds members of several groups, these are compared by their values, in tiles, and
+    what they leave as candidates joins its groups: every pair that shares a band is judged by its own values. All of
+    a group are compared in tiles, so that no pair is a row.
     """
     light = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     drawn = light.mapInArrow(_sketch(size), "id long, one long, two long, n long, values binary")
@@ -220,24 +250,34 @@ def near_duplicates(
     bands = F.expr(f"transform(sequence(0, {BANDS - 1}), j -> xxhash64(substring(values, j * {width} + 1, {width}), j))")
     keyed = sets.select("id", F.explode(bands).alias("band"))
     hubs = keyed.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = keyed.join(hubs.select("band", "hub"), "band").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    ends = written(keyed.join(hubs, "band").where("id <> hub").select("id", "band", "hub", "n"), "stars")
+    stars = ends.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     values = sets.select("id", "values")
     pairs = (
         stars.join(values.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
         .join(values.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
         .select("a", "b", "va", "vb")
     )
-    groups = written(components(pairs.mapInArrow(_alike(0.5), "a long, b long")), "groups")
+    settings = _Settings(size, threshold, least_matches(threshold, tolerance))
+    half = min(0.5, settings.steps[-1][1] / VALUES)
+    near = written(components(pairs.mapInArrow(_alike(half), "a long, b long")), "near")
+    # the hub has met all; of two others of different groups neither has met the other yet
+    placed = ends.where("n > 2").join(near, "id", "left").select("id", "band", F.coalesce("component", "id").alias("component"))
+    several = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    apart = placed.join(several.where("low <> high").select("band", "size"), "band").join(sets.select("id", "n", "values"), "id")
+    between = tiled(apart, ["band"], F.col("size"), ["id"], SKETCHES).mapInArrow(_between(settings), "a long, b long")
+    links = near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(between)
+    groups = written(components(links), "groups")
+    discard(ends, near)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = groups.join(sizes, "component").join(sets, "id")
     texts = members.join(light, "id").select("id", "component", "size", "copies", "n", "values", "one", "two", "text")
     fields = "id long, component long, size long, copies long, n long, values binary, one long, two long"
     found = texts.mapInArrow(_with_shingles(size), f"{fields}, own long, runs binary")
     found = found.where("one = own").drop("one", "two", "own").dropDuplicates(["id"])
-    steps = least_matches(threshold, tolerance)
     compared = written(
         tiled(found, ["component"], F.col("size"), ["id"], BLOCK).mapInArrow(
-            _compare(_Settings(size, threshold, steps)), "id long, links long, root long"
+            _compare(settings), "id long, links long, root long"
         ),
         "compared",
     )

@@ -229,6 +229,36 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, block):
     assert ngram_join.near_duplicates(frame(spark, []).limit(0)).count() == 0
 
 
+def test_near_duplicates_meet_beside_an_unlike_hub(spark):
+    """In each band that two near duplicates share the least id is a document unlike both."""
+    draw = random.Random(12)
+
+    def drawn(some):
+        w = words(np.frombuffer(" ".join(some).encode(), np.uint8), np.array([0, len(" ".join(some))]))
+        h, starts = ngram_join.shingles(w, 5)
+        return ngram_join.signatures(h, starts)[0].reshape(ngram_join.BANDS, ngram_join.ROWS)
+
+    one = [f"w{i}" for i in range(150)]
+    two = [*one[:144], *(f"v{i}" for i in range(6))]
+    two[20], two[70] = "x", "y"
+    shared = np.flatnonzero((drawn(one) == drawn(two)).all(1))
+    assert 0 < len(shared) < ngram_join.BANDS
+    runs = [one[i : i + 5] for i in range(146)]
+    alone = np.array([drawn(r).ravel() for r in runs]).reshape(len(runs), ngram_join.BANDS, ngram_join.ROWS)
+    rows = [(1000, " ".join(one)), (1001, " ".join(two))]
+    for band in shared.tolist():
+        least = sorted(set(alone[:, band].argmin(0).tolist()))
+        for k in range(1000):
+            draw.shuffle(least)
+            hub = [w for i in least for w in [*runs[i], f"h{band}.{k}.{i}"]]
+            if (drawn(hub)[band] == drawn(one)[band]).all():
+                break
+        rows.append((band, " ".join(hub)))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(frame(spark, rows)).collect()}
+    assert got[1000] == got[1001] == (1000, 1)
+    assert got == linked(rows)
+
+
 def test_pruning_follows_the_posterior():
     steps = ngram_join.least_matches(0.8, 1e-6)
     draw = np.random.default_rng(3)
