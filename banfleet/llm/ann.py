@@ -40,11 +40,11 @@ def _lists(ids: np.ndarray, near: list[bytes], score: list[bytes]) -> pa.RecordB
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
 
 
 def _prepare(most: float):
-    """Valid vectors as half-precision rows of length 1: scaled by ``most``, and filled up."""
+    """Valid vectors as single-precision rows of length 1: scaled by ``most``, and filled up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +52,7 @@ def _prepare(most: float):
             keep, rows = np.flatnonzero(good), []
             for i in keep:
                 x = flat[starts[i] : starts[i + 1]] / most
-                rows.append(np.append(x, math.sqrt(max(0.0, 1 - float(x @ x)))).astype(np.float16).tobytes())
+                rows.append(np.append(x, math.sqrt(max(0.0, 1 - float(x @ x)))).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(keep)), pa.array(rows, pa.binary())], names=["id", "v"]
             )
@@ -73,6 +73,7 @@ def _codes(width: int, bits: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).normal(size=(CUTS, width, bits)).astype(np.float32)
+        planes[:, -1] = 0  # what fills short vectors up is much the same for all and would put them on one side
         for batch in batches:
             if not len(batch):
                 continue
@@ -250,7 +251,7 @@ def _start(width: int):
         for batch in batches:
             rows = []
             for q, v, near, score in zip(*(batch.column(x).to_pylist() for x in ("id", "v", "near", "score"))):
-                own = np.frombuffer(v, np.float16).astype(np.float32)
+                own = np.frombuffer(v, np.float32).copy()
                 own[-1] = 0  # a query is not filled up: its products with the others are what they were
                 near, score = np.frombuffer(near, np.int64), np.frombuffer(score, np.float32)
                 near, score = np.append(near, q), np.append(score, np.float32(4))  # its own place is opened first
@@ -282,7 +283,7 @@ def _advance(width: int):
                 near, score, done = np.frombuffer(near, np.int64), np.frombuffer(score, np.float32), np.frombuffer(done, bool)
                 if ids:
                     new = np.array(ids, np.int64)
-                    got = np.frombuffer(b"".join(vs), np.float16).reshape(len(new), width).astype(np.float32) @ np.frombuffer(qv, np.float32)
+                    got = np.frombuffer(b"".join(vs), np.float32).reshape(len(new), width) @ np.frombuffer(qv, np.float32)
                     near, score, done = np.append(near, new), np.append(score, got), np.append(done, np.zeros(len(new), bool))
                     seen = seen + new.tobytes()
                 near, score, done, todo = _opened(near, score, done)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from banfleet.llm import ann, embedding_dedup
@@ -133,3 +134,42 @@ def test_recall_of_the_graph(spark, monkeypatch):
     got, want = found(ann.nearest(frame(spark, rows), lambda i: i % 20 == 0)), nearest(rows, 20)
     assert got.keys() == want.keys()
     assert np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 20 for q in want]) >= 0.95
+
+
+def recall(spark, v, every):
+    got = found(ann.nearest(frame(spark, [(i, x.tolist(), 0) for i, x in enumerate(v)]), lambda i: i % every == 0))
+    exact = v.astype(np.float64)
+    shares = []
+    for q in range(0, len(v), every):
+        score = exact @ exact[q]
+        score[q] = -np.inf
+        shares.append(len({i for _, i in got[q]} & set(np.argsort(-score, kind="stable")[:20].tolist())) / 20)
+    return np.mean(shares)
+
+
+def test_recall_among_near_copies_beside_a_long_vector(spark, monkeypatch):
+    """1,000 near copies, others of about their length, and one vector 30 times longer."""
+    monkeypatch.setattr(ann, "PART", 300)
+    draw = np.random.default_rng(5)
+    v = draw.normal(size=(1501, 64))
+    v[:1000] = v[0] / np.linalg.norm(v[0]) + 0.002 * draw.normal(size=(1000, 64))
+    v[1000:] /= np.linalg.norm(v[1000:], axis=1)[:, None]
+    v[1000:1500] *= 1 + 0.1 * draw.normal(size=(500, 1))
+    v[1500] *= 30
+    assert recall(spark, v[draw.permutation(1501)].astype(np.float32), 15) >= 0.9
+
+
+@pytest.mark.parametrize("noise,longer", [(0.002, 1), (0.0002, 1), (0.002, 30), (0.0002, 30)])
+def test_near_copies_keep_their_order(noise, longer):
+    """The nearest by the rows that a walk scores with are the nearest."""
+    draw = np.random.default_rng(6)
+    one = draw.normal(size=64)
+    v = one / np.linalg.norm(one) + noise * draw.normal(size=(1000, 64))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(v.tolist(), pa.list_(pa.float32()))], names=["id", "v"])
+    most = max(longer, float(np.linalg.norm(v, axis=1).max()))
+    (got,) = ann._prepare(most)([batch])
+    rows = ann._matrix(got.column("v"), 65)[:, :64]
+    exact = v.astype(np.float64)
+    shares = [len({*np.argsort(-(rows @ rows[q]))[:160]} & {*np.argsort(-(exact @ exact[q]))[:20]}) / 20 for q in range(0, 1000, 20)]
+    assert np.mean(shares) >= 0.9
