@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from banfleet.llm.tiles import stretches
 from banfleet.llm.vectors import rows_of
-from banfleet.llm.workers import written
+from banfleet.llm.workers import discard, written
 
 #: Neighbours kept for each vector, and others that list it, drawn by hash, that a round lets in.
 NEIGHBOURS = 32
 LISTED = 32
 #: Random cuts of the whole table, and rows of a part, at most, that are compared with each other.
 CUTS, PART = 6, 4096
-#: Rounds of neighbours of neighbours.
-ROUNDS = 2
+#: Rounds of neighbours of neighbours go on until so small a share of all list entries improves, by more than rounding.
+SETTLED, ROUNDING = 0.01, 1e-6
 #: Best partners that a meeting names to each of its members.
 NAMED = 12
 #: Length of a query's list, and how many of it are opened at once.
@@ -110,7 +110,7 @@ def _first(width: int):
 
 def _keep_best(ids: np.ndarray, near: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The best different partners of each id, best first; a row per id."""
-    order = np.lexsort((near, ids))
+    order = np.lexsort((-score, near, ids))
     ids, near, score = ids[order], near[order], score[order]
     new = np.append(True, (ids[1:] != ids[:-1]) | (near[1:] != near[:-1])) & (near != ids) if len(ids) else np.zeros(0, bool)
     ids, near, score = ids[new], near[new], score[new]
@@ -158,6 +158,19 @@ def _worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(worst, pa.float32())], names=["member", "worst"])
 
 
+def _improved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of each list, and how many of them are better than the worst before and were not listed."""
+    for batch in batches:
+        n, better = [], []
+        for near, score, was, had in zip(*(batch.column(x).to_pylist() for x in ("near", "score", "was", "had"))):
+            near, score = np.frombuffer(near, np.int64), np.frombuffer(score, np.float32)
+            was, had = np.frombuffer(was or b"", np.int64), np.frombuffer(had or b"", np.float32)
+            least = had[-1] + ROUNDING if len(had) >= NEIGHBOURS else -4
+            n.append(len(near))
+            better.append(int((~np.isin(near, was) & (score > least)).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(better, pa.int64())], names=["n", "better"])
+
+
 def both_ways(lists: DataFrame) -> DataFrame:
     """Links (a, b) of the graph in both directions; an id listed very often keeps about :data:`LISTED` of them."""
     edges = lists.mapInArrow(_edges, "a long, b long")
@@ -218,13 +231,19 @@ def graph(base: DataFrame, width: int, n: int, seed: int = 11) -> DataFrame:
     keys = ["cut", "code", "part"]
     first = parts.select("id", "v", *keys).repartition(*keys).sortWithinPartitions(*keys)
     lists = written(_merged(first.mapInArrow(_first(width), _LIST)), "lists")
-    for _ in range(ROUNDS if bits else 0):
+    discard(coded)
+    going = bits > 0
+    while going:
         members = both_ways(lists).select(F.col("a").alias("at"), F.col("b").alias("member"))
         members = members.unionByName(lists.select(F.col("id").alias("at"), F.col("id").alias("member")))
         worst = lists.mapInArrow(_worst, "member long, worst float")
         known = base.select(F.col("id").alias("member"), "v").join(worst, "member")
         met = members.join(known, "member").select("at", "member", "v", "worst").repartition("at").sortWithinPartitions("at")
-        lists = written(_merged(lists.unionByName(met.mapInArrow(_meet(width), _LIST))), "lists")
+        before, lists = lists, written(_merged(lists.unionByName(met.mapInArrow(_meet(width), _LIST))), "lists")
+        both = lists.join(before.select("id", F.col("near").alias("was"), F.col("score").alias("had")), "id", "left")
+        found = both.mapInArrow(_improved, "n long, better long").agg(F.sum("n").alias("n"), F.sum("better").alias("better")).first()
+        going = (found["better"] or 0) > SETTLED * (found["n"] or 0)
+        discard(before)
     return lists
 
 

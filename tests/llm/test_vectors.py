@@ -173,3 +173,19 @@ def test_near_copies_keep_their_order(noise, longer):
     exact = v.astype(np.float64)
     shares = [len({*np.argsort(-(rows @ rows[q]))[:160]} & {*np.argsort(-(exact @ exact[q]))[:20]}) / 20 for q in range(0, 1000, 20)]
     assert np.mean(shares) >= 0.9
+
+
+def test_rounds_go_on_until_the_graph_settles(spark, monkeypatch):
+    """From two cuts into small parts, with which two rounds do not get far."""
+    monkeypatch.setattr(ann, "PART", 40)
+    monkeypatch.setattr(ann, "CUTS", 2)
+    draw = np.random.default_rng(7)
+    v = draw.normal(size=(2500, 12)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None] * np.float32(1.0001)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>")
+    lists = ann.graph(rows.mapInArrow(ann._prepare(1.0), "id long, v binary"), 13, len(v)).collect()
+    score = v @ v.T
+    np.fill_diagonal(score, -4)
+    best = np.argsort(-score, axis=1)[:, :10]
+    shares = [np.isin(best[r["id"]], np.frombuffer(r["near"], np.int64)).mean() for r in lists]
+    assert len(shares) == len(v) and np.mean(shares) >= 0.9
