@@ -50,8 +50,21 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum({_escaped('role', chr(92) + '#<:')} + {_escaped('text', chr(92) + '#<')} + 14) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id"""
 
+# white space at the ends of a line that its key is without, and the letters it has in lower case
+_ENDS = "' ' || " + " || ".join(f"chr({i})" for i in range(9, 14))
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+LINE_DEDUP = f"""WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+  lines AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM texts),
+  keyed AS (SELECT *, translate(trim(line, {_ENDS}), '{_UPPER}', '{_UPPER.lower()}') AS key FROM lines),
+  many AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(many.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE many.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN many USING (key) GROUP BY doc_id"""
+
 ORACLES = {
     "op1_embedding_dedup": EMBEDDING_DEDUP,
     "op7_ngram_join": NGRAM_JOIN,
     "op9_chat": CHAT,
+    "op13_line_dedup": LINE_DEDUP,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banfleet.llm import ann, byte_bpe, chat, embedding_dedup, langid, ngram_join, packing, quality, suffix_dedup, token_counts
+from banfleet.llm import ann, byte_bpe, chat, embedding_dedup, langid, line_dedup, ngram_join, packing, quality, suffix_dedup, token_counts
 from banfleet.llm.oracles import ORACLES as ORACLES
 from banfleet.session import scratch_folder
 
@@ -86,5 +86,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language, op3_suffix_dedup, op4_token_counts, op5_packing, op6_ann, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality)}
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents hold."""
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language, op3_suffix_dedup, op4_token_counts, op5_packing, op6_ann, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality, op13_line_dedup)}
 
