@@ -205,7 +205,8 @@ def repeated_lines(docs: DataFrame, *, min_docs: int = 2, least_chars: int = 1,
     per_doc = found.groupBy("key", "id").agg(F.min("line").alias("line"))
     first = [F.min(F.struct("id", "line")).alias("first")] if keep_first else []
     many = per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *first).where(F.col("n") >= min_docs).drop("n")
-    gone = found.join(many, "key")
+    # as a table, so that the join deals both sides itself and can split the rows of a hot key
+    gone = found.join(written(many, "repeated-keys"), "key")
     if keep_first:
         gone = gone.where(~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.line") == F.col("line"))))
     return gone.select("id", "version", "line")
