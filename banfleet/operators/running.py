@@ -20,7 +20,7 @@ CHUNK_COLUMN = "_chunk"
 
 @dataclass(frozen=True)
 class Running:
-    """``sum`` or ``max`` over all rows up to this one, or up to the one before."""
+    """``sum``, ``max`` or ``xor`` over all rows up to this one, or up to the one before."""
 
     kind: str
     value: Column
@@ -35,6 +35,11 @@ def running_max(value: Column, before: bool = False) -> Running:
     return Running("max", value, before)
 
 
+def running_xor(value: Column, before: bool = False) -> Running:
+    """All bits of the integers so far, exclusive-or: a prefix digest if the values are hashes."""
+    return Running("xor", value, before)
+
+
 def running_count() -> Running:
     return running_sum(F.lit(1).cast("bigint"))
 
@@ -43,7 +48,8 @@ def _combine(kind: str, carried: Column, inside: Column) -> Column:
     if kind == "max":
         return F.greatest(carried, inside)  # NULLs are skipped
     zero = F.lit(0).cast("bigint")
-    return F.coalesce(carried, zero) + F.coalesce(inside, zero)
+    carried, inside = F.coalesce(carried, zero), F.coalesce(inside, zero)
+    return carried.bitwiseXOR(inside) if kind == "xor" else carried + inside
 
 
 def chunked(
@@ -84,7 +90,7 @@ def running(
     base = df if CHUNK_COLUMN in df.columns else chunked(df, order[0], width=width, chunk=chunk)
     base = base.withColumns({inputs[n]: t.value for n, t in totals.items()})
 
-    aggregate = {"sum": F.sum, "max": F.max}
+    aggregate = {"sum": F.sum, "max": F.max, "xor": F.bit_xor}
     earlier_chunks = (
         Window.partitionBy(*keys)
         .orderBy(CHUNK_COLUMN)

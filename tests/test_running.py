@@ -11,6 +11,7 @@ from banfleet.operators.running import (
     running_count,
     running_max,
     running_sum,
+    running_xor,
     top_n,
 )
 
@@ -39,15 +40,16 @@ def test_like_a_loop(spark, rows, width):
             "s0": running_sum(F.col("x"), before=True),
             "m": running_max(F.col("x")),
             "m0": running_max(F.col("x"), before=True),
+            "e": running_xor(F.col("x")),
         },
         width=width,
     )
     want, state = [], {}
     for host, seq, x in sorted(data, key=lambda r: (r[0], r[1])):
-        n, s, m = state.get(host, (0, 0, None))
+        n, s, m, e = state.get(host, (0, 0, None, 0))
         new_m = m if x is None else x if m is None else max(m, x)
-        want.append((host, seq, x, n + 1, s + (x or 0), s, new_m, m))
-        state[host] = (n + 1, s + (x or 0), new_m)
+        want.append((host, seq, x, n + 1, s + (x or 0), s, new_m, m, e ^ (x or 0)))
+        state[host] = (n + 1, s + (x or 0), new_m, e ^ (x or 0))
     assert rows(got) == sorted(want, key=lambda t: (t[0], t[1]))
 
 
