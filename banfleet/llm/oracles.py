@@ -62,9 +62,48 @@ SELECT doc_id, count(*) AS n_lines, count(many.key) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE many.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN many USING (key) GROUP BY doc_id"""
 
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of ASCII text: eight steps a byte."""
+    step = "CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END"
+    byte = f"list_reduce(list_prepend(xor(u, b), repeat([0::BIGINT], 8)), lambda v, _: {step})"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda u, b: {byte}), 4294967295::BIGINT)"
+
+
+PREFIX_TRIE = f"""WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number()
+      OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+  ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32('CAST(conv_id AS VARCHAR)')} % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM own)),
+  given AS (SELECT i.conv_id, o.pos, o.role, o.text FROM ids i JOIN own o ON o.conv_id = i.base AND o.pos <= i.h),
+  counts AS (SELECT conv_id, max(pos) AS k FROM given GROUP BY conv_id),
+  rebuilt AS (SELECT * FROM given UNION ALL
+    SELECT o.conv_id, o.pos - i.h + coalesce(k, 0) AS pos, o.role, o.text
+    FROM own o JOIN ids i USING (conv_id) LEFT JOIN counts USING (conv_id) WHERE o.pos > i.h),
+  prefixes AS (SELECT conv_id, pos AS depth, text, list([role, text]) OVER (PARTITION BY conv_id ORDER BY pos
+      ROWS UNBOUNDED PRECEDING) AS path, max(pos) OVER (PARTITION BY conv_id) AS last FROM rebuilt
+    UNION ALL SELECT i.conv_id, 0 AS depth, '' AS text, CAST([] AS VARCHAR[][]) AS path, coalesce(r.last, 0) AS last FROM ids i
+      LEFT JOIN (SELECT conv_id, max(pos) AS last FROM rebuilt GROUP BY conv_id) r USING (conv_id)),
+  named AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, path) AS node FROM prefixes),
+  nodes AS (SELECT node, depth, count(*) AS n_convs, any_value(len(text)) AS chars,
+      sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last = depth), '')) AS ends
+    FROM named GROUP BY node, depth),
+  linked AS (SELECT n.*, p.node AS parent FROM nodes n
+    LEFT JOIN named p ON p.conv_id = n.node AND p.depth = n.depth - 1),
+  fans AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n FROM linked WHERE depth > 0 GROUP BY 1, 2),
+  sized AS (SELECT l.*, coalesce(f.n, 0) AS n_children FROM linked l LEFT JOIN fans f USING (node, depth)),
+  sums AS (SELECT a.node, a.depth, sum(CASE WHEN s.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+      sum((s.n_convs - 1) * s.chars) AS saved
+    FROM sized s JOIN named a ON a.conv_id = s.node AND a.depth <= s.depth GROUP BY a.node, a.depth)
+SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM sized JOIN sums USING (node, depth)"""
+
 ORACLES = {
     "op1_embedding_dedup": EMBEDDING_DEDUP,
     "op7_ngram_join": NGRAM_JOIN,
     "op9_chat": CHAT,
+    "op12_prefix_trie": PREFIX_TRIE,
     "op13_line_dedup": LINE_DEDUP,
 }
