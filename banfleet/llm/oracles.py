@@ -100,10 +100,60 @@ SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, n_children, CA
   CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
 FROM sized JOIN sums USING (node, depth)"""
 
+
+def _edit(state: str, cost: str, letter: str, line: str, holds: str = "true") -> str:
+    """A state (c cost, a letters, t lines) after an edit; null where there is none."""
+    return f"CASE WHEN {state} IS NOT NULL AND {holds} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}} END"
+
+
+def _repair_step() -> str:
+    """The four states after a row: without inserts, then with them."""
+    nl = "chr(10) || "
+    kept = lambda x, initial: _edit(x, "kind", "K", f"{nl}role || ':' || text", f"kind < 2 AND initial = '{initial}'")
+    named = lambda x, role: _edit(x, "(2 + kind)", "R", f"{nl}'{role}:' || text", "kind < 2")
+    gone = lambda x: _edit(x, "3", "D", "''")
+    new = lambda x, role: _edit(x, "2", "I", f"{nl}'{role}:'")
+    user = ", ".join(f"{named(x, 'user')}, {kept(x, 'u')}" for x in ("e", "s", "a"))
+    one = f"""SELECT conv_id, i + 1 AS i, {gone('e')} AS e1, list_min([{gone('s')}, {kept('e', 's')}]) AS s1,
+        list_min([{gone('u')}, {user}]) AS u1, list_min([{gone('a')}, {named('u', 'assistant')}, {kept('u', 'a')}]) AS a1
+      FROM best JOIN faulted USING (conv_id) WHERE pos = i + 1"""
+    two = f"""SELECT conv_id, i, e1, s1, a1, list_min([u1, {new('e1', 'user')}, {new('s1', 'user')}, {new('a1', 'user')}]) AS u2 FROM ({one})"""
+    return f"SELECT conv_id, i, e1 AS e, s1 AS s, u2 AS u, list_min([a1, {new('u2', 'assistant')}]) AS a FROM ({two})"
+
+
+_BODY = f"rtrim(text, {_ENDS})"
+_STATE = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+_CONTENT = "coalesce(role, ' ') AS role, coalesce(text, ' ') AS text"
+_TOLD = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+CONVERSATION_REPAIR = f"""WITH RECURSIVE hashed AS (SELECT conv_id, turn, {_CONTENT}, {_crc32(_TOLD)} % 20 AS how FROM conversations),
+  rows AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+      CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE WHEN how = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed WHERE how <> 0),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM rows),
+  judged AS (SELECT *, left(role, 1) AS initial, CASE WHEN {_BODY} = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN right({_BODY}, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+      left(role, 1) || left(lead(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) AS pair FROM placed),
+  faulted AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 2 WHEN fault = 'truncated' THEN 1 ELSE 0 END AS kind FROM judged),
+  best(conv_id, i, e, s, u, a) AS (
+    SELECT DISTINCT conv_id, 0::BIGINT, {{'c': 0, 'a': '', 't': ''}}::{_STATE}, NULL::{_STATE},
+      {{'c': 2, 'a': 'I', 't': chr(10) || 'user:'}}::{_STATE}, {{'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}::{_STATE} FROM faulted
+    UNION ALL {_repair_step()}),
+  ended AS (SELECT conv_id, max(i) AS i FROM best GROUP BY conv_id),
+  cheapest AS (SELECT conv_id, list_min([e, a]) AS x FROM best JOIN ended USING (conv_id, i)),
+  counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+      count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+      count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulted GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(x.c, 0) AS cost, coalesce(x.a, '') AS audit,
+  sha256(coalesce(x.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN cheapest USING (conv_id)"""
+
 ORACLES = {
     "op1_embedding_dedup": EMBEDDING_DEDUP,
     "op7_ngram_join": NGRAM_JOIN,
     "op9_chat": CHAT,
+    "op11_conversation_repair": CONVERSATION_REPAIR,
     "op12_prefix_trie": PREFIX_TRIE,
     "op13_line_dedup": LINE_DEDUP,
 }

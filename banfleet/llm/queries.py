@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banfleet.llm import ann, byte_bpe, chat, embedding_dedup, langid, line_dedup, ngram_join, packing, prefix_trie, quality, suffix_dedup, token_counts
+from banfleet.llm import ann, byte_bpe, chat, conversation_repair, embedding_dedup, langid, line_dedup, ngram_join, packing, prefix_trie, quality, suffix_dedup, token_counts
 from banfleet.llm.oracles import ORACLES as ORACLES
 from banfleet.session import scratch_folder
 
@@ -86,6 +86,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all conversations after damage, and their cheapest repair."""
+    return conversation_repair.damaged_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trie of all conversations, each begun like the first of its hundred."""
     return prefix_trie.branched_trie(table(spark, sf_dir, "conversations"))
@@ -97,5 +102,5 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language, op3_suffix_dedup, op4_token_counts, op5_packing, op6_ann, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality, op12_prefix_trie, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_language, op3_suffix_dedup, op4_token_counts, op5_packing, op6_ann, op7_ngram_join, op8_byte_bpe, op9_chat, op10_quality, op11_conversation_repair, op12_prefix_trie, op13_line_dedup)}
 
