@@ -53,11 +53,14 @@ def cursor_progress(
     pages: DataFrame,
     keys: Sequence[str] = (),
     *,
-    stored_cursor: int = 0,
-    stored_global: int = 0,
+    stored_cursor: int | Column = 0,
+    stored_global: int | Column = 0,
     width: int = CHUNK,
 ) -> DataFrame:
-    """Both cursors before and after every page. A cursor only ever rises."""
+    """Both cursors before and after every page. A cursor only ever rises.
+
+    Stored cursors may be columns of ``pages``, one value per key.
+    """
     tenant, feed = (F.when(page_ok(), F.col(c)) for c in ("cursor", "global_cursor"))
     seen = running(
         pages,
@@ -73,7 +76,7 @@ def cursor_progress(
         width=width,
     )
 
-    def at_least(stored: int, name: str) -> Column:
+    def at_least(stored: int | Column, name: str) -> Column:
         return F.greatest(F.lit(stored).cast("bigint"), F.col(name))
 
     return seen.withColumns(
@@ -94,23 +97,25 @@ def _end_reason() -> Column:
     )
 
 
-def pull_cycles(
+def cycle_pages(
     pages: DataFrame,
     keys: Sequence[str] = (),
     *,
-    stored_cursor: int = 0,
-    stored_global: int = 0,
+    stored_cursor: int | Column = 0,
+    stored_global: int | Column = 0,
+    open_pages: int | Column = 0,
+    cycles: int | Column = 0,
     cap: int = C.DELTA_PAGE_CAP,
     width: int = CHUNK,
 ) -> DataFrame:
-    """Assign every page of a feed to the pull cycle that reads it.
+    """Pages with their cursors, the pull cycle that reads them and why it ends there.
 
-    A cycle ends with a failed page, with a page after which nothing is left
-    (no next page and the global cursor did not move), or at the cap; the next
-    page starts a new cycle from the cursors stored so far. Each step reads the
-    result of the one before twice (carries and rows), so the header table is
-    written in between.
+    ``stored_cursor``, ``stored_global``, ``open_pages`` (already read by a cycle that goes on) and
+    ``cycles`` (begun so far) say where earlier pages left off. The column ``open_pages`` is what it
+    is after each page. Each step reads the result of the one before twice (carries and rows), so
+    the header table is written in between.
     """
+    zero = F.lit(0).cast("bigint")
     progress = cursor_progress(
         pages, keys, stored_cursor=stored_cursor, stored_global=stored_global, width=width
     ).withColumn("end_reason", _end_reason())
@@ -125,21 +130,40 @@ def pull_cycles(
             )
         },
         width=width,
-    ).withColumn(
-        "_in_run", F.col("_place") - F.coalesce("_last_end", F.lit(0).cast("bigint")) - 1
-    )
+    ).withColumn("_in_run", F.col("_place") - F.coalesce("_last_end", -(zero + open_pages)) - 1)
     placed = written(placed, "pages")
     starts = (F.col("_in_run") % cap == 0).cast("bigint")
     numbered = running(placed, keys, "page_no", {"cycle_no": running_sum(starts)}, width=width)
     at_cap = F.col("_in_run") % cap == cap - 1
-    return numbered.select(
-        *keys,
-        "page_no",
-        "cycle_no",
-        page_ok().alias("consumed"),
-        "cursor_after",
-        "global_after",
-        F.coalesce("end_reason", F.when(at_cap, "cap")).alias("end_reason"),
+    ended = F.coalesce("end_reason", F.when(at_cap, "cap"))
+    return numbered.withColumns(
+        {
+            "cycle_no": F.col("cycle_no") + cycles,
+            "consumed": page_ok(),
+            "end_reason": ended,
+            "open_pages": F.when(ended.isNotNull(), zero).otherwise(F.col("_in_run") % cap + 1),
+        }
+    ).drop("_place", "_last_end", "_in_run")
+
+
+def pull_cycles(
+    pages: DataFrame,
+    keys: Sequence[str] = (),
+    *,
+    stored_cursor: int = 0,
+    stored_global: int = 0,
+    cap: int = C.DELTA_PAGE_CAP,
+    width: int = CHUNK,
+) -> DataFrame:
+    """Assign every page of a feed to the pull cycle that reads it.
+
+    A cycle ends with a failed page, with a page after which nothing is left
+    (no next page and the global cursor did not move), or at the cap; the next
+    page starts a new cycle from the cursors stored so far.
+    """
+    stored = {"stored_cursor": stored_cursor, "stored_global": stored_global}
+    return cycle_pages(pages, keys, **stored, cap=cap, width=width).select(
+        *keys, "page_no", "cycle_no", "consumed", "cursor_after", "global_after", "end_reason"
     )
 
 

@@ -16,9 +16,13 @@ from banfleet.sources import pages as p
 ONE_HOST = ("ip",)
 
 
-def _page_json(spark: SparkSession, sf: str) -> DataFrame:
+_ITEM = ("ip", "op", "source")
+_LOGGED_ITEM = (*_ITEM, "hostname", "at_s", "enforced")
+
+
+def page_json(spark: SparkSession, sf: str, fields: tuple[str, ...] = _ITEM) -> DataFrame:
     """Pages as they land: JSON text, at most 200 items each."""
-    item = F.struct("pos", "ip", "op", "source")
+    item = F.struct("pos", *fields)
     items = (
         v.feed_items(spark, sf)
         .groupBy("page_no")
@@ -31,24 +35,28 @@ def _page_json(spark: SparkSession, sf: str) -> DataFrame:
         "cursor",
         "next_cursor",
         "global_cursor",
-        F.transform("items", lambda i: F.struct(i["ip"].alias("ip"), i["op"].alias("op"),
-                                                i["source"].alias("source"))).alias("items"),
+        F.transform("items", lambda i: F.struct(*[i[f].alias(f) for f in fields])).alias("items"),
         stats.alias("stats"),
     )
     return headers.join(items, "page_no").select("page_no", F.to_json(page).alias("body"))
 
 
+def logged_page_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, with what became of each item on its host."""
+    return page_json(spark, sf, _LOGGED_ITEM)
+
+
 def _without_page_no(schema: str) -> str:
     return schema.removeprefix("page_no bigint, ")
 
 
 def feed_explode(spark: SparkSession, sf: str) -> DataFrame:
-    pages = p.parse_pages(_page_json(spark, sf), "body", _without_page_no(p.DELTA_PAGE))
+    pages = p.parse_pages(page_json(spark, sf), "body", _without_page_no(p.DELTA_PAGE))
     return p.page_items(pages).select("page_no", "status_code", "pos", "ip", "op", "source")
 
 
 def feed_headers(spark: SparkSession, sf: str) -> DataFrame:
-    pages = p.parse_pages(_page_json(spark, sf), "body", _without_page_no(p.DELTA_PAGE))
+    pages = p.parse_pages(page_json(spark, sf), "body", _without_page_no(p.DELTA_PAGE))
     return p.page_headers(pages)
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from banfleet import constants as C
 from banfleet.functions.banlog import iso_text, parse_bans
 from banfleet.operators.drain import final_drain
-from banfleet.operators.feed import page_ok
 from banfleet.operators.outbox import assemble_reports
+from banfleet.plans import feeds
 from banfleet.plans import reports as r
 from banfleet.plans import views as v
 from banfleet.plans.deliveries import ORACLES as DELIVERY_ORACLES
@@ -21,17 +21,21 @@ from banfleet.plans.deliveries import RULES, as_received
 from banfleet.plans.feeds import state_sql
 from banfleet.plans.views import sql
 from banfleet.session import scratch_folder
+from banfleet.sources import pages as p
 from banfleet.sources import segments
 from banfleet.streaming.breaker import breaker_stream, decisions
 from banfleet.streaming.dedup import dedup_stream, kept_reports
+from banfleet.streaming.feed import page_log, read_feed
 from banfleet.streaming.flush import flush_stream
 from banfleet.streaming.ingest import ingest, read_queue
 from banfleet.streaming.liveness import liveness_stream
-from banfleet.streaming.merge import applied_state, merge_stream
+from banfleet.streaming.merge import applied_state
 
 LIVENESS_HEARTBEAT = 900
 #: Segments that a micro-batch of the ingest queries reads.
 FILES_PER_TRIGGER = 5
+#: Files that the feed's pages land in.
+LANDED_FILES = 12
 
 
 def _stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
@@ -128,14 +132,30 @@ def final_flushes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _feed_read(spark: SparkSession, sf: str) -> str:
+    """The feed's pages, landed in files of no order, through the page reader; where it writes to."""
+    folder = scratch_folder(spark, "feed")
+    p.land_pages(feeds.logged_page_json(spark, sf).repartition(LANDED_FILES, "page_no"), f"{folder}/landed")
+    pages = p.stream_delta_pages(spark, f"{folder}/landed", FILES_PER_TRIGGER, p.LOGGED_PAGE)
+    _finish(read_feed(pages, f"{folder}/state", f"{folder}/checkpoint"))
+    return f"{folder}/state"
+
+
 def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """The feed as a stream, folded into the applied addresses."""
-    folder = scratch_folder(spark, "merge")
-    ops = v.with_host(_stream(spark, sf)).selectExpr(*v.FEED_COLUMNS)
-    arrived = v.feed_pages(spark, sf).where(page_ok()).select("page_no")
-    ops = ops.join(arrived, "page_no", "left_semi")
-    _finish(merge_stream(ops, f"{folder}/state", f"{folder}/checkpoint"))
-    return applied_state(spark, f"{folder}/state")
+    """The feed as a stream of landed pages, folded into the applied addresses."""
+    return applied_state(spark, _feed_read(spark, sf))
+
+
+def stream_cursors(spark: SparkSession, sf: str) -> DataFrame:
+    """Cursors before and after every page, from the log that the page reader keeps."""
+    log = page_log(spark, _feed_read(spark, sf))
+    return log.select("page_no", "cursor_before", "cursor_after", "global_before", "global_after")
+
+
+def stream_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Pull cycles and why they end, from the same log."""
+    log = page_log(spark, _feed_read(spark, sf))
+    return log.select("page_no", "cycle_no", "consumed", "cursor_after", "global_after", "end_reason")
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,6 +245,8 @@ QUERIES = {
     "stream_drain": stream_drain,
     "final_flushes": final_flushes,
     "stream_merge": stream_merge,
+    "stream_cursors": stream_cursors,
+    "stream_cycles": stream_cycles,
     "stream_dedup": stream_dedup,
     "stream_flush": stream_flush,
     "stream_liveness": stream_liveness,
@@ -268,6 +290,8 @@ ORACLES = {
         "delivery_attempts",
     ),
     "stream_merge": state_sql("SELECT * FROM applied"),
+    "stream_cursors": feeds.ORACLES["cursor_progress"],
+    "stream_cycles": feeds.ORACLES["feed_drain_pages"],
     "stream_dedup": DELIVERY_ORACLES["report_dedup"],
     "stream_flush": sql(
         f"""SELECT hostname, seq AS id, seq // {C.BATCH_SIZE} % 16 AS lane, true AS fits

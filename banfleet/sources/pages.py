@@ -12,6 +12,10 @@ DELTA_PAGE = (
     "page_no bigint, status_code int, cursor bigint, next_cursor bigint, global_cursor bigint, "
     f"items {_ITEM}, stats struct<tenant_active: bigint, global_active: bigint>"
 )
+#: A page as a fleet logs it: each item with the host that got it, when, and whether it carried it out.
+LOGGED_PAGE = DELTA_PAGE.replace(
+    "source: string>", "source: string, hostname: string, at_s: bigint, enforced: boolean>"
+)
 FULL_PAGE = (
     "page_no bigint, status_code int, next_page bigint, "
     "items array<struct<ip: string, source: string>>"
@@ -22,12 +26,21 @@ def read_delta_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DELTA_PAGE).json(path)
 
 
+def land_pages(pages: DataFrame, path: str) -> None:
+    """Write pages (``page_no`` and a JSON ``body`` without it) as they land: one object per line."""
+    number = F.concat(F.lit('{"page_no":'), F.col("page_no").cast("string"), F.lit(","))
+    pages.select(F.concat(number, F.expr("substr(body, 2)")).alias("value")).write.text(path)
+
+
 def read_full_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FULL_PAGE).json(path)
 
 
-def stream_delta_pages(spark: SparkSession, path: str, files_per_trigger: int | None = None):
-    reader = spark.readStream.schema(DELTA_PAGE)
+def stream_delta_pages(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, schema: str = DELTA_PAGE
+) -> DataFrame:
+    """Pages as they land, one JSON object per line; ``read_feed`` puts them in order."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(path)
