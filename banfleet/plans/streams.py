@@ -6,11 +6,10 @@ text input is first written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from banfleet import constants as C
-from banfleet.functions.banlog import iso_text, parse_bans
 from banfleet.operators.drain import final_drain
 from banfleet.operators.outbox import assemble_reports
 from banfleet.plans import feeds
@@ -26,7 +25,7 @@ from banfleet.sources import segments
 from banfleet.streaming.breaker import breaker_stream, decisions
 from banfleet.streaming.dedup import dedup_stream, kept_reports
 from banfleet.streaming.feed import page_log, read_feed
-from banfleet.streaming.flush import flush_stream
+from banfleet.streaming.flush import flush_stream, flushed_rows, queue_stream, waiting_rows
 from banfleet.streaming.ingest import ingest, read_queue
 from banfleet.streaming.liveness import liveness_stream
 from banfleet.streaming.merge import applied_state
@@ -34,6 +33,8 @@ from banfleet.streaming.merge import applied_state
 LIVENESS_HEARTBEAT = 900
 #: Segments that a micro-batch of the ingest queries reads.
 FILES_PER_TRIGGER = 5
+#: A window of six hours, or six bans; at most eight leave together.
+FLUSH = {"seconds": 6 * 3600, "early_at": 6, "batch": 8}
 #: Files that the feed's pages land in.
 LANDED_FILES = 12
 
@@ -92,13 +93,16 @@ def split_lines(spark: SparkSession, sf: str) -> DataFrame:
     return segments.read_lines(spark, path).select("hostname", "line")
 
 
-def _ingested(spark: SparkSession, sf: str) -> DataFrame:
-    folder = scratch_folder(spark, "ingest")
+def _ingest(spark: SparkSession, sf: str, folder: str, received_at: Column) -> None:
     lines = segments.stream_segments(spark, _segments(spark, sf), files_per_trigger=FILES_PER_TRIGGER)
-    query = ingest(
-        lines, f"{folder}/queue", f"{folder}/checkpoint", v.host_zones(spark, sf), received_at=F.lit(v.AS_OF_S)
+    _finish(
+        ingest(lines, f"{folder}/queue", f"{folder}/checkpoint", v.host_zones(spark, sf), received_at=received_at)
     )
-    _finish(query)
+
+
+def _ingested(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_folder(spark, "ingest")
+    _ingest(spark, sf, folder, F.lit(v.AS_OF_S))
     return read_queue(spark, f"{folder}/queue")
 
 
@@ -167,27 +171,16 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_flush(spark: SparkSession, sf: str) -> DataFrame:
-    """Bans through the flush policy: every ban leaves once, in batches that fit."""
-    queue = (
-        parse_bans(v.as_lines(_stream(spark, sf)))
-        .select(
-            "hostname",
-            F.col("seq").alias("id"),
-            "jail",
-            "ip",
-            iso_text("local_ts").alias("banned_at"),
-            F.timestamp_seconds("at_s").alias("event_time"),
-        )
-        .withWatermark("event_time", "0 seconds")
-    )
+    """Log segments through the ingest stream into the queue, from there through the flush stream.
+
+    Every ban with its UTC time, and number and time of the flush it leaves with. The clock of the
+    lines is the time of entry; rows of these tables are hours apart, so flushes are too.
+    """
     folder = scratch_folder(spark, "flush")
-    with _rocksdb(spark):
-        out = _to_table(flush_stream(queue, time_mode="EventTime"), folder)
-    sent = spark.read.parquet(out)
-    return sent.select(
-        "hostname", "lane", (F.size("ids") <= C.BATCH_SIZE).alias("fits"),
-        F.explode("ids").alias("id"),
-    )
+    _ingest(spark, sf, folder, F.unix_seconds(F.col("local_ts").cast("timestamp")))
+    queue = queue_stream(spark, f"{folder}/queue", FILES_PER_TRIGGER)
+    _finish(flush_stream(queue, f"{folder}/sent", f"{folder}/sent-checkpoint", **FLUSH))
+    return flushed_rows(spark, f"{folder}/sent").unionByName(waiting_rows(spark, f"{folder}/sent"))
 
 
 def stream_liveness(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,6 +246,41 @@ QUERIES = {
     "stream_breaker": stream_breaker,
 }
 
+# The queue second by second: w rows wait in a window opened at t0, no is the next flush. A flush
+# by time (t_) comes before the second's own rows; what a second doesn't send goes with the next flush.
+_W, _EARLY, _MOST = FLUSH["seconds"], FLUSH["early_at"], FLUSH["batch"]
+_FLUSH_STEP = f"""SELECT *, CASE WHEN total >= {_EARLY} THEN least(total, n_early * {_MOST}) WHEN s = t0 + {_W} THEN total ELSE 0 END AS gone,
+    CASE WHEN total >= {_EARLY} THEN n_early WHEN s = t0 + {_W} THEN 1 ELSE 0 END AS flushes FROM (
+  SELECT *, w + n AS total, (w + n) // {_MOST} + CASE WHEN (w + n) % {_MOST} >= {_EARLY} THEN 1 ELSE 0 END AS n_early FROM (
+  SELECT hostname, k, s, n, timed, old_t0 + {_W} AS timed_at, CASE WHEN timed THEN 0 ELSE w END AS w, no + CASE WHEN timed THEN 1 ELSE 0 END AS no,
+    CASE WHEN timed OR w = 0 THEN s ELSE old_t0 END AS t0 FROM (
+  SELECT x.hostname, x.k, x.s, x.n, f.t0 AS old_t0, f.w, f.no, f.w > 0 AND x.s > f.t0 + {_W} AS timed
+  FROM folded f JOIN secs x ON x.hostname = f.hostname AND x.k = f.k + 1)))"""
+_FLUSH_SQL = f""", secs AS (SELECT hostname, enqueued_at AS s, count(*) AS n, row_number() OVER (PARTITION BY hostname ORDER BY enqueued_at) AS k
+    FROM outbox q WHERE enqueued_at < (SELECT max(enqueued_at) FROM outbox r WHERE r.hostname = q.hostname) GROUP BY hostname, enqueued_at),
+  folded AS (SELECT DISTINCT hostname, 0::BIGINT AS k, 0::BIGINT AS s, 0::BIGINT AS t0, 0::BIGINT AS w, 0::BIGINT AS no, 0::BIGINT AS before,
+      0::BIGINT AS sent, 0::BIGINT AS first_no, 0::BIGINT AS flushes, false AS timed, 0::BIGINT AS timed_at FROM outbox
+    UNION ALL SELECT hostname, k, s, CASE WHEN gone > 0 THEN s ELSE t0 END AS t0, total - gone AS w, no + flushes AS no, w AS before,
+      gone AS sent, no AS first_no, flushes, timed, timed_at FROM ({_FLUSH_STEP})),
+  times AS (SELECT hostname, first_no - 1 AS flush_no, timed_at AS flushed_at FROM folded WHERE timed
+    UNION ALL SELECT hostname, unnest(range(first_no, first_no + flushes)) AS flush_no, s AS flushed_at FROM folded WHERE flushes > 0
+    UNION ALL SELECT hostname, no AS flush_no, t0 + {_W} AS flushed_at FROM folded f WHERE w > 0
+      AND k = (SELECT max(k) FROM folded g WHERE g.hostname = f.hostname)
+      AND t0 + {_W} < (SELECT max(enqueued_at) FROM outbox q WHERE q.hostname = f.hostname)),
+  placed AS (SELECT q.*, before + row_number() OVER (PARTITION BY q.hostname, enqueued_at ORDER BY id) - 1 AS o, sent, first_no, no
+    FROM outbox q LEFT JOIN folded f ON f.hostname = q.hostname AND f.s = q.enqueued_at AND f.k > 0),
+  numbered AS (SELECT *, CASE WHEN o < sent THEN first_no + o // {_MOST} ELSE no END AS number FROM placed)
+SELECT hostname, id, jail, ip, banned_at, enqueued_at, t.flush_no, t.flushed_at
+FROM numbered LEFT JOIN times t USING (hostname) WHERE t.flush_no = number
+UNION ALL SELECT hostname, id, jail, ip, banned_at, enqueued_at, NULL, NULL FROM numbered p
+WHERE NOT EXISTS (SELECT 1 FROM times t WHERE t.hostname = p.hostname AND t.flush_no = p.number)"""
+
+
+def _with_recursive(text: str) -> str:
+    """The views, then more of them, some recursive."""
+    return text.replace("WITH", "WITH RECURSIVE", 1).replace("\n, secs", ", secs")
+
+
 ORACLES = {
     "text_segments": sql(
         """SELECT hostname, jail, ip, row_number() OVER (PARTITION BY hostname ORDER BY seq) AS id,
@@ -293,11 +321,7 @@ ORACLES = {
     "stream_cursors": feeds.ORACLES["cursor_progress"],
     "stream_cycles": feeds.ORACLES["feed_drain_pages"],
     "stream_dedup": DELIVERY_ORACLES["report_dedup"],
-    "stream_flush": sql(
-        f"""SELECT hostname, seq AS id, seq // {C.BATCH_SIZE} % 16 AS lane, true AS fits
-          FROM bans""",
-        "bans",
-    ),
+    "stream_flush": _with_recursive(sql(_FLUSH_SQL, "outbox")),
     # every change of status along a host's snapshots; silence is a change to critical
     "stream_liveness": sql(
         f"""SELECT hostname, 'critical' AS status, at_s + {2 * LIVENESS_HEARTBEAT + 1} AS at_s FROM snapshots

@@ -1,123 +1,119 @@
-"""Flush policy: a batch every 30 seconds, or at once when enough rows wait."""
+"""Flush policy as a stream: queue rows to report batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StreamingQuery
 
 from banfleet import __version__
 from banfleet import constants as C
-from banfleet.functions.report import idempotency_key
-
-_FIELDS = ["id", "jail", "ip", "banned_at"]
-_COLUMNS = "id array<bigint>, jail array<string>, ip array<string>, banned_at array<string>"
-
-
-def now_ms(timer_values, time_mode: str) -> int:
-    """The stream's clock: the watermark in event time, else the wall clock."""
-    if time_mode == "EventTime":
-        return timer_values.getCurrentWatermarkInMs()
-    return timer_values.getCurrentProcessingTimeInMs()
-
-
-class FlushProcessor(StatefulProcessor):
-    """Waiting rows of one host (and lane): sent in order, at most a batch at a time."""
-
-    def __init__(self, seconds: int, early_at: int, batch: int, time_mode: str):
-        self.milliseconds, self.early_at, self.batch = seconds * 1000, early_at, batch
-        self.time_mode = time_mode
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        # fewer than early_at rows ever stay, so one value holds them
-        self.kept = handle.getValueState("kept", f"flush_no bigint, due bigint, {_COLUMNS}")
-
-    def _load(self) -> tuple[int, int | None, list[list]]:
-        if not self.kept.exists():
-            return 0, None, [[], [], [], []]
-        flush_no, due, *columns = self.kept.get()
-        return flush_no, due, [list(c) for c in columns]
-
-    def _send(self, key, columns: list[list], least: int, flush_no: int):
-        """Batches while at least ``least`` rows wait; what stays, and the next number."""
-        sent, at, n = [], 0, len(columns[0])
-        while n - at >= max(least, 1):
-            sent.append((*key, flush_no, *[c[at : at + self.batch] for c in columns]))
-            at, flush_no = min(at + self.batch, n), flush_no + 1
-        return sent, [c[at:] for c in columns], flush_no
-
-    def _frame(self, sent) -> Iterator[pd.DataFrame]:
-        if sent:
-            yield pd.DataFrame(sent, columns=["hostname", "lane", "flush_no", *_FIELDS])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        flush_no, due, kept = self._load()
-        waiting = pd.DataFrame(dict(zip(_FIELDS, kept, strict=True)))
-        arrived = [pdf[_FIELDS] for pdf in rows]
-        waiting = pd.concat([waiting, *arrived] if kept[0] else arrived).sort_values("id")
-        columns = [waiting[name].tolist() for name in _FIELDS]
-        sent, rest, flush_no = self._send(key, columns, self.early_at, flush_no)
-        if rest[0] and due is None:
-            due = now_ms(timerValues, self.time_mode) + self.milliseconds
-            self.handle.registerTimer(due)
-        elif not rest[0] and due is not None:
-            self.handle.deleteTimer(due)
-            due = None
-        self.kept.update((flush_no, due, *rest))
-        yield from self._frame(sent)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        flush_no, _, columns = self._load()
-        sent, rest, flush_no = self._send(key, columns, 1, flush_no)
-        self.kept.update((flush_no, None, *rest))
-        yield from self._frame(sent)
+from banfleet.operators.flushing import plan_flushes
+from banfleet.operators.outbox import assemble_reports
+from banfleet.streaming.ingest import QUEUE
+from banfleet.streaming.versions import Version, Versions, folder
+
+_CLOCKS = "hostname string, clock bigint, next_flush bigint"
+_PLACED = f"{QUEUE}, flush_no bigint, flushed_at bigint"
 
 
 def flush_stream(
     queue: DataFrame,
+    out: str,
+    checkpoint: str,
     *,
-    lanes: int = 16,
     seconds: int = C.FLUSH_SECONDS,
     early_at: int = C.FLUSH_EARLY_AT,
     batch: int = C.BATCH_SIZE,
-    time_mode: str = "ProcessingTime",
-    agent_version: str = __version__,
-) -> DataFrame:
-    """Queue rows ``hostname, id, jail, ip, banned_at`` to report batches.
-
-    A row waits no longer than ``seconds``; ``early_at`` waiting rows leave at
-    once. A busy host is spread over ``lanes`` of consecutive ids, each with its
-    own flushes, so that its stream is not one task's work. In ``EventTime`` mode
-    the stream needs a watermark, and time is the watermark.
+    poll: str | None = None,
+) -> StreamingQuery:
+    """Rows of the ingest queue, flushed as :func:`banfleet.operators.flushing.plan_flushes` says.
+
+    A host's clock is the second of its newest row; rows of earlier seconds are settled. Rows that
+    come later than their host's clock enter at the clock. As long as none do, membership, number and time of all
+    flushes are those of one batch over all rows, whatever the cut into micro-batches. A row without a
+    hostname is a tick (see :func:`with_ticks`): it moves all hosts' clocks, so that a host that falls silent is
+    flushed too. Carried on are the rows that wait, and two numbers per host.
     """
-    lane = F.pmod(F.floor(F.col("id") / batch), F.lit(lanes)).cast("bigint")
-    flushed = (
-        queue.withColumn("lane", lane)
-        .groupBy("hostname", "lane")
-        .transformWithStateInPandas(
-            statefulProcessor=FlushProcessor(seconds, early_at, batch, time_mode),
-            outputStructType=f"hostname string, lane bigint, flush_no bigint, {_COLUMNS}",
-            outputMode="Append",
-            timeMode=time_mode,
-        )
-    )
-    bans = F.transform(
-        F.arrays_zip("jail", "ip", "banned_at"),
-        lambda r: F.struct(
-            r["jail"].alias("jail"), r["ip"].alias("ip"), r["banned_at"].alias("banned_at")
-        ),
-    )
-    return flushed.select(
-        "hostname",
-        "lane",
-        "flush_no",
-        F.col("id").alias("ids"),
-        idempotency_key(F.col("id")).alias("idempotency_key"),
-        F.to_json(
-            F.struct(F.lit(agent_version).alias("agent_version"), "hostname", bans.alias("bans"))
-        ).alias("payload"),
-    )
+    spark = queue.sparkSession
+
+    def write(arrived: DataFrame, batch_id: int) -> None:
+        versions = Versions(spark, out)
+        last = versions.newest()
+        if last is not None and last.number >= batch_id:
+            return
+
+        def kept(df: DataFrame, table: str) -> DataFrame:
+            path = f"{versions.out}/{folder(table, batch_id)}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        if last is None:
+            clocks, waiting = spark.createDataFrame([], _CLOCKS), spark.createDataFrame([], QUEUE)
+        else:
+            clocks = spark.read.schema(_CLOCKS).parquet(*versions.paths(last.folders["clocks"]))
+            before = spark.read.schema(_PLACED).parquet(f"{out}/{folder('placed', last.number)}")
+            waiting = before.where("flush_no IS NULL").drop("flush_no", "flushed_at")
+        ticks = arrived.where("hostname IS NULL").select(F.col("enqueued_at").alias("clock"))
+        tick = ticks.unionByName(clocks.where("hostname IS NULL").select("clock")).agg(F.max("clock")).first()[0]
+        hosts = clocks.where("hostname IS NOT NULL")
+        new = arrived.where("hostname IS NOT NULL").join(hosts, "hostname", "left")
+        entered = F.greatest("enqueued_at", "clock", F.lit(tick).cast("bigint"))
+        new = new.withColumn("enqueued_at", entered).select(*waiting.columns)
+        rows = kept(waiting.unionByName(new), "rows")
+        zero = F.lit(0).cast("bigint")
+        seen = rows.groupBy("hostname").agg(F.max("enqueued_at").alias("clock")).withColumn("next_flush", zero)
+        moved = hosts.unionByName(seen).groupBy("hostname").agg(F.max("clock").alias("clock"), F.max("next_flush").alias("next_flush"))
+        moved = moved.withColumn("clock", F.greatest("clock", F.lit(tick).cast("bigint")))
+        placed = kept(plan_flushes(rows, moved, seconds=seconds, early_at=early_at, batch=batch), "placed")
+        used = placed.where("flush_no IS NOT NULL").groupBy("hostname").agg((F.max("flush_no") + 1).alias("_next"))
+        after = moved.join(used, "hostname", "left").select("hostname", "clock", F.greatest("next_flush", "_next").alias("next_flush"))
+        if tick is not None:
+            after = after.unionByName(spark.createDataFrame([(None, tick, None)], _CLOCKS))
+        kept(after, "clocks")
+        versions.publish(Version(batch_id, {t: [folder(t, batch_id)] for t in ("clocks", "rows")}))
+        versions.retire()
+
+    writer = queue.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def with_ticks(queue: DataFrame) -> DataFrame:
+    """The queue and the clock: a row without hostname every second, so that silent hosts are flushed."""
+    ticks = queue.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    at = F.unix_seconds("timestamp")
+    return queue.unionByName(ticks.select(F.lit(None).cast("string").alias("hostname"), at.alias("enqueued_at")), allowMissingColumns=True)
+
+
+def queue_stream(spark: SparkSession, out: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The queue that :func:`banfleet.streaming.ingest.ingest` writes at ``out``, as a stream."""
+    reader = spark.readStream.schema(QUEUE)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{out}/rows/batch_id=*")
+
+
+def _placed(spark: SparkSession, out: str) -> tuple[DataFrame, int]:
+    last = Versions(spark, out).newest()
+    table = spark.read.schema(f"{_PLACED}, batch_id bigint").parquet(f"{out}/placed") if last else spark.createDataFrame([], f"{_PLACED}, batch_id bigint")
+    return table, last.number if last else -1
+
+
+def flushed_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Rows that have left, with the number and time of their flush."""
+    table, newest = _placed(spark, out)
+    return table.where((F.col("batch_id") <= newest) & F.col("flush_no").isNotNull()).drop("batch_id")
+
+
+def waiting_rows(spark: SparkSession, out: str) -> DataFrame:
+    """Rows that wait, as of the last finished micro-batch."""
+    table, newest = _placed(spark, out)
+    return table.where((F.col("batch_id") == newest) & F.col("flush_no").isNull()).drop("batch_id")
+
+
+def flushed_reports(spark: SparkSession, out: str, agent_version: str = __version__) -> DataFrame:
+    """One report per flush: key, JSON body and ``flushed_at``."""
+    rows = flushed_rows(spark, out).withColumnRenamed("flush_no", "batch_no")
+    times = rows.groupBy("hostname", "batch_no").agg(F.max("flushed_at").alias("flushed_at"))
+    return assemble_reports(rows, agent_version=agent_version).join(times, ["hostname", "batch_no"]).withColumnRenamed("batch_no", "flush_no")

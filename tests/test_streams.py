@@ -13,7 +13,6 @@ from banfleet.plans.streams import _finish, _rocksdb
 from banfleet.sources import segments
 from banfleet.streaming import breaker as sb
 from banfleet.streaming.dedup import dedup_stream, kept_reports
-from banfleet.streaming.flush import flush_stream
 from banfleet.streaming.ingest import ingest, read_queue
 from banfleet.streaming.liveness import liveness_stream
 from banfleet.streaming.merge import applied_state, merge_stream
@@ -149,9 +148,6 @@ def test_breaker_stream_equals_batch(spark, folder, rows):
     assert got == want
 
 
-QUEUE = "hostname string, id long, jail string, ip string, banned_at string, t long"
-
-
 def run_event_time(spark, folder, stream):
     with _rocksdb(spark):
         _finish(
@@ -161,36 +157,6 @@ def run_event_time(spark, folder, stream):
     return spark.read.parquet(f"{folder}/out")
 
 
-def test_flush_at_fifty_and_after_thirty_seconds(spark, folder):
-    def part(host, start, n, t):
-        return [(host, start + i, "sshd", "1.1.1.1", "2026-05-13T10:00:00Z", t) for i in range(n)]
-
-    batches = [
-        part("early", 1, 30, 100) + part("late", 1, 5, 100) + part("big", 1, 1203, 100),
-        part("early", 31, 25, 110),          # 55 waiting: leave at once
-        part("close", 1, 1, 200),            # time passes: what waited 30 s leaves
-        part("close", 2, 1, 300),
-    ]
-    for i, data in enumerate(batches):
-        spark.createDataFrame(data, QUEUE).coalesce(1).write.parquet(f"{folder}/in/p{i}")
-    schema = spark.createDataFrame(batches[0][:1], QUEUE).schema
-    queue = (
-        stream_of(spark, f"{folder}/in", schema)
-        .withColumn("event_time", F.timestamp_seconds("t"))
-        .withWatermark("event_time", "0 seconds")
-    )
-    out = run_event_time(spark, folder, flush_stream(queue, lanes=1, time_mode="EventTime"))
-    got = {}
-    for r in out.orderBy("flush_no").collect():
-        got.setdefault(r.hostname, []).append(list(r.ids))
-    assert got["early"] == [list(range(1, 56))]
-    assert got["late"] == [list(range(1, 6))]
-    assert [len(x) for x in got["big"]] == [500, 500, 203]
-    assert [i for ids in got["big"] for i in ids] == list(range(1, 1204))
-    row = out.where("hostname = 'late'").first()
-    assert row.payload.startswith('{"agent_version":') and '"hostname":"late"' in row.payload
-
-
 @pytest.mark.parametrize("cut", [1, 2, 3])
 def test_liveness_reports_every_silence(spark, folder, rows, cut):
     """Whatever the cut into micro-batches, as long as time goes forward."""
