@@ -616,41 +616,3 @@ def final_states(
             F.col("clock").cast("bigint").alias("clock"),
         )
     )
-
-
-def first_within(
-    rows: DataFrame,
-    keys: Sequence[str],
-    *,
-    order: str = "seq",
-    clock: str = "received_at",
-    seconds: int = C.IDEMPOTENCY_WINDOW_SECONDS,
-    width: int = BREAKER_CHUNK,
-) -> DataFrame:
-    """Rows that are not repeats: the first per key, then the first at least
-    ``seconds`` after the last one kept, and so on.
-
-    Keys seen only within one window need no more than their first row, which a
-    combined aggregate finds. The others are a breaker that opens at every row it
-    lets pass, for a constant time.
-    """
-    keys = list(keys)
-    first = F.min(F.struct(clock, order)).alias("_first")
-    spans = rows.groupBy(*keys).agg(first, F.max(clock).alias("_last"))
-    long = F.col("_last") - F.col(f"_first.{clock}") >= seconds
-    short_rows = spans.where(~long).select(
-        *keys, F.col(f"_first.{order}").alias(order), F.col(f"_first.{clock}").alias(clock)
-    )
-    repeated = rows.select(*keys, order, clock).join(
-        spans.where(long).select(*keys), keys, "left_semi"
-    )
-    chained = replay(
-        repeated.withColumn("ok", F.lit(False)),
-        Rules(failures_to_open=1, cooldown=seconds, cap=seconds),
-        keys=keys,
-        order=order,
-        clock=clock,
-        width=width,
-    )
-    kept = chained.where("allowed").select(*keys, order, clock)
-    return short_rows.unionByName(kept)

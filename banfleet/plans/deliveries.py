@@ -9,6 +9,7 @@ from banfleet import constants as C
 from banfleet.functions import report as r
 from banfleet.operators import breaker as b
 from banfleet.operators import delivery as d
+from banfleet.operators.repeats import first_within
 from banfleet.plans import views as v
 from banfleet.plans.reports import _DISPOSITION
 from banfleet.plans.views import sql
@@ -94,7 +95,7 @@ def as_received(events: DataFrame) -> DataFrame:
 
 def report_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Reports that are not repeats of one received less than 24 hours before."""
-    return b.first_within(as_received(v.ev(spark, sf)), ["hostname", "idempotency_key"])
+    return first_within(as_received(v.ev(spark, sf)), ["hostname", "idempotency_key"])
 
 
 QUERIES = {

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from banfleet.constants import IDEMPOTENCY_WINDOW_SECONDS
-from banfleet.operators.breaker import first_within
+from banfleet.operators.repeats import first_within
 
 KEYS = ("hostname", "idempotency_key")
 

@@ -156,24 +156,3 @@ def test_clock_that_steps_back_stands_still(spark):
     for width in (1, 2, 100):
         got = b.replay(df, b.Rules(1, 10, 10), width=width).orderBy("seq")
         assert [x.allowed for x in got.collect()] == [True, False, False, True]
-
-
-def test_first_within(spark, rows):
-    rnd = random.Random(2)
-    data, seq = [], 0
-    at = 0
-    for _ in range(600):
-        at += rnd.randrange(4)
-        seq += rnd.randrange(1, 3)
-        data.append(("h", "hot" if rnd.random() < 0.34 else f"k{rnd.randrange(40)}", seq, at))
-    kept, last = [], {}
-    for host, key, s, t in data:
-        if key not in last or t >= last[key] + 20:
-            last[key] = t
-            kept.append((key, s, t))
-    df = spark.createDataFrame(
-        data, "hostname string, key string, seq long, received_at long"
-    ).repartition(3)
-    for width in (10, 10_000):
-        got = b.first_within(df, ["hostname", "key"], seconds=20, width=width)
-        assert rows(got, "key", "seq", "received_at") == sorted(kept)
