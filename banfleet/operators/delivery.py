@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banfleet.functions import report as r
-from banfleet.operators.running import CHUNK, chunked, running, running_max, running_sum
+from banfleet.operators.running import CHUNK, running, running_since
 
 
 def with_outcome(attempts: DataFrame) -> DataFrame:
@@ -66,22 +66,9 @@ def after_block(attempts: DataFrame) -> DataFrame:
 def failure_streaks(attempts: DataFrame, *, width: int = CHUNK) -> DataFrame:
     """Recorded failures in a row up to and including each attempt.
 
-    Failures so far, less those up to the last success. Attempts that record
-    nothing neither count nor reset.
+    A sum that every success clears. Attempts that record nothing neither count nor reset.
     """
     rows = with_outcome(attempts)
     ok = r.breaker_outcome(F.col("outcome"))
-    counted = running(
-        chunked(rows, "seq", width=width),
-        ["hostname"],
-        "seq",
-        {"_failed": running_sum((~ok).cast("bigint"))},
-    )
-    cleared = F.when(ok, F.col("_failed"))
-    return (
-        running(counted, ["hostname"], "seq", {"_cleared": running_max(cleared)})
-        .withColumn(
-            "failures", F.col("_failed") - F.coalesce("_cleared", F.lit(0).cast("bigint"))
-        )
-        .drop("_failed", "_cleared", "_chunk")
-    )
+    failed = running_since((~ok).cast("bigint"), ok)
+    return running(rows, ["hostname"], "seq", {"failures": failed}, width=width)

@@ -9,7 +9,7 @@ from banfleet import __version__
 from banfleet import constants as C
 from banfleet.functions.banlog import iso_time
 from banfleet.functions.report import idempotency_key
-from banfleet.operators.running import CHUNK, running, running_count, running_sum, top_n
+from banfleet.operators.running import CHUNK, key_total, running, running_count, running_sum, top_n
 
 
 def number_rows(bans: DataFrame, order: str = "seq", *, width: int = CHUNK) -> DataFrame:
@@ -107,18 +107,16 @@ def drop_over_quota(
         queue.withColumn("_bytes", row_bytes()),
         ["hostname"],
         "id",
-        {"_place": running_count(), "_older": running_sum(F.col("_bytes"), before=True)},
+        {
+            "_place": running_count(),
+            "_older": running_sum(F.col("_bytes"), before=True),
+            "_total": key_total(F.col("_bytes")),
+        },
         width=width,
     ).withColumn("_step", F.floor((F.col("_place") - 1) / F.lit(step)))
-    total = (
-        queue.withColumn("_bytes", row_bytes())
-        .groupBy("hostname")
-        .agg(F.sum("_bytes").alias("_total"))
-    )
     at_step_start = F.min("_older").over(Window.partitionBy("hostname", "_step"))
     return (
         placed.withColumn("_older", at_step_start)
-        .join(total, "hostname")
         .where(F.col("_total") - F.col("_older") <= F.lit(quota))
         .select(*queue.columns)
     )
