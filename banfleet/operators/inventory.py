@@ -140,12 +140,31 @@ def verify(artifacts: DataFrame, content: str = "content", sidecar: str = "sidec
     ).drop(content, sidecar)
 
 
-def verify_files(spark: SparkSession, path: str, suffix: str = ".sha256") -> DataFrame:
-    """The same for files: an artifact and its checksum file lie side by side."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    is_sidecar = F.col("path").endswith(suffix)
-    sidecars = files.where(is_sidecar).select(
-        F.expr(f"left(path, length(path) - {len(suffix)})").alias("path"),
-        F.decode("content", "UTF-8").alias("sidecar"),
+def verify_files(
+    spark: SparkSession,
+    path: str,
+    suffix: str = ".sha256",
+    *,
+    glob: str | None = None,
+    artifact: Column | None = None,
+    is_sidecar: Column | None = None,
+) -> DataFrame:
+    """The same for files: an artifact and its checksum file lie side by side.
+
+    Every file is read once, and only its digest goes on. By default a checksum file has the path of
+    its artifact and ``suffix``; ``artifact`` and ``is_sidecar``, columns of ``path``, say it another way. ``glob``
+    picks file names. A checksum file without an artifact gives no row, nor does an empty
+    artifact: Spark passes over files of no length.
+    """
+    reader = spark.read.format("binaryFile")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    is_sidecar = F.col("path").endswith(suffix) if is_sidecar is None else is_sidecar
+    bare = F.when(F.col("path").endswith(suffix), F.expr(f"left(path, length(path) - {len(suffix)})")).otherwise(F.col("path"))
+    digest = F.when(is_sidecar, i.sidecar_digest(F.decode("content", "UTF-8"))).otherwise(F.sha2("content", 256))
+    digests = reader.load(path).select((bare if artifact is None else artifact).alias("path"), is_sidecar.alias("_sidecar"), digest.alias("_digest"))
+    found = digests.groupBy("path").agg(
+        F.max(F.when(F.col("_sidecar"), F.nullif("_digest", F.lit("")))).alias("expected"),
+        F.max(F.when(~F.col("_sidecar"), F.col("_digest"))).alias("actual"),
     )
-    return verify(files.where(~is_sidecar).join(sidecars, "path", "left"))
+    return found.where("actual IS NOT NULL").withColumn("verified", F.col("expected") == F.col("actual"))

@@ -9,6 +9,7 @@ from banfleet import __version__
 from banfleet.operators import inventory as inv
 from banfleet.plans import views as v
 from banfleet.plans.views import sql
+from banfleet.session import scratch_folder
 
 
 def agent_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +58,30 @@ def artifact_checksums(spark: SparkSession, sf: str) -> DataFrame:
     return inv.verify(pages)
 
 
+#: Pages that one artifact file holds.
+BUNDLE = 50
+
+
+def artifact_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages bundled into files, with checksum files, some wrong or missing; each file is read once."""
+    folder = scratch_folder(spark, "artifacts")
+    number = F.floor(F.col("page_id") / BUNDLE).cast("bigint")
+    pages = v.table(spark, sf, "pages").select(number.alias("artifact"), "page_id", F.coalesce("html", F.lit("")).alias("value"))
+    # one file per artifact: its pages, a line each, and the last one ends in a newline too
+    dealt = pages.repartition("artifact").sortWithinPartitions("artifact", "page_id")
+    dealt.select("artifact", "value").write.partitionBy("artifact").text(f"{folder}/files")
+    actual = inv.verify_files(spark, f"{folder}/files/*", artifact=F.regexp_extract("path", "artifact=([0-9]+)/", 1))
+    actual = actual.select(F.col("path").cast("bigint").alias("n"), "actual").where("n % 5 <> 0")
+    told = F.when(F.col("n") % 3 == 0, F.reverse("actual")).otherwise(F.col("actual"))
+    sidecars = actual.select(F.concat(F.col("n").cast("string"), F.lit(".sha256")).alias("artifact"), F.concat(told, F.lit("  pages.txt")).alias("value"))
+    sidecars.repartition("artifact").write.mode("append").partitionBy("artifact").text(f"{folder}/files")
+    found = inv.verify_files(
+        spark, f"{folder}/files/*", glob="part-*",
+        artifact=F.regexp_extract("path", "artifact=([0-9]+)", 1), is_sidecar=F.col("path").contains(".sha256/"),
+    )
+    return found.select(F.col("path").cast("bigint").alias("artifact"), "expected", "actual", "verified")
+
+
 QUERIES = {
     "agent_keys": agent_keys,
     "agent_versions": agent_versions,
@@ -65,6 +90,7 @@ QUERIES = {
     "install_funnel": install_funnel,
     "install_event_bodies": install_event_bodies,
     "artifact_checksums": artifact_checksums,
+    "artifact_files": artifact_files,
 }
 
 _STEP_ORDER = " ".join(f"WHEN '{s}' THEN {n}" for n, s in enumerate(inv.INSTALL_STEPS, 1))
@@ -126,4 +152,8 @@ ORACLES = {
         CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN reverse(sha256(html))
           ELSE sha256(html) END AS expected,
         CASE WHEN page_id % 11 = 0 THEN NULL ELSE page_id % 7 <> 0 END AS verified FROM pages""",
+    "artifact_files": f"""SELECT artifact, actual, CASE WHEN artifact % 5 = 0 THEN NULL WHEN artifact % 3 = 0 THEN reverse(actual)
+        ELSE actual END AS expected, CASE WHEN artifact % 5 = 0 THEN NULL ELSE artifact % 3 <> 0 END AS verified
+      FROM (SELECT page_id // {BUNDLE} AS artifact, sha256(string_agg(coalesce(html, '') || chr(10), '' ORDER BY page_id)) AS actual
+        FROM pages GROUP BY 1)""",
 }

@@ -11,7 +11,9 @@ from banfleet.functions import health as h
 from banfleet.functions import jsontext as j
 from banfleet.operators import delivery as d
 from banfleet.operators import outbox as q
+from banfleet.operators import sketches as sk
 from banfleet.operators import status as st
+from banfleet.operators.feed import has_address
 from banfleet.plans import views as v
 from banfleet.plans.feeds import applied_fleet, state_sql
 from banfleet.plans.views import AS_OF_S, sql
@@ -31,6 +33,23 @@ def applied_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return st.distinct_addresses(applied_fleet(spark, sf))
 
 
+def distinct_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses ever added per host: counted, and from stored sketches of each day.
+
+    Says whether the estimate from the days' sketches is that of a sketch made at once, and lies
+    within three standard errors of the count.
+    """
+    added = v.feed_items(spark, sf).where(has_address()).where("op = 'add'").select("hostname", "ip", "at_s")
+    days = written(sk.distinct_sketches(added, ["hostname"], "ip"), "sketches")
+    at_once = sk.distinct_sketches(added, ["hostname"], "ip", window=1 << 40)
+    both = sk.estimates(days, ["hostname"], "by_day").join(sk.estimates(at_once, ["hostname"], "at_once"), "hostname")
+    counted = added.groupBy("hostname").agg(F.count_distinct("ip").alias("addresses"))
+    off = F.abs(F.col("by_day") - F.col("addresses")) <= 1 + 3 * sk.standard_error() * F.col("addresses")
+    return counted.join(both, "hostname").select(
+        "hostname", "addresses", (F.col("by_day") == F.col("at_once")).alias("parts_agree"), off.alias("within_error")
+    )
+
+
 def applied_of_tenant(spark: SparkSession, sf: str) -> DataFrame:
     return st.of_source(applied_fleet(spark, sf), "tenant").select("hostname", "ip")
 
@@ -193,6 +212,7 @@ def age_text(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "applied_counts": applied_counts,
     "applied_distinct": applied_distinct,
+    "distinct_sketched": distinct_sketched,
     "applied_of_tenant": applied_of_tenant,
     "recent_applied": recent_applied,
     "recent_filtered": recent_filtered,
@@ -336,6 +356,11 @@ ORACLES = {
           FROM (SELECT DISTINCT hostname FROM ev) LEFT JOIN ({_COUNTS}) USING (hostname)"""
     ),
     "applied_distinct": state_sql("SELECT DISTINCT ip FROM applied"),
+    "distinct_sketched": sql(
+        """SELECT hostname, count(DISTINCT ip) AS addresses, true AS parts_agree, true AS within_error
+          FROM feed_items WHERE op = 'add' AND coalesce(ip, '') <> '' GROUP BY hostname""",
+        "feed_items",
+    ),
     "applied_of_tenant": state_sql("SELECT hostname, ip FROM applied WHERE source = 'tenant'"),
     "recent_applied": state_sql(f"SELECT * FROM ({_RECENT}) WHERE rn <= {C.RECENT_LIMIT}"),
     "recent_filtered": state_sql(

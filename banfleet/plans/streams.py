@@ -6,6 +6,8 @@ text input is first written to the shared folder.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +113,33 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return _ingested(spark, sf).drop("batch_id")
 
 
+def stream_cold_start(spark: SparkSession, sf: str) -> DataFrame:
+    """An ingest that begins when half of the lines lie there already.
+
+    Their segments are older than the start and stay unread. The stream reads what comes then, stops,
+    and after a restart with the same checkpoint reads the segments rotated meanwhile.
+    """
+    folder = scratch_folder(spark, "cold")
+    lines, log = v.ban_log_lines(spark, sf), f"{folder}/log"
+    half = lines.agg((F.max("seq") / 2).cast("bigint")).first()[0] or 0
+    zones = v.host_zones(spark, sf)
+    segments.write_segments(lines.where(F.col("seq") < half), log)
+    newest = spark.read.text(log).agg(F.max("_metadata.file_modification_time")).first()[0]
+    began = None if newest is None else newest.replace(tzinfo=datetime.UTC) + datetime.timedelta(milliseconds=1)
+
+    def run() -> None:
+        start = segments.cold_start(spark, f"{folder}/checkpoint", began)
+        new = segments.stream_segments(spark, log, start=start)
+        _finish(ingest(new, f"{folder}/queue", f"{folder}/checkpoint", zones, received_at=F.lit(v.AS_OF_S)))
+
+    later = F.col("seq") >= F.lit(half + half // 2)
+    segments.write_segments(lines.where((F.col("seq") >= half) & ~later), log, mode="append")
+    run()
+    segments.write_segments(lines.where(later), log, mode="append")
+    run()
+    return read_queue(spark, f"{folder}/queue").drop("batch_id")
+
+
 def stream_drain(spark: SparkSession, sf: str) -> DataFrame:
     """Ingest all that is there, then cut what is queued into report batches."""
     batched = _ingested(spark, sf).withColumn(
@@ -235,6 +264,7 @@ QUERIES = {
     "text_segments": text_segments,
     "split_lines": split_lines,
     "stream_ingest": stream_ingest,
+    "stream_cold_start": stream_cold_start,
     "stream_drain": stream_drain,
     "final_flushes": final_flushes,
     "stream_merge": stream_merge,
@@ -297,6 +327,12 @@ ORACLES = {
           FROM outbox""",
         "outbox",
     ),
+    "stream_cold_start": sql(
+        f"""SELECT hostname, row_number() OVER (PARTITION BY hostname ORDER BY seq) AS id, jail, ip,
+            strftime(utc_ts, '%Y-%m-%dT%H:%M:%SZ') AS banned_at, CAST({v.AS_OF_S} AS BIGINT) AS enqueued_at
+          FROM bans_utc WHERE seq >= (SELECT CAST(floor(max(seq) / 2) AS BIGINT) FROM ban_log_lines)""",
+        "bans_utc",
+    ),
     "stream_drain": sql(
         f"""SELECT hostname, batch_no, count(*) AS n_bans, min(id) AS first_id, max(id) AS last_id,
             {r._key('id')} AS idempotency_key

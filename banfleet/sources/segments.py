@@ -7,6 +7,9 @@ Spark reads every file once.
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,30 @@ def stream_segments(
     return _texts(raw)
 
 
+def cold_start(spark: SparkSession, checkpoint: str, now: datetime.datetime | None = None) -> str:
+    """When a stream first began, for ``start`` of :func:`stream_segments`: kept beside its checkpoint.
+
+    The first call notes ``now`` (UTC; the clock, if not given); every later one, after a restart, returns
+    what was noted. So segments that were there before the first start are never read, and
+    those that came while the stream was down are.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}-start")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        text = (now or datetime.datetime.now(datetime.UTC)).strftime("%Y-%m-%d %H:%M:%S.%f")
+        draft = path.suffix(f"-{uuid.uuid4().hex}")
+        stream = files.create(draft, False)
+        stream.write(text.encode())
+        stream.close()
+        if not files.rename(draft, path):  # another driver was first
+            files.delete(draft, False)
+    stream = files.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def number_lines(parsed: DataFrame, name: str = "id") -> DataFrame:
     """Number rows 1, 2, ... per host, by file name, block and line.
 
@@ -84,14 +111,20 @@ def bans_of_segments(lines: DataFrame) -> DataFrame:
     return number_lines(parse_bans(lines))
 
 
-def write_segments(lines: DataFrame, path: str, *, order: str = "seq", width: int = CHUNK) -> None:
-    """Write lines as segments of ``width`` order values; names sort like the order."""
+def write_segments(
+    lines: DataFrame, path: str, *, order: str = "seq", width: int = CHUNK, mode: str = "error"
+) -> None:
+    """Write lines as segments of ``width`` order values; names sort like the order.
+
+    With mode ``append``, what is there stays, and a host's later lines are files of their own.
+    """
     segment = F.lpad(F.floor(F.col(order) / width).cast("string"), 12, "0")
     (
         lines.withColumn("segment", F.concat(F.lit("s"), segment))
         .repartition("hostname", "segment")
         .sortWithinPartitions("hostname", "segment", order)
         .select("hostname", "segment", F.col("line").alias("value"))
-        .write.partitionBy("hostname", "segment")
+        .write.mode(mode)
+        .partitionBy("hostname", "segment")
         .text(path)
     )

@@ -1,3 +1,4 @@
+import datetime
 import os
 import time
 
@@ -82,3 +83,31 @@ def test_sinks(spark, folder):
     sinks.deliver(df, send)
     assert os.path.exists(f"{folder}/sent-k")
     sinks.deliver_quietly(df, broken)
+
+
+def test_cold_start_is_kept(spark, folder, rows):
+    """What lay there before the first start is never read; what comes while the stream is down is."""
+    from banfleet.plans.streams import _finish
+    from banfleet.streaming.ingest import ingest, read_queue
+
+    line = "2025-11-02 07:41:09,880 fail2ban.actions [771]: NOTICE  [ftp-in] Ban 10.0.0."
+    began = datetime.datetime(2026, 1, 1, 12, tzinfo=datetime.UTC)
+
+    def put(name, address, at):
+        os.makedirs(f"{folder}/log/hostname=a", exist_ok=True)
+        with open(f"{folder}/log/hostname=a/{name}", "w") as out:
+            out.write(line + address + "\n")
+        os.utime(f"{folder}/log/hostname=a/{name}", (at, at))
+
+    def run(now):
+        start = segments.cold_start(spark, f"{folder}/point", now)
+        lines = segments.stream_segments(spark, f"{folder}/log", start=start)
+        zones = spark.createDataFrame([], "hostname string, tz string")
+        _finish(ingest(lines, f"{folder}/queue", f"{folder}/point", zones))
+
+    put("s1", "1", began.timestamp() - 1)
+    put("s2", "2", began.timestamp())
+    run(began)
+    put("s1.rotated", "3", began.timestamp() + 5)
+    run(began + datetime.timedelta(hours=1))  # a restart starts where the first one did
+    assert rows(read_queue(spark, f"{folder}/queue"), "id", "ip") == [(1, "10.0.0.2"), (2, "10.0.0.3")]

@@ -183,3 +183,28 @@ def test_checksums_of_files(spark, folder, rows):
         out.write(f"{good}  b.tar\n")
     got = inv.verify_files(spark, folder).withColumn("name", F.substring_index("path", "/", -1))
     assert rows(got, "name", "verified") == [("a.tar", True), ("b.tar", False), ("c.tar", None)]
+
+
+def test_checksum_files_are_read_once(spark, folder, rows):
+    """Right, wrong, missing and lonely checksum files; one scan."""
+    import hashlib
+
+    from banfleet.operators.inventory import verify_files
+
+    def put(name, content):
+        with open(f"{folder}/{name}", "wb") as out:
+            out.write(content)
+
+    good = hashlib.sha256(b"one").hexdigest()
+    put("a.tar", b"one")
+    put("a.tar.sha256", f" {good}  a.tar\n".encode())
+    put("b.tar", b"two")
+    put("b.tar.sha256", good.encode())
+    put("c.tar", b"three")
+    put("d.tar", b"four")
+    put("d.tar.sha256", b"\n")
+    put("e.tar.sha256", good.encode())
+    found = verify_files(spark, folder)
+    got = {r["path"][-5:]: (r["expected"], r["verified"]) for r in found.collect()}
+    assert got == {"a.tar": (good, True), "b.tar": (good, False), "c.tar": (None, None), "d.tar": (None, None)}
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan binaryFile") <= 2  # initial and final plan
