@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banfleet.functions import report as r
+from banfleet.operators.lookup import with_values
 from banfleet.operators.running import CHUNK, running, running_since
 
 
@@ -60,7 +61,7 @@ def after_block(attempts: DataFrame) -> DataFrame:
         .groupBy("hostname")
         .agg(F.min("seq").alias("blocked_by"))
     )
-    return attempts.join(first, "hostname").where(F.col("seq") > F.col("blocked_by"))
+    return with_values(attempts, first, ["hostname"], "seq").where(F.col("seq") > F.col("blocked_by"))
 
 
 def failure_streaks(attempts: DataFrame, *, width: int = CHUNK) -> DataFrame:

@@ -10,6 +10,7 @@ from banfleet import constants as C
 from banfleet.functions import banlog
 from banfleet.functions.report import deletes_batch, disposition, idempotency_key
 from banfleet.operators import outbox as q
+from banfleet.operators.lookup import with_values
 from banfleet.plans import views as v
 from banfleet.plans.views import AS_OF_S, sql
 from banfleet.session import written
@@ -30,7 +31,7 @@ def rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
 def bans_utc(spark: SparkSession, sf: str) -> DataFrame:
     """Bans with their UTC time; the zone table joins by host (one row per host)."""
     bans = banlog.parse_bans(v.ban_log_lines(spark, sf))
-    return bans.join(v.host_zones(spark, sf), "hostname").withColumn(
+    return with_values(bans, v.host_zones(spark, sf), ["hostname"], "seq").withColumn(
         "utc_ts", banlog.local_to_utc("local_ts", "tz")
     )
 

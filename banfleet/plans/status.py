@@ -14,6 +14,7 @@ from banfleet.operators import outbox as q
 from banfleet.operators import sketches as sk
 from banfleet.operators import status as st
 from banfleet.operators.feed import has_address
+from banfleet.operators.lookup import with_values
 from banfleet.plans import views as v
 from banfleet.plans.feeds import applied_fleet, state_sql
 from banfleet.plans.views import AS_OF_S, sql
@@ -192,7 +193,7 @@ def feed_coverage(spark: SparkSession, sf: str) -> DataFrame:
     told = log.select("hostname", "seq", j.decode(F.col("v"), j.FEED_STATS)["global_active"].alias("active"))
     percent = h.coverage_percent(F.coalesce("applied_global", F.lit(0)), F.col("active"))
     counts = st.applied_counts(applied_fleet(spark, sf))
-    return told.join(counts, "hostname", "left").select(
+    return with_values(told, counts, ["hostname"], "seq", how="left").select(
         "hostname",
         "seq",
         percent.alias("percent"),

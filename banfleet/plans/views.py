@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from banfleet.functions.banlog import BAN_LINE, iso_text, local_to_utc, parse_bans
+from banfleet.operators.lookup import with_values
 from banfleet.operators.running import running, running_count
 from banfleet.session import written
 
@@ -115,7 +116,7 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queued_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue rows before they are numbered: what depth, age and expiry need. Times are UTC."""
-    bans = parse_bans(ban_log_lines(spark, sf_dir)).join(host_zones(spark, sf_dir), "hostname")
+    bans = with_values(parse_bans(ban_log_lines(spark, sf_dir)), host_zones(spark, sf_dir), ["hostname"], "seq")
     return bans.select(
         "hostname",
         "seq",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from banfleet.functions.banlog import iso_text, local_to_utc, parse_bans
+from banfleet.operators.lookup import with_values
 from banfleet.sources.segments import as_lines, number_lines
 
 QUEUE = "hostname string, id bigint, jail string, ip string, banned_at string, enqueued_at bigint"
@@ -15,7 +16,7 @@ _LAST = "hostname string, last bigint"
 
 def queue_rows(lines: DataFrame, zones: DataFrame) -> DataFrame:
     """Bans with their time in UTC. The clock of a host without a zone is taken as UTC."""
-    zoned = parse_bans(lines).join(zones.select("hostname", "tz"), "hostname", "left")
+    zoned = with_values(parse_bans(lines), zones.select("hostname", "tz"), ["hostname"], "line_no", how="left")
     utc = local_to_utc("local_ts", F.coalesce("tz", F.lit("UTC")))
     return zoned.withColumn("banned_at", iso_text(utc)).drop("tz")
 
@@ -50,7 +51,7 @@ def ingest(
             before = spark.read.schema(_LAST).parquet(f"{out}/last/batch_id={batch_id - 1}")
         else:
             before = spark.createDataFrame([], _LAST)
-        rows = bans.join(before, "hostname", "left").select(
+        rows = with_values(bans, before, ["hostname"], "n", how="left").select(
             "hostname",
             (F.col("n") + F.coalesce("last", F.lit(0))).cast("bigint").alias("id"),
             "jail",
