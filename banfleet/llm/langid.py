@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banfleet.llm.textbytes import LOWER, chunks, per_text
+from banfleet.llm.workers import forget
 
 #: Slots of the table: a fixed size, whatever the corpus. A fuller table has more false
 #: positives, which the correction takes off.
@@ -190,6 +191,7 @@ def keep_known(docs: DataFrame, filters: Filters, least: float, text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(tuple(filters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         f = Filters(*shared.value)
         for batch in batches:
             lang, score = identify(f, batch.column(text_col))

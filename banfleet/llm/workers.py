@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from banfleet.session import scratch_folder
@@ -26,6 +29,21 @@ def worker_cache(key, make: Callable):
     return store.values[key]
 
 
+def forget() -> None:
+    """Drop what :func:`worker_cache` keeps in this worker, and give free memory back to the system.
+
+    For the start of a chain of operators: a worker may still hold what an earlier one needed, like
+    a tokenizer with a million pieces.
+    """
+    store = sys.modules.get(_STORE)
+    if store is not None:
+        store.values.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back; cuts the lineage."""
     spark = df.sparkSession
