@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from banfleet.llm.pieces import Pieces
-from banfleet.llm.workers import text_chunks, worker_cache, written
+from banfleet.llm.workers import forget, text_chunks, worker_cache, worker_holds, written
 
 #: Pieces that are packed together, on average. More fill windows better, in more time.
 GROUP = 1024
@@ -87,9 +87,11 @@ def pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    alone: bool = False,
 ) -> DataFrame:
     """Each document's ids and ``end_id``, cut at every multiple of ``capacity``.
 
+    With ``alone``, a worker lets go of what other operators kept in it before it loads the tokenizer.
     One row per piece: id, start, length, ids_crc32, doc_tokens, and the ids themselves if asked for.
     A null or empty text has one id, ``end_id``.
     """
@@ -99,6 +101,8 @@ def pieces(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if alone and not worker_holds(("pieces", tokenizer)):
+            forget()
         coder = worker_cache(("pieces", tokenizer), lambda: Pieces(content))
         last = np.array([end_id], np.int32)
         for batch in batches:
@@ -134,6 +138,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    alone: bool = False,
 ) -> DataFrame:
     """One row per piece, with ``sequence_id`` and ``offset``; sequences hold at most ``capacity`` ids.
 
@@ -142,7 +147,7 @@ def pack_documents(
     are packed like different documents; an empty table gives no rows. The pieces are written once
     to the shared folder, as their number sets the number of groups.
     """
-    cut = written(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids), "pieces")
+    cut = written(pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, alone), "pieces")
     groups = max(1, -(-cut.count() // GROUP))
     drawn = F.pmod(F.xxhash64(F.col(id_col), "start", "ids_crc32"), F.lit(groups))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)

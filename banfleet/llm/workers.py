@@ -29,6 +29,11 @@ def worker_cache(key, make: Callable):
     return store.values[key]
 
 
+def worker_holds(key) -> bool:
+    store = sys.modules.get(_STORE)
+    return store is not None and key in store.values
+
+
 def forget() -> None:
     """Drop what :func:`worker_cache` keeps in this worker, and give free memory back to the system.
 
