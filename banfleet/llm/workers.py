@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from banfleet.session import scratch_folder
 
 _STORE = "banfleet_worker_store"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def worker_cache(key, make: Callable):
@@ -49,11 +50,29 @@ def forget() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Statements run in here delete their shuffle files at their end, instead of when the driver's garbage goes."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back; cuts the lineage."""
+    """``df`` as a table in the shared folder, read back; cuts the lineage.
+
+    The shuffles that led to it are deleted once it is written.
+    """
     spark = df.sparkSession
     path = scratch_folder(spark, name)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch = path
     return table
