@@ -168,8 +168,8 @@ def test_near_copies_keep_their_order(noise, longer):
     v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(v.tolist(), pa.list_(pa.float32()))], names=["id", "v"])
     most = max(longer, float(np.linalg.norm(v, axis=1).max()))
-    (got,) = ann._prepare(most)([batch])
-    rows = ann._matrix(got.column("v"), 65)[:, :64]
+    (got,) = ann._prepare(most, 64)([batch])
+    rows = ann._matrix(got.column("v"), 64)
     exact = v.astype(np.float64)
     shares = [len({*np.argsort(-(rows @ rows[q]))[:160]} & {*np.argsort(-(exact @ exact[q]))[:20]}) / 20 for q in range(0, 1000, 20)]
     assert np.mean(shares) >= 0.9
@@ -183,9 +183,28 @@ def test_rounds_go_on_until_the_graph_settles(spark, monkeypatch):
     v = draw.normal(size=(2500, 12)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1)[:, None] * np.float32(1.0001)
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>")
-    lists = ann.graph(rows.mapInArrow(ann._prepare(1.0), "id long, v binary"), 13, len(v)).collect()
+    lists = ann.graph(rows.mapInArrow(ann._prepare(1.0, 12), "id long, v binary"), 12, len(v)).collect()
     score = v @ v.T
     np.fill_diagonal(score, -4)
     best = np.argsort(-score, axis=1)[:, :10]
     shares = [np.isin(best[r["id"]], np.frombuffer(r["near"], np.int64)).mean() for r in lists]
     assert len(shares) == len(v) and np.mean(shares) >= 0.9
+
+
+def test_recall_with_very_uneven_lengths(spark):
+    """The longest vectors are the answer to nearly every query."""
+    draw = np.random.default_rng(8)
+    v = draw.normal(size=(6000, 32))
+    v *= (draw.lognormal(sigma=0.5, size=6000) / np.linalg.norm(v, axis=1))[:, None]
+    assert recall(spark, v.astype(np.float32), 20) >= 0.9
+
+
+def test_copies_come_by_id(spark):
+    """One vector held by a third of all rows: its copies are answers in the order of their ids."""
+    draw = np.random.default_rng(9)
+    v = draw.normal(size=(1500, 16)).astype(np.float32)
+    v[draw.permutation(1500)[:500]] = v[0]
+    assert recall(spark, v, 20) >= 0.9
+    few = [(i, [1.0, 2.0], 0) for i in range(0, 100, 5)]
+    got = found(ann.nearest(frame(spark, few), lambda i: i % 20 == 0, k=3))
+    assert got == {q: [(-5.0, i) for i in [i for i in range(0, 100, 5) if i != q][:3]] for q in range(0, 100, 20)}
