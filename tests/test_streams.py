@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from banfleet.sources import segments
 from banfleet.streaming import breaker as sb
 from banfleet.streaming.dedup import dedup_stream, kept_reports
 from banfleet.streaming.ingest import ingest, read_queue
-from banfleet.streaming.liveness import liveness_stream
+from banfleet.streaming.liveness import SEVERITY, changes, liveness_stream, thinned, worst_by_second
 from banfleet.streaming.merge import applied_state, merge_stream
 
 LINE = "2025-11-02 07:41:09,880 fail2ban.actions [771]: NOTICE  [ftp-in] Ban 10.0.0."
@@ -181,3 +182,25 @@ def test_liveness_reports_every_silence(spark, folder, rows, cut):
     ]
 
 
+def test_thinned_snapshots_give_the_same_changes(spark):
+    """In whatever partitions they lie; a host with most rows sends few of them."""
+    draw = np.random.default_rng(2)
+    data = [("hot", int(t), "healthy") for t in range(0, 40_000, 10)]
+    data += [("hot", int(t), SEVERITY[draw.integers(3)]) for t in draw.integers(0, 40_000, 20)]
+    data += [(f"h{draw.integers(4)}", int(t), SEVERITY[draw.integers(3)]) for t in draw.integers(0, 9_000, 600)]
+    data = [data[i] for i in draw.permutation(len(data))] + [("h1", None, "healthy")]
+    every = spark.createDataFrame(data, "hostname string, at_s long, status string").withColumn("event_time", F.timestamp_seconds("at_s"))
+    few = thinned(every.repartition(5), 120, 64 * 60).toPandas()
+    every = worst_by_second(every.where("at_s is not null").toPandas())
+    assert (few["hostname"] == "hot").sum() < 80
+    assert few["event_time"].max() == every["event_time"].max()
+    for host, mine in every.groupby("hostname"):
+        part = few[few["hostname"] == host].sort_values("at_s")
+        at_s, first, last = mine["at_s"].to_numpy(), part["first_s"].to_numpy(), part["at_s"].to_numpy()
+        assert (first[0], last[-1]) == (at_s[0], at_s[-1])
+        one, other = mine["status"].to_numpy(object), part["status"].to_numpy(object)
+        assert (one[0], one[-1]) == (other[0], other[-1])
+        assert changes(at_s, at_s, one, 120) == changes(first, last, other, 120)
+    assert thinned(spark.createDataFrame([], "hostname string, at_s long, status string, event_time timestamp"), 120, 60).count() == 0
+
+
