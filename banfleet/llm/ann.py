@@ -25,7 +25,7 @@ from banfleet.llm.workers import discard, partitions, written
 NEIGHBOURS = 32
 LISTED = 32
 #: Random cuts of the whole table, and rows of a part, at most, that are compared with each other.
-CUTS, PART = 6, 256
+CUTS, PART = 6, 1024
 #: Rounds of neighbours of neighbours go on until so small a share of all list entries is new, better than the worst by
 #: more than rounding.
 SETTLED, ROUNDING = 0.01, 1e-6
