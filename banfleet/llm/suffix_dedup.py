@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from banfleet.llm.textbytes import chunks, mixed, span_hashes
+from banfleet.llm.textbytes import Texts, chunks, mixed, span_hashes
 from banfleet.llm.tiles import stretches
 from banfleet.llm.workers import discard, release, written
 
@@ -25,6 +25,8 @@ LENGTH = 50
 GRAM = 24
 #: Anchors gathered in a task before they are sent on.
 FLUSH = 1 << 20
+#: Bytes of a text whose anchors are found together; a longer one is worked on in windows.
+WINDOW = 4 << 20
 #: Bytes of text gathered in a task before they are sent on.
 FLUSH_BYTES = 16 << 20
 #: Bytes of a suffix array's text, about.
@@ -144,18 +146,17 @@ def repeated(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: in
 
 
 def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with the same anchor: hash of the anchor, first string, number of strings."""
+    """Runs of strings with the same anchor: hash of the anchor, first string, number of strings.
+
+    ``data`` is shorter than 16 MB, so that places fit into 24 bits.
+    """
     n = len(data) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.arange(len(data) - GRAM + 1)
     h = span_hashes(data, at, at + GRAM)
     low = np.uint64((1 << 24) - 1)
-    rank = h & ~low
-    if len(h) < 1 << 24:
-        rank |= at.astype(np.uint64)
-    else:
-        rank |= at.astype(np.uint64) & low
+    rank = h & ~low | at.astype(np.uint64)
     width = LENGTH - GRAM + 1
     least, span = rank, 1
     while span * 2 <= width:
@@ -170,10 +171,18 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     s = np.flatnonzero(valid)
     first = s[new[s]]
     count = np.diff(np.append(np.searchsorted(s, first), len(s)))
-    place = (least[first] & low).astype(np.int64)
-    if len(h) >= 1 << 24:
-        place += (first - place + (1 << 24) - 1) >> 24 << 24
-    return h[place], first, count
+    return h[(least[first] & low).astype(np.int64)], first, count
+
+
+def _windows(texts: Texts, window: int) -> Iterator[tuple[int, Texts]]:
+    """A long text in stretches that overlap so that each string is whole in one; with where they begin."""
+    n = len(texts.data)
+    if n < window + LENGTH or len(texts.starts) > 2:
+        yield 0, texts
+        return
+    for at in range(0, n - LENGTH + 1, window):
+        data = texts.data[at : at + window + LENGTH - 1]
+        yield at, Texts(texts.first, data, np.array([0, len(data)]))
 
 
 def _packed(records: np.ndarray) -> bytes:
@@ -220,6 +229,25 @@ def _by_document(ids: np.ndarray, records: np.ndarray, buckets: int) -> Iterator
         yield _batch([(1, bucket[a], int(ids[a]), records[a:b].tobytes()) for a, b in zip(own, own[1:])])
 
 
+class _Outbox:
+    """What a task finds for documents, whatever the bucket: a row per document each time it is much."""
+
+    def __init__(self, buckets: int, limit: int):
+        self.buckets, self.limit, self.held, self.size = buckets, limit, [], 0
+
+    def add(self, ids: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((ids, records))
+        self.size += len(ids)
+        if self.size >= self.limit:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            ids, records = (np.concatenate(x) for x in zip(*self.held))
+            self.held, self.size = [], 0
+            yield from _by_document(ids, records, self.buckets)
+
+
 def _marks(records: np.ndarray) -> np.ndarray:
     out = np.empty(len(records), _MARK)
     for name in _MARK.names:
@@ -264,12 +292,12 @@ def _find(buckets: int):
         held, size = [], 0
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            for c in chunks(batch.column("text")):
+            for begin, c in (x for whole in chunks(batch.column("text")) for x in _windows(whole, WINDOW)):
                 fp, first, count = anchors(c.data, c.starts)
                 own = np.searchsorted(c.starts, first, "right") - 1
                 records = np.empty(len(fp), _ANCHOR)
                 records["fp"], records["id"] = fp, ids[c.first + own]
-                records["lo"], records["n"] = first - c.starts[own], count
+                records["lo"], records["n"] = begin + first - c.starts[own], count
                 held.append(records)
                 size += len(records)
                 if size >= FLUSH:
@@ -285,15 +313,17 @@ def _meet(common: int, buckets: int):
     """Anchors by bucket to shared ones by document (kind 1) and to common ones (kind 2, count as id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outbox = _Outbox(buckets, FLUSH)
         for table in stretches(batches, ["bucket", "kind"]):
             if table.column("kind")[0].as_py() == 1:
                 yield from table.to_batches()
                 continue
             shared, rest = _known(_unpacked(table.column("data").to_pylist(), _ANCHOR))
-            yield from _by_document(shared["id"], _marks(shared), buckets)
+            yield from outbox.add(shared["id"], _marks(shared))
             signs = rest[(rest["n"] == 0) & (rest["lo"] >= common)]
             if len(signs):
                 yield _batch([(2, 0, int(n), x.tobytes()) for x, n in zip(signs["fp"], signs["lo"])])
+        yield from outbox.rest()
 
     return run
 
@@ -303,16 +333,21 @@ def _meet(common: int, buckets: int):
 _PLACE = np.dtype([("fp", "u8"), ("id", "i8"), ("lo", "i4"), ("size", "i4")])
 
 
-def _alone(place: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _alone(place: np.ndarray, raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which surroundings equal those of a smaller document, the first that each equals, and which anchors have no other.
 
-    ``one`` are their hashes. In the first kind every string repeats; what is not of it equals only surroundings of its
+    They lie in ``raw``, meet by a hash and are compared byte by byte. In the first kind every string repeats; what is not of it equals only surroundings of its
     own document, so that the first of them can stand for all. The last kind can only repeat elsewhere.
     """
+    one = span_hashes(np.frombuffer(raw, np.uint8), begin, end)
     order = np.lexsort((place["id"], one))
     new = np.append(True, one[order][1:] != one[order][:-1])
     twin = np.empty(len(place), np.int64)
     twin[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    copies = np.flatnonzero(twin != np.arange(len(place)))
+    ends = (x[y].tolist() for y in (copies, twin[copies]) for x in (begin, end))
+    equal = np.fromiter((raw[a:b] == raw[c:d] for a, b, c, d in zip(*ends)), bool, len(copies))
+    twin[copies[~equal]] = copies[~equal]
     again = place["id"] > place["id"][twin]
     order = np.argsort(place["fp"], kind="stable")
     fp = place["fp"][order]
@@ -350,15 +385,15 @@ def _cut(common: np.ndarray, buckets: int):
     """
 
     def send(places, texts) -> Iterator[pa.RecordBatch]:
-        place, data = np.concatenate(places), np.frombuffer(b"".join(texts), np.uint8)
+        place, raw = np.concatenate(places), b"".join(texts)
         end = np.cumsum(place["size"].astype(np.int64))
         begin = end - place["size"]
-        again, _, _ = _alone(place, span_hashes(data, begin, end))
+        again, _, _ = _alone(place, raw, begin, end)
         yield from _by_document(place["id"][again], _spans(place[again]), buckets)
         on = np.flatnonzero(~again)
         bucket = (mixed(place["fp"][on]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        on, bucket, raw, rows = on[order], bucket[order], data.tobytes(), []
+        on, bucket, rows = on[order], bucket[order], []
         cuts = _cuts(bucket)
         for a, b in zip(cuts, cuts[1:]):
             own = on[a:b]
@@ -400,6 +435,7 @@ def _sort(buckets: int):
     """Surroundings by bucket to spans that repeat a smaller document's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outbox = _Outbox(buckets, FLUSH)
         for table in stretches(batches, ["bucket", "kind"]):
             if table.column("kind")[0].as_py() == 1:
                 yield from table.to_batches()
@@ -410,19 +446,19 @@ def _sort(buckets: int):
                 places.append(_unpacked([blob[4:cut]], _PLACE))
                 size = int(places[-1]["size"].sum(dtype=np.int64))
                 bodies.append(pa.decompress(blob[cut:], size, codec="zstd", asbytes=True))
-            place, text = np.concatenate(places), np.frombuffer(b"".join(bodies), np.uint8)
+            place, raw = np.concatenate(places), b"".join(bodies)
             size = place["size"].astype(np.int64)
             begin = np.cumsum(size) - size
-            again, twin, single = _alone(place, span_hashes(text, begin, begin + size))
-            yield from _by_document(place["id"][again], _spans(place[again]), buckets)
+            again, twin, single = _alone(place, raw, begin, begin + size)
+            yield from outbox.add(place["id"][again], _spans(place[again]))
             left = np.flatnonzero((twin == np.arange(len(place))) & ~single)
             if not len(left):
                 continue
-            raw = text.tobytes()
             text = np.frombuffer(b"".join([raw[a : a + n] for a, n in zip(begin[left].tolist(), size[left].tolist())]), np.uint8)
             at, spans = _repeating(place[left], text)
             own = np.flatnonzero(~again)
-            yield from _by_document(*_copied(place[own], np.searchsorted(own, twin[own]), np.searchsorted(own, left[at]), spans), buckets)
+            yield from outbox.add(*_copied(place[own], np.searchsorted(own, twin[own]), np.searchsorted(own, left[at]), spans))
+        yield from outbox.rest()
 
     return run
 

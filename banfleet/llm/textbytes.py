@@ -91,16 +91,23 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each stretch of bytes; equal stretches have equal hashes wherever they are.
 
-    Stretches are given by ascending begin and end; long data is worked on a part at a time.
+    Stretches are given by ascending begin and end; long data is worked on a part at a time, and so is
+    a long stretch, whose hash is that of its parts' hashes.
     """
-    if len(data) > CHUNK and len(begin) > 1:
-        out, i = np.empty(len(begin), np.uint64), 0
-        while i < len(begin):
-            j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK, "right")))
-            out[i:j] = _span_hashes(data[begin[i] : end[j - 1]], begin[i:j] - begin[i], end[i:j] - begin[i])
-            i = j
-        return out
-    return _span_hashes(data, begin, end)
+    if len(data) <= CHUNK:
+        return _span_hashes(data, begin, end)
+    out, long = np.empty(len(begin), np.uint64), end - begin > CHUNK
+    for i in np.flatnonzero(long).tolist():
+        cuts = np.append(np.arange(begin[i], end[i], CHUNK), end[i])
+        parts = span_hashes(data, cuts[:-1], cuts[1:]).view(np.uint8)
+        out[i] = span_hashes(parts, np.array([0]), np.array([len(parts)]))[0]
+    short, i = np.flatnonzero(~long), 0
+    begin, end = begin[short], end[short]
+    while i < len(short):
+        j = int(np.searchsorted(end, begin[i] + CHUNK, "right"))
+        out[short[i:j]] = _span_hashes(data[begin[i] : end[j - 1]], begin[i:j] - begin[i], end[i:j] - begin[i])
+        i = j
+    return out
 
 
 def _span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -34,6 +34,19 @@ def test_words_and_hashes():
         assert (w.hashes == [span_hashes(np.frombuffer(b"zz" + x.encode(), np.uint8), np.array([2]), np.array([2 + len(x.encode())]))[0] for x in got]).all()
 
 
+def test_hashes_of_long_spans():
+    draw = np.random.default_rng(4)
+    long, short = draw.integers(0, 256, 3_000_000, dtype=np.uint8), draw.integers(0, 256, 500, dtype=np.uint8)
+    other = long.copy()
+    other[2_500_000] ^= 1
+    parts = [short, long, short, other, long]
+    end = np.cumsum([len(x) for x in parts])
+    h = span_hashes(np.concatenate(parts), end - [len(x) for x in parts], end)
+    assert h[0] == h[2] and h[1] == h[4] and len(set(h.tolist())) == 3
+    assert h[0] == span_hashes(short, np.array([0]), np.array([500]))[0]
+    assert h[1] == span_hashes(long, np.array([0]), np.array([len(long)]))[0]
+
+
 # -- language ----------------------------------------------------------------------------------
 
 LANGS = {"xx": "tala miro veno saku deli", "yy": "brish thwock gronk spelt fjord", "zz": "öder ßüül äähm ñoño çaça"}
@@ -154,6 +167,7 @@ def test_repeats_by_brute_force(spark, monkeypatch, common):
     monkeypatch.setattr(suffix_dedup, "COMMON", common)
     monkeypatch.setattr(suffix_dedup, "FLUSH", 500)
     monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "WINDOW", 150)
     draw = random.Random(6)
     shared = [prose(draw, n) for n in (8, 12, 30)]
     rows = [(i, " ".join(draw.choice([*shared, prose(draw, 9), "é" * 30, "a" * 70]) for _ in range(draw.randint(1, 6)))) for i in range(60)]
@@ -165,6 +179,17 @@ def test_repeats_by_brute_force(spark, monkeypatch, common):
     assert all(r["n_removed"] == sum(s["end"] - s["start"] for s in r["spans"]) == r["n_bytes"] - len(r["kept"]) for r in got)
 
 
+def test_equal_hashes_of_unlike_surroundings(monkeypatch):
+    """Surroundings whose hashes agree are still compared byte by byte."""
+    monkeypatch.setattr(suffix_dedup, "span_hashes", lambda data, begin, end: np.zeros(len(begin), np.uint64))
+    texts = [b"a" * 60, b"b" * 60, b"a" * 60, b"a" * 61]
+    place = np.zeros(4, suffix_dedup._PLACE)
+    place["id"], place["fp"], place["size"] = [1, 2, 3, 4], 7, [len(x) for x in texts]
+    end = np.cumsum(place["size"].astype(np.int64))
+    again, twin, single = suffix_dedup._alone(place, b"".join(texts), end - place["size"], end)
+    assert again.tolist() == [False, False, True, False] and twin.tolist() == [0, 1, 0, 3] and not single.any()
+
+
 def test_a_line_that_its_document_repeats(spark):
     """A smaller document holds it in another context, or a part of it: all copies go, not only the first."""
     draw = random.Random(9)
