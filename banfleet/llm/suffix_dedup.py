@@ -218,19 +218,50 @@ def _cuts(values: np.ndarray) -> list[int]:
     return [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
 
 
+def _with_id(kind: np.dtype) -> np.dtype:
+    return np.dtype([("id", "i8"), *((x, kind[x]) for x in kind.names)])
+
+
 def _by_document(ids: np.ndarray, records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """What is known about each document, a row per document (kind 1), spread over the buckets."""
-    order = np.argsort(ids, kind="stable")
-    ids, records = ids[order], records[order]
-    bucket = (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).tolist()
-    cuts = _cuts(ids)
-    for i in range(0, len(cuts) - 1, 10_000):
-        own = cuts[i : i + 10_001]
-        yield _batch([(1, bucket[a], int(ids[a]), records[a:b].tobytes()) for a, b in zip(own, own[1:])])
+    """What is known about documents, a row (kind 1) per bucket of documents."""
+    bucket = (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((ids, bucket))
+    own, bucket = np.empty(len(ids), _with_id(records.dtype)), bucket[order]
+    own["id"] = ids[order]
+    for name in records.dtype.names:
+        own[name] = records[name][order]
+    cuts = _cuts(bucket)
+    if len(own):
+        yield _batch([(1, int(bucket[a]), None, _packed(own[a:b])) for a, b in zip(cuts, cuts[1:])])
+
+
+def _of_documents(kind: np.dtype):
+    """Rows by bucket of documents to a row per document: its records, without the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in stretches(batches, ["bucket"]):
+            found = _unpacked(table.column("data").to_pylist(), _with_id(kind))
+            found = found[np.argsort(found["id"], kind="stable")]
+            records = np.empty(len(found), kind)
+            for name in kind.names:
+                records[name] = found[name]
+            cuts = _cuts(found["id"])
+            for i in range(0, len(cuts) - 1, 10_000):
+                own = cuts[i : i + 10_001]
+                blobs = pa.array([records[a:b].tobytes() for a, b in zip(own, own[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(found["id"][own[:-1]]), blobs], names=["id", "data"])
+
+    return run
+
+
+def _documents(rows: DataFrame, kind: np.dtype) -> DataFrame:
+    """One row per document, id and ``data``, of rows by bucket of documents."""
+    met = rows.select("bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(_of_documents(kind), "id long, data binary")
 
 
 class _Outbox:
-    """What a task finds for documents, whatever the bucket: a row per document each time it is much."""
+    """What a task finds for documents, whatever the bucket of anchors it works on; sent on each time it is much."""
 
     def __init__(self, buckets: int, limit: int):
         self.buckets, self.limit, self.held, self.size = buckets, limit, [], 0
@@ -377,7 +408,7 @@ def _spans(place: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cut(common: np.ndarray, buckets: int):
+def _cut(common: np.ndarray, arrays: int, buckets: int):
     """Texts with their shared anchors to surroundings by bucket (kind 0), and to spans (kind 1).
 
     Of surroundings that are equal here, only the least document's go on; in the others
@@ -391,7 +422,7 @@ def _cut(common: np.ndarray, buckets: int):
         again, _, _ = _alone(place, raw, begin, end)
         yield from _by_document(place["id"][again], _spans(place[again]), buckets)
         on = np.flatnonzero(~again)
-        bucket = (mixed(place["fp"][on]) % np.uint64(buckets)).astype(np.int64)
+        bucket = (mixed(place["fp"][on]) % np.uint64(arrays)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         on, bucket, rows = on[order], bucket[order], []
         cuts = _cuts(bucket)
@@ -407,8 +438,8 @@ def _cut(common: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, texts, size = [], [], 0
         for batch in batches:
-            for id_, blobs, text in zip(*(batch.column(x).to_pylist() for x in ("id", "data", "text"))):
-                records = np.frombuffer(b"".join(blobs), _MARK)
+            for id_, blob, text in zip(*(batch.column(x).to_pylist() for x in ("id", "data", "text"))):
+                records = np.frombuffer(blob, _MARK)
                 raw = text.encode()
                 lo, n, fp = records["lo"].astype(np.int64), records["n"].astype(np.int64), records["fp"]
                 if len(common) and (hot := np.isin(fp, common)).any():
@@ -495,9 +526,9 @@ def _remove(others: list[str], whole_rows: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, blobs in zip(batch.column("text").to_pylist(), batch.column("data").to_pylist()):
+            for text, blob in zip(batch.column("text").to_pylist(), batch.column("data").to_pylist()):
                 raw = (text or "").encode()
-                runs = merged(np.frombuffer(b"".join(blobs), _SPAN)) if blobs else []
+                runs = merged(np.frombuffer(blob, _SPAN)) if blob else []
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(raw[at:a])
@@ -526,7 +557,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read; an empty table gives no rows. With ``whole_rows`` they are kept in a struct ``rest``, and ``kept_text``
     has the whole characters that are left.
 
-    What tasks send on about an anchor or a string is one row per task, however many documents hold it.
+    What tasks send on about an anchor or a string is one row per task, however many documents hold it, and
+    what they found for documents is a row per task and bucket of documents.
     Around an anchor that very many documents hold, single strings meet by their own hash; the list of such
     anchors is bounded by :data:`LISTED` and sent with the tasks.
     """
@@ -548,17 +580,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
     hot = met.where("kind = 2").orderBy(F.desc("id"), "data").limit(LISTED).select("data").collect()
     common = np.unique(np.frombuffer(b"".join(bytes(x[0]) for x in hot), np.uint64))
-    shared = met.where("kind = 1")
+    shared = written(_documents(met.where("kind = 1"), _MARK), "marks")
+    discard(met)
     size = shared.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0] // _MARK.itemsize
     arrays = max(1, -(-size * (LENGTH + 14) // ARRAY))
-    by_text = shared.groupBy("id").agg(F.collect_list("data").alias("data"))
-    cut = by_text.join(texts, "id").select("id", "data", "text").mapInArrow(_cut(common, arrays), _BLOB)
+    cut = shared.join(texts, "id").select("id", "data", "text").mapInArrow(_cut(common, arrays, buckets), _BLOB)
     cut = cut.repartition("bucket").sortWithinPartitions(*keys)
-    spans = written(cut.mapInArrow(_sort(arrays), _BLOB).select("id", "data"), "spans")
-    del by_text, cut, shared
-    discard(met)
+    spans = written(cut.mapInArrow(_sort(buckets), _BLOB).select("bucket", "data"), "spans")
+    del cut
+    discard(shared)
     release(spark)
-    of_text = spans.groupBy("id").agg(F.collect_list("data").alias("data"))
+    of_text = _documents(spans, _SPAN)
     if several:
         of_text = of_text.join(twice, "id", "left")
         data = F.expr("CASE WHEN least IS NULL OR crc32(text) = least THEN data END")
