@@ -62,13 +62,13 @@ class Tables:
 
 
 class Encoder:
-    """Words (matches of the pattern) to ids."""
+    """Words (matches of the pattern) to ids; with ``whole``, the pattern is one that cuts at spaces could change."""
 
-    def __init__(self, tables: Tables, pattern: str, most: int = 250_000):
+    def __init__(self, tables: Tables, pattern: str, most: int = 250_000, whole: bool = False):
         import ahocorasick
         import regex
 
-        self.t, self.find, self.most = tables, regex.compile(pattern).findall, most
+        self.t, self.find, self.most, self.whole = tables, regex.compile(pattern).findall, most, whole
         self.automaton = ahocorasick.Automaton()
         for token, rank in tables.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
@@ -157,7 +157,7 @@ class Encoder:
         for memo in (self.inner, self.words):
             if len(memo) > self.most:
                 memo.clear()
-        head, rest = cut_at_spaces(text)
+        head, rest = (text, []) if self.whole else cut_at_spaces(text)
         inner = self.inner
         for x in filterfalse(inner.__contains__, set(rest)):
             inner[x] = self._piece(" " + x)
@@ -191,15 +191,19 @@ def encode(
 ) -> DataFrame:
     """One row per input row: id and ``ids`` (array of int), without special tokens.
 
+    What the pattern doesn't match has no ids. Texts are cut at spaces for the pattern of
+    :mod:`public_tokenizers` only, which never reaches over one; by other patterns they are matched whole.
     Null text is empty and has no ids. Ids may be null or repeat; other columns are not read. The
     vocabulary's tables are broadcast: their size is that of the vocabulary, not of the data.
     """
+    import public_tokenizers  # on the driver only
+
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(vars(read_tables(ranks)))
-    key = ("byte_bpe", ranks, pattern)
+    key, whole = ("byte_bpe", ranks, pattern), pattern != public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(key, lambda: Encoder(SimpleNamespace(**tables.value), pattern))
+        encoder = worker_cache(key, lambda: Encoder(SimpleNamespace(**tables.value), pattern, whole=whole))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             at = 0

@@ -88,6 +88,16 @@ def test_encode_and_decode(spark):
     assert byte_bpe.decode(byte_bpe.encode(docs.limit(0), ranks, P.PATTERN), ranks).count() == 0
 
 
+@pytest.mark.parametrize("pattern", [r"[\s\S]{1,40}", r"\w+|[^\w]+", r"\S+"])
+def test_other_patterns_match_whole_texts(spark, pattern):
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    texts = ["some words, and more  of them " * 5, "a \u00a0 \u00a0 b", " é ", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(ranks), special_tokens={})
+    got = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(docs, ranks, pattern).collect()}
+    assert [got[i] for i in range(len(texts))] == [library.encode_ordinary(x) for x in texts]
+
+
 def test_counts_come_from_the_cache(spark, folder):
     path = P.path("byte_bpe_50k.json")
     docs = spark.createDataFrame(ROWS, SCHEMA)
