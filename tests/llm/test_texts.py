@@ -1,7 +1,9 @@
 """Text operators against brute force, and what they do with odd rows."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,31 @@ def test_languages_are_told_apart(spark, spoken):
     assert len(held) > 60 and all(got[i]["lang_pred"] == spoken[i][2] and got[i]["score"] > 0.9 for i in held)
 
 
+def plain_grams(text):
+    b = b" " + text.encode() + b" "
+    b = bytes(x + 32 if 65 <= x < 91 else x if x > 127 or chr(x).isalpha() else 32 for x in b)
+    return [b[k : k + 4] for k in range(len(b) - 3) if 32 not in b[k + 1 : k + 3]]
+
+
+def test_languages_by_plain_sets(spark, spoken):
+    """The same counting with a set per language instead of filters."""
+    docs = spark.createDataFrame(spoken, "doc_id long, text string, lang string")
+    filters = langid.learn(docs.where(~langid.held_out()), F.col("lang"), F.col("text"))
+    counts = {x: Counter() for x in LANGS}
+    for i, text, lang in spoken:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(plain_grams(text))
+    rate = {x: {g: n / sum(c.values()) for g, n in c.items() if n >= langid.LEAST} for x, c in counts.items()}
+    most = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    sets = {x: {g for g, v in r.items() if v >= langid.SHARE * most[g]} for x, r in rate.items()}
+    got = {r["doc_id"]: r for r in langid.predict(docs, filters).collect()}
+    for i, text, _ in spoken:
+        own = plain_grams(text)
+        share = {x: sum(g in known for g in own) / len(own) for x, known in sets.items()}
+        best = max(sorted(share), key=share.get)
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(share[best], abs=0.01)
+
+
 def test_odd_texts_have_a_language_or_none(spark, spoken):
     docs = spark.createDataFrame(spoken, "doc_id long, text string, lang string")
     filters = langid.learn(docs, F.col("lang"), F.col("text"))
@@ -123,6 +150,22 @@ def test_quality_learns_rules(spark):
     assert quality.score_documents(docs.limit(0), known, F.lit(True)).count() == 0
 
 
+def test_scores_by_plain_rules(spark):
+    """The fitted rules, evaluated one by one in Python, give the scores of the column expression."""
+    draw = random.Random(8)
+    rows = [(i, t if i % 4 else t.upper() + "!!" * draw.randint(0, 9)) for i in range(200) for t in [prose(draw, draw.randint(1, 60))]]
+    docs = frame(spark, [*rows, (200, ""), (201, None)])
+    model = quality.learn(docs, spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)], "doc_id long, quality int"))
+    assert model.rules
+    found = quality.statistics(docs)
+    for r in found.select("*", model.score().alias("score_")).collect():
+        total = model.base
+        for weight, rule in model.rules:
+            if all(r[name] <= at if upper else r[name] > at for name, upper, at in rule):
+                total += weight
+        assert r["score_"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12)
+
+
 def test_statistics_by_hand():
     text = "Ab ab ab cd!!\nxx\nxx"
     data = np.frombuffer(text.encode(), np.uint8)
