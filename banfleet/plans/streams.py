@@ -7,6 +7,7 @@ text input is first written to the shared folder.
 from __future__ import annotations
 
 import datetime
+import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from banfleet.plans.deliveries import ORACLES as DELIVERY_ORACLES
 from banfleet.plans.deliveries import RULES, as_received
 from banfleet.plans.feeds import state_sql
 from banfleet.plans.views import sql
-from banfleet.session import scratch_folder
+from banfleet.session import scratch_folder, written
 from banfleet.sources import pages as p
 from banfleet.sources import segments
 from banfleet.streaming.breaker import breaker_stream, decisions
@@ -33,7 +34,9 @@ from banfleet.streaming.liveness import liveness_stream
 from banfleet.streaming.merge import applied_state
 
 LIVENESS_HEARTBEAT = 900
-#: Segments that a micro-batch of the ingest queries reads.
+#: Shares of the log, one rotated after the other, that the ingest queries read: a micro-batch each.
+ROTATIONS = 3
+#: Files that a micro-batch of the feed reads.
 FILES_PER_TRIGGER = 5
 #: A window of six hours, or six bans; at most eight leave together.
 FLUSH = {"seconds": 6 * 3600, "early_at": 6, "batch": 8}
@@ -95,11 +98,31 @@ def split_lines(spark: SparkSession, sf: str) -> DataFrame:
     return segments.read_lines(spark, path).select("hostname", "line")
 
 
+def _rotations(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The log in shares of about equally many line numbers, first numbers first; lines without one come last."""
+    lines, seq = v.ban_log_lines(spark, sf), F.col("seq")
+    low, high = v.table(spark, sf, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    if low is None:
+        return [lines]
+    starts = [low + (high + 1 - low) * i // ROTATIONS for i in range(1, ROTATIONS)]
+    first, last = seq < starts[0], (seq >= starts[-1]) | seq.isNull()
+    between = [(seq >= a) & (seq < b) for a, b in itertools.pairwise(starts)]
+    return [lines.where(share) for share in (first, *between, last)]
+
+
 def _ingest(spark: SparkSession, sf: str, folder: str, received_at: Column) -> None:
-    lines = segments.stream_segments(spark, _segments(spark, sf), files_per_trigger=FILES_PER_TRIGGER)
-    _finish(
-        ingest(lines, f"{folder}/queue", f"{folder}/checkpoint", v.host_zones(spark, sf), received_at=received_at)
-    )
+    """Rotation by rotation through the ingest stream, which goes on from its checkpoint.
+
+    Segments that are written at once are finished in any order, and a stream reads them by that order. So a run
+    takes all segments of a rotation together: lines are numbered as they follow each other, and the
+    micro-batches are as many for a log of any length.
+    """
+    log = f"{scratch_folder(spark, 'segments')}/log"
+    zones = written(v.host_zones(spark, sf), "zones")
+    for lines in _rotations(spark, sf):
+        segments.write_segments(lines, log, mode="append")
+        new = segments.stream_segments(spark, log)
+        _finish(ingest(new, f"{folder}/queue", f"{folder}/checkpoint", zones, received_at=received_at))
 
 
 def _ingested(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,7 +230,7 @@ def stream_flush(spark: SparkSession, sf: str) -> DataFrame:
     """
     folder = scratch_folder(spark, "flush")
     _ingest(spark, sf, folder, F.unix_seconds(F.col("local_ts").cast("timestamp")))
-    queue = queue_stream(spark, f"{folder}/queue", FILES_PER_TRIGGER)
+    queue = queue_stream(spark, f"{folder}/queue")
     _finish(flush_stream(queue, f"{folder}/sent", f"{folder}/sent-checkpoint", **FLUSH))
     return flushed_rows(spark, f"{folder}/sent").unionByName(waiting_rows(spark, f"{folder}/sent"))
 

@@ -1,5 +1,6 @@
 """Each stream, over several micro-batches and restarts, equals its batch twin."""
 
+import datetime
 import os
 import random
 
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 from banfleet.operators import breaker as b
 from banfleet.operators import feed as f
 from banfleet.operators import outbox
+from banfleet.plans import streams
 from banfleet.plans.streams import _finish, _rocksdb
 from banfleet.sources import segments
 from banfleet.streaming import breaker as sb
 from banfleet.streaming.dedup import dedup_stream, kept_reports
 from banfleet.streaming.ingest import ingest, read_queue
 from banfleet.streaming.liveness import SEVERITY, changes, liveness_stream, thinned, worst_by_second
+from tools.check import compare, duck
 from banfleet.streaming.merge import applied_state, merge_stream
 
 LINE = "2025-11-02 07:41:09,880 fail2ban.actions [771]: NOTICE  [ftp-in] Ban 10.0.0."
@@ -88,6 +91,36 @@ def test_ingest_replayed_batch(spark, folder, rows):
     assert rows(read_queue(spark, out), "ip") == [("10.0.0.1",)]
 
 
+@pytest.mark.parametrize("many", [4, 24])
+def test_flush_query_over_many_segments(spark, folder, monkeypatch, many):
+    """As many micro-batches for any number of segments, and the rows of the SQL, also when times step back."""
+    began, width = datetime.datetime(2024, 1, 1), segments.CHUNK
+    events = [
+        (part * width + 10 * i, began + datetime.timedelta(minutes=97 * i + part % 3), host, "click", 1.0, '{"k": 1}')
+        for part in range(many) for host in (1, 2, 3) for i in range(host, 30, 3)
+    ]
+    events += [(None, began, 3, "click", 1.0, '{"k": 1}'), (many * width, None, 3, "click", 1.0, '{"k": 1}')]
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, columns).coalesce(1).write.parquet(f"{folder}/write")
+    [file] = [n for n in os.listdir(f"{folder}/write") if n.endswith(".parquet")]
+    os.mkdir(f"{folder}/sf")
+    os.link(f"{folder}/write/{file}", f"{folder}/sf/events.parquet")
+    monkeypatch.setattr(streams, "scratch_folder", lambda spark, name: f"{folder}/{name}")
+    ok, note = compare(spark, duck(f"{folder}/sf"), f"{folder}/sf", "stream_flush")
+    assert ok, note
+    commits = {point: len([n for n in os.listdir(f"{folder}/flush/{point}/commits") if n.isdigit()]) for point in ("checkpoint", "sent-checkpoint")}
+    assert commits == {"checkpoint": 3, "sent-checkpoint": 1}
+
+
+def test_ingest_query_without_line_numbers(spark, folder):
+    """No event, or none with a number, makes one rotation that still keeps every line."""
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for name, events in (("empty", []), ("unnumbered", [(None, datetime.datetime(2024, 1, 1), 1, "click", 1.0, '{"k": 1}')])):
+        spark.createDataFrame(events, columns).write.parquet(f"{folder}/{name}/events.parquet")
+        [lines] = streams._rotations(spark, f"{folder}/{name}")
+        assert lines.count() == len(events)
+
+
 OPS = (
     "hostname string, ip string, page_no long, pos long, op string, source string, at_s long, "
     "enforced boolean"
