@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from banfleet.session import scratch_folder
 
 _STORE = "banfleet_worker_store"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -51,28 +52,37 @@ def forget() -> None:
 
 
 @contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Statements run in here delete their shuffle files at their end, instead of when the driver's garbage goes."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(_CLEANUP, before)
+            spark.conf.set(key, before)
+
+
+def shuffles_removed(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Statements run in here delete their shuffle files at their end, instead of when the driver's garbage goes."""
+    return _set(spark, _CLEANUP, "true")
+
+
+def small_batches(spark: SparkSession, size: int) -> contextlib.AbstractContextManager[None]:
+    """Statements run in here send at most about ``size`` bytes to a Python worker at once, for rows that are large."""
+    return _set(spark, _BATCH, str(size))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read back; cuts the lineage.
 
-    The shuffles that led to it are deleted once it is written.
+    The shuffles that led to it are deleted once it is written. ``options`` are those of the writer.
     """
     spark = df.sparkSession
     path = scratch_folder(spark, name)
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.options(**options or {}).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch = path
     return table

@@ -1,13 +1,16 @@
 """Vector operators and components against brute force."""
 
+import contextlib
+import os
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from banfleet.llm import ann, embedding_dedup
+from banfleet.llm import ann, embedding_dedup, workers
 from banfleet.llm.components import components
+from banfleet.session import shared_folder
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id int, n int, score float, size int, cell int, home int"
 
@@ -63,6 +66,74 @@ def test_linked_vectors_by_brute_force(spark, monkeypatch, block, spread):
     assert sum(n for n, _ in want.values()) > 1000
 
 
+def test_linked_vectors_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 12)
+    monkeypatch.setattr(embedding_dedup, "SPREAD", 10)
+    draw = np.random.default_rng(5)
+    rows = []
+    for dim, n in ((8, 260), (3, 60)):  # few of the second dimension, far from any centre's
+        v = clustered(draw, n, dim, 0.3).astype(float)
+        rows += [(1000 * dim + i, v[i].tolist(), i % 2) for i in range(n)]
+        rows += [(1000 * dim + 400 + i, v[i].tolist(), i % 2) for i in range(0, n, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, threshold=0.93).collect()}
+    assert got == brute(rows, 0.93) and sum(n for n, _ in got.values()) > 1000
+
+
+def bytes_in(*folders):
+    return sum(os.path.getsize(os.path.join(at, f)) for top in folders for at, _, names in os.walk(top) for f in names)
+
+
+@contextlib.contextmanager
+def shuffles_kept(spark):
+    """So that all of them are seen afterwards."""
+    before = spark.conf.get(workers._CLEANUP)
+    spark.conf.set(workers._CLEANUP, "false")
+    yield
+    spark.conf.set(workers._CLEANUP, before)
+
+
+def test_disk_does_not_grow_with_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 200)
+    monkeypatch.setattr(embedding_dedup, "SPREAD", 20)
+    monkeypatch.setattr(workers, "shuffles_removed", shuffles_kept)
+    draw = np.random.default_rng(6)
+    v = draw.normal(size=(2000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int").repartition(4)
+    folders = [*spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString(), shared_folder(spark).removeprefix("file://")]
+    before = bytes_in(*folders)
+    assert embedding_dedup.near_duplicates(df).where("n_links = 0 and kept").count() == 2000
+    assert bytes_in(*folders) - before < 5 * v.nbytes
+
+
+def test_links_of_a_task_are_added_up(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "HELD", 20)
+    draw = np.random.default_rng(7)
+    ids = draw.permutation(90).astype(np.int64) * 3
+    copies = draw.integers(1, 4, 90)
+    links, want, edges = embedding_dedup._Links(), dict.fromkeys(ids.tolist(), 0), []
+    for _ in range(25):
+        some = draw.choice(90, 12, replace=False)
+        a, b = np.triu_indices(12, 1)
+        pick = draw.random(len(a)) < 0.03
+        links.add(ids[some], copies[some], iter([(a[pick][:2], b[pick][:2]), (a[pick][2:], b[pick][2:])]))
+        for x, y in zip(some[a[pick]].tolist(), some[b[pick]].tolist()):
+            want[int(ids[x])] += int(copies[y])
+            want[int(ids[y])] += int(copies[x])
+            edges.append((int(ids[x]), int(ids[y])))
+
+    def classes(pairs):
+        up = {i: i for i in ids.tolist()}
+        for a, b in pairs:
+            old, new = up[a], up[b]
+            up = {k: new if x == old else x for k, x in up.items()}
+        return {frozenset(k for k in up if up[k] == x) for x in up.values()}
+
+    got = [r for batch in links.batch() for r in batch.to_pylist()]
+    assert {r["id"]: r["links"] for r in got if r["links"]} == {k: n for k, n in want.items() if n} and len(got) <= 90
+    assert classes([(r["id"], r["root"]) for r in got]) == classes(edges)
+
+
 def test_cells_keep_every_pair_in_reach():
     draw = np.random.default_rng(2)
     rows = draw.normal(size=(300, 6))
